@@ -35,6 +35,11 @@ JOINED_WORDS = {
     "wanna": "wan na",
 }
 
+#: The first part of a joined word that stands between blanks.
+_JOINED = "(?U)(?<!\\S)({})".format(
+    "|".join("{}(?={}(?!\\S))".format(*parts.split()) for parts in JOINED_WORDS.values())
+)
+
 # Endings of regular English plurals and what stands in the singular.
 PLURAL_ENDINGS = [
     ("ches", "ch"),
@@ -70,16 +75,13 @@ def strip_punct(c: Column | str) -> Column:
 def tokenize_lower(c: Column | str) -> Column:
     """Lower-case words; typographic quotes stand alone and joined words are taken apart."""
     text = F.regexp_replace(F.lower(_col(c)), "([«»“”„‘’])", " $1 ")
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    apart = F.create_map(*[F.lit(x) for pair in JOINED_WORDS.items() for x in pair])
-    joined = F.array(*[F.lit(w) for w in JOINED_WORDS])
-    split = F.flatten(F.transform(words, lambda w: F.split(F.coalesce(F.try_element_at(apart, w), w), " ")))
-    return F.when(F.arrays_overlap(words, joined), split).otherwise(words)
+    text = F.regexp_replace(text, _JOINED, "$1 ")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def drop_stopwords(tokens: Column | str, stopwords=None) -> Column:
-    stop = F.lit(list(STOPWORDS if stopwords is None else stopwords))
-    return F.filter(_col(tokens), lambda w: ~F.array_contains(stop, w))
+    stop = list(STOPWORDS if stopwords is None else stopwords)
+    return F.filter(_col(tokens), lambda w: ~w.isin(stop))
 
 
 def singular(word: Column) -> Column:

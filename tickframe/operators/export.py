@@ -16,8 +16,10 @@ _JSON = {
     "ignoreNullFields": "false",
 }
 
+_POINTS = "array<struct<field:string,value:double,text:string>>"
 
-def flatten_fields(df: DataFrame, *, time_col: str = "time") -> DataFrame:
+
+def flatten_fields(df: DataFrame) -> DataFrame:
     """Struct cells become columns ``<col>_<key>``; everything else stays."""
     out = []
     for f in df.schema.fields:
@@ -35,7 +37,7 @@ def flatten_points(df: DataFrame, measurement: str | Column, *, time_col: str =
     cells give fields ``<col>_<key>``.
     """
     name = F.lit(measurement) if isinstance(measurement, str) else measurement
-    flat = flatten_fields(df, time_col=time_col)
+    flat = flatten_fields(df)
 
     def point(field: Column, cell: Column, kind: T.DataType) -> Column:
         number = isinstance(kind, (T.NumericType, T.BooleanType))
@@ -45,18 +47,18 @@ def flatten_points(df: DataFrame, measurement: str | Column, *, time_col: str =
             (F.lit(None).cast("string") if number else cell.cast("string")).alias("text"),
         )
 
+    def map_points(f: T.StructField) -> Column:
+        def one(e: Column) -> Column:
+            return point(F.concat(F.lit(f"{f.name}_"), e["key"].cast("string")), e["value"], f.dataType.valueType)
+
+        return F.transform(F.map_entries(f.name), one)
+
     single, many = [], []
     for f in flat.schema.fields:
         if f.name == time_col:
             continue
         if isinstance(f.dataType, T.MapType):
-            entries = F.transform(
-                F.map_entries(f.name),
-                lambda e, f=f: point(
-                    F.concat(F.lit(f"{f.name}_"), e["key"].cast("string")), e["value"], f.dataType.valueType
-                ),
-            )
-            many.append(F.coalesce(entries, F.array().cast("array<struct<field:string,value:double,text:string>>")))
+            many.append(F.coalesce(map_points(f), F.array().cast(_POINTS)))
         else:
             single.append(point(F.lit(f.name), F.col(f.name), f.dataType))
     points = F.concat(F.array(*single), *many) if many else F.array(*single)
@@ -94,7 +96,8 @@ def columnar_json(
     kind = df.schema[ts].dataType
     inside = df.where((F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.lit(end).cast(kind)))
     series = inside.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ts, *cols))).alias("_s"))
-    arrays = [F.transform("_s", lambda r, c=c: r[c]).alias(c) for c in [ts, *cols]]
+    # A field of an array of structs is the array of that field.
+    arrays = [F.col(f"_s.{c}").alias(c) for c in [ts, *cols]]
     return series.select(key, F.to_json(F.struct(*arrays), _JSON).alias("json"))
 
 

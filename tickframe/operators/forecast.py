@@ -165,7 +165,7 @@ def fit_arima(
     key: str = "symbol",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    bucket: str = "day",
+    bucket: str | None = None,
     **layout,
 ) -> DataFrame:
     """One model row per series; ``reason`` says why a series has none."""

@@ -10,9 +10,10 @@ An operator that looks back ``n`` rows asks for ``lookback=n``: the buckets that
 end less than ``n`` rows before a later block are copied into it as halo rows,
 used by the window and dropped afterwards. Results do not depend on the cuts.
 
-What a single task holds is bounded by ``block_rows`` plus one bucket; pick a
-finer ``bucket`` for series that tick millions of times a day. The summary walk
-of one symbol covers at most the calendar length of the series in buckets.
+What a single task holds is bounded by ``block_rows`` plus one bucket; a bucket is
+a month for dates and a day for times unless ``bucket`` says otherwise, and
+:func:`pick_bucket` measures which one keeps every task small. The summary walk of
+one symbol covers at most the calendar length of the series in buckets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickframe.session import broadcast_if_small
 
@@ -32,17 +34,55 @@ def as_list(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+#: From coarse to fine.
+BUCKETS = ("year", "month", "day", "hour", "minute", "second")
+
+
 def calendar_bucket(ts: str, bucket: str) -> Column:
-    """Number of the day, hour or minute a row falls in; never decreases with ``ts``."""
-    day = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date")).cast("long")
-    if bucket == "day":
-        return day
-    hour = day * 24 + F.hour(ts)
-    if bucket == "hour":
-        return hour
-    if bucket == "minute":
-        return hour * 60 + F.minute(ts)
-    raise ValueError(f"bucket must be day, hour or minute, not {bucket!r}")
+    """Number of the year, month, ... or second a row falls in; never decreases with ``ts``."""
+    c = F.col(ts)
+    if bucket == "year":
+        return F.year(c).cast("long")
+    if bucket == "month":
+        return F.year(c).cast("long") * 12 + F.month(c)
+    number = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    for unit, per, part in (("day", 0, None), ("hour", 24, F.hour), ("minute", 60, F.minute), ("second", 60, F.second)):
+        if part is not None:
+            number = number * per + part(c)
+        if unit == bucket:
+            return number
+    raise ValueError(f"bucket must be one of {', '.join(BUCKETS)}, not {bucket!r}")
+
+
+def _default_bucket(df: DataFrame, ts: str) -> str:
+    """Months for dates (at most 31 rows), days for times."""
+    return "month" if isinstance(df.schema[ts].dataType, T.DateType) else "day"
+
+
+def pick_bucket(
+    df: DataFrame, *, key: str | Sequence[str] = "symbol", ts: str = "ts", max_rows: int = 16 * BLOCK_ROWS
+) -> str:
+    """The coarsest bucket of which none holds more than ``max_rows`` rows of one key.
+
+    Counts the rows once, at the finest level, and rolls the counts up; one row
+    comes back. Use it before a run over series that tick often, and hand the answer
+    to the operators as ``bucket``.
+    """
+    units = [u for u in BUCKETS if not isinstance(df.schema[ts].dataType, T.DateType) or BUCKETS.index(u) < 3]
+    keys = as_list(key)
+    names = [f"_{u}" for u in units]
+    counts = df.groupBy(*keys, *[calendar_bucket(ts, u).alias(n) for u, n in zip(units, names, strict=True)])
+    level = counts.agg(F.count(F.lit(1)).alias("_n"))
+    widest = None
+    for i in range(len(units) - 1, -1, -1):
+        top = level.agg(F.max("_n").alias(units[i]))
+        widest = top if widest is None else widest.withColumn(units[i], top.scalar())
+        level = level.groupBy(*keys, *names[:i]).agg(F.sum("_n").alias("_n"))
+    most = widest.first()
+    for u in units:
+        if most[u] is None or most[u] <= max_rows:
+            return u
+    return units[-1]
 
 
 def series_blocks(
@@ -51,7 +91,7 @@ def series_blocks(
     key: str | Sequence[str] = "symbol",
     ts: str = "ts",
     lookback: int = 0,
-    bucket: str = "day",
+    bucket: str | None = None,
     block_rows: int = BLOCK_ROWS,
     valid: Column | None = None,
     aggs: dict[str, Column] | None = None,
@@ -64,6 +104,7 @@ def series_blocks(
     carried values with the windows ``(whole key, key in time order)``.
     """
     keys = as_list(key)
+    bucket = bucket or _default_bucket(df, ts)
     counted = F.count(F.lit(1)) if valid is None else F.count(F.when(valid, 1))
     extra = [agg.alias(name) for name, agg in (aggs or {}).items()]
     per = df.groupBy(*keys, calendar_bucket(ts, bucket).alias("_bucket")).agg(counted.alias("_n"), *extra)
@@ -95,7 +136,7 @@ def block_series(
     key: str | Sequence[str] = "symbol",
     ts: str = "ts",
     lookback: int = 0,
-    bucket: str = "day",
+    bucket: str | None = None,
     blocks: DataFrame | None = None,
     broadcast_rows: int | None = None,
     **options,
@@ -107,6 +148,7 @@ def block_series(
     by key and bucket.
     """
     keys = as_list(key)
+    bucket = bucket or _default_bucket(df, ts)
     if blocks is None:
         blocks = series_blocks(df, key=keys, ts=ts, lookback=lookback, bucket=bucket, **options)
     if broadcast_rows is not None:

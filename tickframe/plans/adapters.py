@@ -113,18 +113,6 @@ ANALYSED = MARKET + (
     ", analysed as (select *, price_change_percentage_24h / 100 + 1 as expected_return from market)"
 )
 
-MARKET_COLUMNS = (
-    "id",
-    "name",
-    "symbol",
-    "current_price",
-    "price_change_percentage_24h",
-    "high_24h",
-    "low_24h",
-    "market_cap",
-    "circulating_supply",
-    "last_updated",
-)
 
 
 def market_json(df: DataFrame) -> DataFrame:

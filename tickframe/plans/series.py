@@ -280,12 +280,12 @@ def acf(spark, sf):
     return stats.acf(prices(spark, sf), 10).select("symbol", "lag", *rounded(6, "acf"))
 
 
-_ANALYSIS = f"""r as (select symbol, ts, price, {_RET} as ret,
+_ANALYSIS = f"""walked as (select symbol, ts, price, {_RET} as ret,
         max(price) over (partition by symbol order by ts rows between unbounded preceding and current row) as high
         from prices),
     analysis as (select symbol, avg(ret) as mean_return, stddev_samp(ln(1 + ret)) as volatility,
         arg_max(price, ts) / arg_min(price, ts) - 1 as momentum, max(1 - price / high) as max_drawdown, count(*) as n
-        from r group by 1)"""
+        from walked group by 1)"""
 
 
 @query(
