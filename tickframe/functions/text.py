@@ -7,9 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 32 ASCII punctuation characters, deleted without a space.
+# The 32 ASCII punctuation characters, deleted without a space, and
+# the same as ranges of a character class.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+_PUNCT = "[!-/:-@\\[-`{-~]+"
+_URL = r"(?U:http\S+)"
+
+# Typographic quotes that the usual tokeniser sets apart.
+QUOTES = "«»“”„‘’"
+
 # The usual English stop-word list of natural-language tool kits.
 # Entries with an apostrophe never match once punctuation is gone.
 STOPWORDS = (
@@ -65,33 +72,58 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_urls(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)http\S+", "")
+    return F.regexp_replace(_col(c), _URL, "")
 
 
 def strip_punct(c: Column | str) -> Column:
-    return F.translate(_col(c), PUNCTUATION, "")
+    return F.regexp_replace(_col(c), _PUNCT, "")
+
+
+def strip_urls_punct(c: Column | str) -> Column:
+    """Both at once: a link never loses its punctuation first, so one pass gives the same text."""
+    return F.regexp_replace(_col(c), f"{_URL}|{_PUNCT}", "")
+
+
+def _any_of(text: Column, parts) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+def _split_words(lowered: Column) -> Column:
+    """Words between blanks, with typographic quotes set apart and joined words taken apart.
+
+    Both are rare, so plain searches decide whether a pattern has to run. The text
+    is bound to a lambda variable, which keeps it from being computed per use.
+    """
+
+    def words(text: Column) -> Column:
+        apart = F.when(_any_of(text, QUOTES), F.regexp_replace(text, f"([{QUOTES}])", " $1 ")).otherwise(text)
+        plain = F.when(_any_of(text, JOINED_WORDS), F.regexp_replace(apart, _JOINED, "$1 ")).otherwise(apart)
+        return F.split(plain, r"(?U)\s+")
+
+    return F.get(F.transform(F.array(lowered), words), F.lit(0))
 
 
 def tokenize_lower(c: Column | str) -> Column:
     """Lower-case words; typographic quotes stand alone and joined words are taken apart."""
-    text = F.regexp_replace(F.lower(_col(c)), "([«»“”„‘’])", " $1 ")
-    text = F.regexp_replace(text, _JOINED, "$1 ")
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(_split_words(F.lower(_col(c))), lambda w: w != "")
+
+
+def is_stopword(word: Column, stopwords=None) -> Column:
+    return word.isin(list(STOPWORDS if stopwords is None else stopwords))
 
 
 def drop_stopwords(tokens: Column | str, stopwords=None) -> Column:
-    stop = list(STOPWORDS if stopwords is None else stopwords)
-    return F.filter(_col(tokens), lambda w: ~w.isin(stop))
+    return F.filter(_col(tokens), lambda w: ~is_stopword(w, stopwords))
 
 
 def singular(word: Column) -> Column:
     """A regular plural's singular; other words come back as they are."""
-    cases = [(word.endswith(end), end, to) for end, to in PLURAL_ENDINGS]
     kept = reduce(lambda a, b: a | b, [word.endswith(e) for e in NOT_PLURAL])
-    out = F.when(kept | (F.length(word) < 4), word)
-    for hit, end, to in cases:
+    plural = word.endswith("s") | word.endswith("men")
+    out = F.when(~plural | kept | (F.length(word) < 4), word)
+    for end, to in PLURAL_ENDINGS:
         stem = word.substr(F.lit(1), F.length(word) - len(end))
-        out = out.when(hit, F.concat(stem, F.lit(to)) if to else stem)
+        out = out.when(word.endswith(end), F.concat(stem, F.lit(to)) if to else stem)
     return out.otherwise(word)
 
 
@@ -101,7 +133,8 @@ def join_tokens(tokens: Column | str) -> Column:
 
 def clean_tokens(c: Column | str, stopwords=None) -> Column:
     """Text to words: URLs, punctuation and stop words removed, lower case."""
-    return drop_stopwords(tokenize_lower(strip_punct(strip_urls(c))), stopwords)
+    words = _split_words(F.lower(strip_urls_punct(c)))
+    return F.filter(words, lambda w: (w != "") & ~is_stopword(w, stopwords))
 
 
 def sentiment_label(compound: Column | str) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _bar_start(ts: str, interval: str) -> Column:
+    return F.window(ts, interval)["start"].alias("_start")
+
+
 def ohlc_bars(
     ticks: DataFrame,
     interval: str = "1 day",
@@ -22,11 +26,14 @@ def ohlc_bars(
     """Open, high, low, close, volume and tick count per symbol and interval.
 
     Partial aggregation runs before the shuffle, so a busy symbol costs one row per
-    bar and map task. Ticks with equal ``ts`` are ordered by ``tie``.
+    bar and map task. Ticks with equal ``ts`` are ordered by ``tie``; that makes
+    the order a struct and the aggregation a sorting one, so leave it out where
+    ``(symbol, ts)`` is unique. Grouping by the start of the window keeps the
+    grouping key a plain value.
     """
     order = F.struct(ts, *tie) if tie else F.col(ts)
     priced = F.when(F.col(price).isNotNull(), order)
-    bars = ticks.groupBy(key, F.window(ts, interval).alias("_w")).agg(
+    bars = ticks.groupBy(key, _bar_start(ts, interval)).agg(
         F.min_by(price, priced).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -34,14 +41,12 @@ def ohlc_bars(
         (F.sum(volume) if volume else F.lit(None).cast("double")).alias("volume"),
         F.count(price).alias("ticks"),
     )
-    return bars.select(
-        key, F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume", "ticks"
-    )
+    return bars.select(key, F.col("_start").alias("ts"), "open", "high", "low", "close", "volume", "ticks")
 
 
 def coarser_bars(bars: DataFrame, interval: str, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
     """Roll bars up to a longer interval."""
-    out = bars.groupBy(key, F.window(ts, interval).alias("_w")).agg(
+    out = bars.groupBy(key, _bar_start(ts, interval)).agg(
         F.min_by("open", ts).alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
@@ -49,7 +54,7 @@ def coarser_bars(bars: DataFrame, interval: str, *, key: str = "symbol", ts: str
         F.sum("volume").alias("volume"),
         F.sum("ticks").alias("ticks"),
     )
-    return out.select(key, F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume", "ticks")
+    return out.select(key, F.col("_start").alias("ts"), "open", "high", "low", "close", "volume", "ticks")
 
 
 def date_range(df: DataFrame, start=None, end=None, *, ts: str = "ts") -> DataFrame:

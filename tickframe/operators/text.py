@@ -54,6 +54,28 @@ def _weights(table: Mapping[str, float] | None) -> Column | None:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else None
 
 
+def _modified(
+    df: DataFrame, valences: DataFrame, tokens: str, ids: list[str], strength: Column | None, negators: Sequence[str]
+) -> DataFrame:
+    """Token rows whose valence ``_v`` is changed by the three words before them."""
+    texts = df.select(*ids, F.filter(tokens, lambda w: F.length(w) > 1).alias("_t"))
+    back = range(1, len(DAMPING) + 1)
+    # The words next to themselves shifted by one, two and three places; the shifts
+    # add rows without a token at the end, which count for nothing.
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), d), F.col("_t")) for d in back]
+    names = ["token", *[f"_b{d}" for d in back]]
+    rows = texts.select(*ids, F.inline_outer(F.arrays_zip("_t", *shifted)).alias(*names))
+    scored = rows.join(valences, "token", "left").withColumn("_v", F.coalesce("valence", F.lit(0.0)))
+    for d in back:
+        v, word = F.col("_v"), F.col(f"_b{d}")
+        if strength is not None:
+            v = v + F.signum(v) * F.coalesce(F.try_element_at(strength, word), F.lit(0.0)) * DAMPING[d - 1]
+        if negators:
+            v = F.when(word.isin(*negators), v * NEGATION).otherwise(v)
+        scored = scored.withColumn("_v", F.when(F.col("_v") != 0, v).otherwise(F.lit(0.0)))
+    return scored
+
+
 def lexicon_sentiment(
     df: DataFrame,
     lexicon: DataFrame,
@@ -72,29 +94,13 @@ def lexicon_sentiment(
     do not count. ``boosters`` (word to strength) and ``negators`` act on the three
     words before a scored one.
     """
-    long_enough = F.filter(tokens, lambda w: F.length(w) > 1)
-    texts = df.select(key, *keep, long_enough.alias("_t"))
-    back = range(1, len(DAMPING) + 1) if boosters or negators else ()
-    words = F.transform(
-        "_t",
-        lambda w, i: F.struct(
-            w.alias("token"), *[F.get(F.col("_t"), i - d).alias(f"_b{d}") for d in back]
-        ),
-    )
-    rows = texts.select(key, *keep, F.inline_outer(words))
     valences = lexicon.groupBy("token").agg(F.max("valence").alias("valence"))
-    scored = rows.join(valences, "token", "left")
-    v = F.coalesce(F.col("valence"), F.lit(0.0))
-    strength = _weights(boosters)
-    for d in back:
-        word = F.col(f"_b{d}")
-        if strength is not None:
-            v = v + F.signum(v) * F.coalesce(F.try_element_at(strength, word), F.lit(0.0)) * DAMPING[d - 1]
-        if negators:
-            v = F.when(word.isin(*negators), v * NEGATION).otherwise(v)
-        scored = scored.withColumn("_v", v)
-        v = F.col("_v")
-    scored = scored.withColumn("_v", v)
+    if boosters or negators:
+        scored = _modified(df, valences, tokens, [key, *keep], _weights(boosters), negators)
+    else:
+        rows = df.select(key, *keep, F.explode_outer(tokens).alias("token"))
+        rows = rows.withColumn("token", F.when(F.length("token") > 1, F.col("token")))
+        scored = rows.join(valences, "token", "left").withColumn("_v", F.coalesce("valence", F.lit(0.0)))
     sums = scored.groupBy(key, *keep).agg(
         F.sum("_v").alias("_s"),
         F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(0.0)).alias("_p"),

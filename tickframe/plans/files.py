@@ -217,7 +217,7 @@ def records_json(spark, sf):
     'close': list(close order by ts)}}) as varchar) as json from inside group by 1""",
 )
 def columnar_json(spark, sf):
-    bars = ohlc_bars(ticks(spark, sf), "1 day", tie=["tick_id"])
+    bars = ohlc_bars(ticks(spark, sf), "1 day")
     return X.columnar_json(
         bars, ["open", "high", "low", "close"], "2024-01-03", "2024-01-25", step_seconds=86_400
     )

@@ -31,7 +31,7 @@ _ROWS = "symbol, " + SQL_DAY
 
 
 def _daily(spark, sf):
-    return ohlc_bars(ticks(spark, sf), "1 day", tie=["tick_id"])
+    return ohlc_bars(ticks(spark, sf), "1 day")
 
 
 # --- scans and bars ---------------------------------------------------------
@@ -77,7 +77,7 @@ def ohlcv_period_query(spark, sf):
 )
 def ohlc_bars_query(spark, sf):
     """Hourly bars from ticks and daily bars from the hourly ones."""
-    hourly = ohlc_bars(ticks(spark, sf), "1 hour", volume="price", tie=["tick_id"])
+    hourly = ohlc_bars(ticks(spark, sf), "1 hour", volume="price")
     cols = ["symbol", "ts", *_OHLC, *rounded(4, "volume"), "ticks"]
     daily = coarser_bars(hourly, "1 day")
     return hourly.select(F.lit("1 hour").alias("bar"), *cols).union(daily.select(F.lit("1 day").alias("bar"), *cols))
