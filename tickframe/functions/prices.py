@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tickframe.schemas import PRICE_DAYS
 
-#: ISO-8601 in UTC, with or without a fraction of a second.
-ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]X"
+#: ISO-8601 with ``Z`` or an offset, with or without a fraction of a second.
+ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"
 
 
 def expected_return(df: DataFrame, change: str = "price_change_percentage_24h") -> DataFrame:

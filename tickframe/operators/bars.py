@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.session import broadcast_if_small
+
 
 def _bar_start(ts: str, interval: str) -> Column:
     return F.window(ts, interval)["start"].alias("_start")
@@ -95,7 +97,7 @@ def ohlcv_period(
     if start is not None:
         df = df.where(F.col(ts) >= start.cast(df.schema[ts].dataType))
     if symbols is not None:
-        df = df.join(symbols.select(key).distinct(), key, "left_semi")
+        df = df.join(broadcast_if_small(symbols.select(key).distinct()), key, "left_semi")
     return df
 
 

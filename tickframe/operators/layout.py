@@ -152,7 +152,7 @@ def block_series(
     if blocks is None:
         blocks = series_blocks(df, key=keys, ts=ts, lookback=lookback, bucket=bucket, **options)
     if broadcast_rows is not None:
-        blocks = broadcast_if_small(blocks, broadcast_rows)
+        blocks = broadcast_if_small(blocks, broadcast_rows, keep=True)
     renamed = {c: f"_b_{c}" for c in [*keys, "_bucket"]}
     side = blocks.withColumnsRenamed(renamed)
     rows = df.withColumn("_bucket", calendar_bucket(ts, bucket))
@@ -162,12 +162,16 @@ def block_series(
         match = same if match is None else match & same
     joined = rows.join(side, match).drop(*renamed.values())
     if lookback <= 0:
-        return joined.withColumn("_halo", F.lit(False))
-    kept = [c for c in joined.columns if c not in ("_blk", "_last")]
-    copies = F.explode(F.sequence("_blk", "_last")).alias("_to")
-    return joined.select(*kept, "_blk", copies).select(
-        *kept, F.col("_to").alias("_blk"), (F.col("_to") > F.col("_blk")).alias("_halo")
-    )
+        placed = joined.withColumn("_halo", F.lit(False))
+    else:
+        kept = [c for c in joined.columns if c not in ("_blk", "_last")]
+        copies = F.explode(F.sequence("_blk", "_last")).alias("_to")
+        placed = joined.select(*kept, "_blk", copies).select(
+            *kept, F.col("_to").alias("_blk"), (F.col("_to") > F.col("_blk")).alias("_halo")
+        )
+    # One placement that serves every window on key and block, also those that
+    # partition further; left to itself Spark may shuffle anew between them.
+    return placed.repartition(*keys, "_blk")
 
 
 def block_window(key: str | Sequence[str] = "symbol", ts: str = "ts", tie: Sequence[str] = ()) -> WindowSpec:

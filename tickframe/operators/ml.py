@@ -263,9 +263,15 @@ def window_forecast(
 
     newest = row_tail(known, p, key=key, ts=ts)
     newest_first = F.sort_array(F.collect_list(F.struct(ts, price)), asc=False)
-    state = newest.groupBy(key).agg(newest_first.alias("_s")).where(F.size("_s") == p)
+    state = newest.groupBy(key).agg(newest_first.alias("_s"))
+    # Short series are padded here and left out at the end: the model must get vectors
+    # of one length whatever order the optimiser gives the filters.
+    padded = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.coalesce(F.get("_s", i)[price], F.lit(0.0)))
     state = state.select(
-        key, F.get("_s", F.lit(0))[ts].cast("date").alias("_last"), F.transform("_s", lambda r: r[price]).alias("_x")
+        key,
+        F.get("_s", F.lit(0))[ts].cast("date").alias("_last"),
+        padded.alias("_x"),
+        (F.size("_s") == p).alias("_full"),
     )
     state = state.withColumn("_path", F.array().cast("array<double>"))
     for _ in range(steps):
@@ -273,10 +279,11 @@ def window_forecast(
         state = scored.select(
             key,
             "_last",
+            "_full",
             F.concat(F.array("prediction"), F.slice("_x", 1, p - 1)).alias("_x"),
             F.concat("_path", F.array("prediction")).alias("_path"),
         )
-    rows = state.select(key, "_last", F.posexplode("_path").alias("_i", "mean"))
+    rows = state.where("_full").select(key, "_last", F.posexplode("_path").alias("_i", "mean"))
     return model, rows.select(
         key, (F.col("_i") + 1).alias("step"), F.date_add("_last", F.col("_i") + 1).alias("ts"), "mean"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.operators.layout import as_list
+from tickframe.session import broadcast_if_small
 
 DEFAULT_SORT = "expected_return"
 
@@ -129,7 +130,7 @@ def join_coin_history(requests: DataFrame, coins: DataFrame, history: DataFrame,
 
 
 def semi_symbol_list(df: DataFrame, symbols: DataFrame, *, key: str = "symbol") -> DataFrame:
-    return df.join(symbols.select(key), key, "left_semi")
+    return df.join(broadcast_if_small(symbols.select(key).distinct()), key, "left_semi")
 
 
 def non_empty(symbols: DataFrame, df: DataFrame, *, key: str = "symbol") -> DataFrame:

@@ -11,8 +11,6 @@ from tickframe.operators.layout import as_list, series_position
 from tickframe.session import broadcast_if_small, materialize
 
 _PARTS = 10_000
-#: Longest per-partition summary that is sent to every executor.
-SUMMARY_ROWS = 200_000
 
 
 def dense_row_number(df: DataFrame, order: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +42,7 @@ def dense_row_number(df: DataFrame, order: Sequence[str], *, by: Sequence[str] =
     match = F.lit(True)
     for c in keys:
         match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = placed.join(broadcast_if_small(per, SUMMARY_ROWS), match)
+    joined = placed.join(broadcast_if_small(per, keep=True), match)
     rn = F.col("_before") + F.col("_id") - F.col("_first") + 1
     return joined.withColumn("rn", rn).select(*df.columns, "rn", "n")
 

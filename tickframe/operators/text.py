@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.text import clean_tokens, join_tokens, sentiment_label, singular
+from tickframe.session import broadcast_if_small
 
 # Fixed values of the published lexicon-and-rule sentiment model.
 NORMALISER = 15.0
@@ -36,7 +37,7 @@ def lemmatize(
         return df.withColumn(tokens, F.transform(tokens, singular))
     ids = [key, *keep]
     rows = df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "form"))
-    known = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    known = broadcast_if_small(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")))
     matched = rows.join(known, "form", "left")
     word = F.coalesce(F.col("lemma"), singular(F.col("form")))
     placed = F.collect_list(F.when(F.col("form").isNotNull(), F.struct("_pos", word.alias("w"))))
@@ -89,12 +90,12 @@ def lexicon_sentiment(
     """Positive, negative and neutral shares and the compound score of each text.
 
     ``lexicon`` is a table ``(token, valence)``. Tokens become rows that join it and
-    are summed per text, so nothing is gathered; with the lexicon below Spark's
-    broadcast threshold only one partial sum per text is shuffled. One-letter tokens
+    are summed per text, so nothing is gathered; with a lexicon small enough to
+    broadcast only one partial sum per text is shuffled. One-letter tokens
     do not count. ``boosters`` (word to strength) and ``negators`` act on the three
     words before a scored one.
     """
-    valences = lexicon.groupBy("token").agg(F.max("valence").alias("valence"))
+    valences = broadcast_if_small(lexicon.groupBy("token").agg(F.max("valence").alias("valence")))
     if boosters or negators:
         scored = _modified(df, valences, tokens, [key, *keep], _weights(boosters), negators)
     else:

@@ -66,12 +66,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Materialise a summary and broadcast it only if it has at most ``max_rows`` rows.
+#: Rows up to which a side table (lexicon, lemmas, symbol list, summary) is broadcast.
+SMALL_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS, *, keep: bool = False) -> DataFrame:
+    """Broadcast a side of a join only if counting shows at most ``max_rows`` rows.
 
     Beyond the bound the frame comes back without a hint, so the join shuffles.
+    ``keep`` materialises it first, for summaries that are costly to compute.
     """
-    kept = materialize(df)
-    if kept.count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    side = materialize(df) if keep else df
+    few = side.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(side) if few else side
