@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 # the same as ranges of a character class.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_PUNCT = "[!-/:-@\\[-`{-~]+"
-_URL = r"(?U:http\S+)"
+_PUNCT = "[!-/:-@\\[-`{-~]"
 
 # Typographic quotes that the usual tokeniser sets apart.
 QUOTES = "«»“”„‘’"
@@ -72,18 +71,14 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_urls(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), _URL, "")
+    text = _col(c)
+    return F.when(text.contains("http"), F.regexp_replace(text, r"(?U)http\S+", "")).otherwise(text)
 
 
 def strip_punct(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), _PUNCT, "")
 
 
-def strip_urls_punct(c: Column | str) -> Column:
-    """Both at once: a link never loses its punctuation first, so one pass gives the same text."""
-    return F.regexp_replace(_col(c), f"{_URL}|{_PUNCT}", "")
-
-
 def _any_of(text: Column, parts) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
 
@@ -133,7 +128,7 @@ def join_tokens(tokens: Column | str) -> Column:
 
 def clean_tokens(c: Column | str, stopwords=None) -> Column:
     """Text to words: URLs, punctuation and stop words removed, lower case."""
-    words = _split_words(F.lower(strip_urls_punct(c)))
+    words = _split_words(F.lower(strip_punct(strip_urls(c))))
     return F.filter(words, lambda w: (w != "") & ~is_stopword(w, stopwords))
 
 

@@ -64,24 +64,16 @@ def pick_bucket(
 ) -> str:
     """The coarsest bucket of which none holds more than ``max_rows`` rows of one key.
 
-    Counts the rows once, at the finest level, and rolls the counts up; one row
-    comes back. Use it before a run over series that tick often, and hand the answer
-    to the operators as ``bucket``.
+    Tries them from coarse to fine; each try counts keys and times only and brings
+    back one number. Use it before a run over series that tick often, and hand the
+    answer to the operators as ``bucket``.
     """
-    units = [u for u in BUCKETS if not isinstance(df.schema[ts].dataType, T.DateType) or BUCKETS.index(u) < 3]
-    keys = as_list(key)
-    names = [f"_{u}" for u in units]
-    counts = df.groupBy(*keys, *[calendar_bucket(ts, u).alias(n) for u, n in zip(units, names, strict=True)])
-    level = counts.agg(F.count(F.lit(1)).alias("_n"))
-    widest = None
-    for i in range(len(units) - 1, -1, -1):
-        top = level.agg(F.max("_n").alias(units[i]))
-        widest = top if widest is None else widest.withColumn(units[i], top.scalar())
-        level = level.groupBy(*keys, *names[:i]).agg(F.sum("_n").alias("_n"))
-    most = widest.first()
-    for u in units:
-        if most[u] is None or most[u] <= max_rows:
-            return u
+    dates = isinstance(df.schema[ts].dataType, T.DateType)
+    units = BUCKETS[: BUCKETS.index("day") + 1] if dates else BUCKETS
+    for unit in units[:-1]:
+        counts = df.groupBy(*as_list(key), calendar_bucket(ts, unit).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= max_rows:
+            return unit
     return units[-1]
 
 

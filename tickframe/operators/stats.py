@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,27 +19,28 @@ def naive_forecast(df: DataFrame, *, key: str = "symbol", price: str = "price")
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair, as rows ``(a, b, corr)``; one pass over the data.
 
-    Each pair uses the rows where both are known. A column that does not vary gives NULL.
+    Each pair uses the rows where both are known. A column that does not vary gives
+    NULL. Every row is unfolded into its pairs, which the same task sums up at
+    once; that keeps the generated code small however many columns there are.
     """
-
-    def pair(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        spread = F.sqrt(F.var_pop(F.when(both, F.col(a))) * F.var_pop(F.when(both, F.col(b))))
-        return F.try_divide(F.covar_pop(a, b), spread)
-
-    pairs = list(combinations(cols, 2))
-    one = df.agg(
-        *[pair(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)],
+    pairs = list(combinations_with_replacement(cols, 2))
+    cells = [
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    unfolded = df.select(F.inline(F.array(*cells)))
+    x = F.when(F.col("y").isNotNull(), F.col("x"))
+    y = F.when(F.col("x").isNotNull(), F.col("y"))
+    sums = unfolded.groupBy("pair").agg(
+        F.covar_pop("x", "y").alias("_xy"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy")
     )
-
-    def cell(a: str, b: str, value: Column) -> Column:
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("corr"))
-
-    cells = [cell(c, c, F.when(F.col(f"v{i}") > 0, F.lit(1.0))) for i, c in enumerate(cols)]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"c{i}")), cell(b, a, F.col(f"c{i}"))]
-    return one.select(F.inline(F.array(*cells)))
+    first, second = (F.get(F.lit([p[i] for p in pairs]), F.col("pair")) for i in (0, 1))
+    named = sums.withColumns({"a": first, "b": second})
+    value = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
+    itself = F.col("a") == F.col("b")
+    there = F.struct("a", "b", F.when(itself, F.when(F.col("_xx") > 0, 1.0)).otherwise(value).alias("corr"))
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), value.alias("corr"))
+    return named.select(F.inline(F.when(itself, F.array(there)).otherwise(F.array(there, back))))
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: str | Sequence[str] | None = None) -> DataFrame:
