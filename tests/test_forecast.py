@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -143,3 +147,25 @@ def test_seasonal_differencing_polynomial():
     poly = FC.Arima((1, 1, 1), (1, 1, 1, 12)).differencing
     assert len(poly) == 14
     assert {i: c for i, c in enumerate(poly) if c} == {0: 1.0, 1: -1.0, 12: -1.0, 13: 1.0}
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from tickframe import get_session
+from tickframe.operators import forecast as FC
+
+spark = get_session("elsewhere", "local[1]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "1"})
+df = spark.range(60).selectExpr("'a' as symbol", "date_add(date'2024-01-01', cast(id as int)) as ts",
+                                "cast(id * id % 17 as double) as price")
+print("rows", FC.forecast_all(df, ("arima", "sarima")).where("mean is not null or reason is not null").count())
+"""
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """As on a cluster: Python workers start without this repository on their path."""
+    repo = str(Path(__file__).resolve().parents[1])
+    run = subprocess.run(
+        [sys.executable, "-c", ELSEWHERE, repo], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert "rows 14" in run.stdout, run.stderr[-2000:]

@@ -10,12 +10,14 @@ polynomials as free coefficients.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ from tickframe.operators.indicators import row_tail
 from tickframe.operators.layout import INTERNAL, block_series, block_window, series_blocks
 from tickframe.operators.stats import naive_forecast
 
+# The helpers of the small solves travel with them, so that executors need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows of history a forecast starts from.
 TAIL_ROWS = 100
 _LONG_AR = 20
