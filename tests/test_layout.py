@@ -100,6 +100,20 @@ def test_long_series_is_cut_and_every_row_kept_once(panel):
     assert rows.where("not _halo").count() == panel.count()
 
 
+def test_long_runs_of_null_are_not_copied_along(spark):
+    """400 known prices, 1,200 missing ones, 400 known ones, in blocks of 50 rows."""
+    known = "if(id between 400 and 1599, null, 100 + pmod(id * 7919, 13))"
+    df = spark.range(2000).selectExpr(
+        "'a' as symbol", "date_add(date'2000-01-01', cast(id as int)) as ts", f"cast({known} as double) as price"
+    )
+    valid = F.col("price").isNotNull()
+    rows = block_series(df, block_rows=50, lookback=19, valid=valid, valid_lookback=60)
+    assert rows.groupBy("_blk").count().agg(F.max("count")).first()[0] < 50 + 31 + 19 + 31 + 60 + 31
+    assert rows.where("_halo and price is null").count() < 40 * (19 + 31)
+    both = indicators(df, ema_step(3), bollinger_step(5, price="price"), block_rows=50)
+    assert as_rows(both) == as_rows(indicators(df, ema_step(3), bollinger_step(5, price="price"), block_rows=9999))
+
+
 def test_null_symbols_and_equal_times_survive(spark):
     rows = [(None, "2024-01-01 00:00:00", 1, 1.0), (None, "2024-01-01 00:00:00", 2, 2.0), ("a", "2024-01-01 00:00:00", 1, 5.0)]
     df = spark.createDataFrame(rows, "symbol string, t string, seq int, price double")

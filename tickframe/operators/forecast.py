@@ -186,7 +186,7 @@ def fit_arima(
     blocks = series_blocks(
         known, key=key, ts=ts, bucket=bucket, lookback=spec.lookback, aggs=mean_aggs, derive=derive, **layout
     )
-    rows = block_series(known, key=key, ts=ts, bucket=bucket, lookback=spec.lookback, blocks=blocks)
+    rows = block_series(known, key=key, ts=ts, bucket=bucket, blocks=blocks)
     w = block_window(key, ts, tie)
     if spec.with_const:
         rows = rows.withColumn("_z", F.col("_y") - F.col("_mean"))
@@ -202,7 +202,7 @@ def fit_arima(
         phi = _long_ar(rows, m, key, w)
         # Coefficients travel to the rows by (series, block): both sides are then spread
         # alike, and a long series stays cut into blocks.
-        cut = blocks.select(key, F.explode(F.sequence("_blk", "_last")).alias("_blk")).distinct()
+        cut = blocks.select(key, "_blk").distinct()
         rows = rows.join(phi.join(cut, key), [key, "_blk"])
         fitted = None
         for k in range(1, m + 1):

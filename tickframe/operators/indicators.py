@@ -51,7 +51,11 @@ def indicators(df: DataFrame, *steps: Step, **layout) -> DataFrame:
             rows = step.build(rows, w, part, order)
         return rows
 
-    return over_blocks(df, build, lookback=sum(s.lookback for s in steps), valid=valid, **layout)
+    by_row = sum(s.lookback for s in steps if not s.skips_null)
+    if valid is None:
+        return over_blocks(df, build, lookback=by_row, **layout)
+    total = sum(s.lookback for s in steps)
+    return over_blocks(df, build, lookback=by_row, valid=valid, valid_lookback=total, **layout)
 
 
 def _full(value: Column, counted: str, n: int, frame: WindowSpec) -> Column:

@@ -86,20 +86,25 @@ def series_blocks(
     bucket: str | None = None,
     block_rows: int = BLOCK_ROWS,
     valid: Column | None = None,
+    valid_lookback: int = 0,
     aggs: dict[str, Column] | None = None,
     derive: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per key and bucket: its block, the blocks it must be copied to, and counts.
+    """One row per key and bucket: its block, the last block it must be copied to, and counts.
 
-    ``valid`` restricts what counts as an observation (for operators that skip
-    NULLs). ``aggs`` are extra per-bucket aggregates; ``derive`` may turn them into
+    ``lookback`` counts rows. Operators that skip NULLs say which rows count for them
+    (``valid``) and how many of those they look back on (``valid_lookback``); then
+    only valid rows are copied that far, so a long run of NULLs is never copied
+    along. ``aggs`` are extra per-bucket aggregates; ``derive`` may turn them into
     carried values with the windows ``(whole key, key in time order)``.
     """
     keys = as_list(key)
     bucket = bucket or _default_bucket(df, ts)
-    counted = F.count(F.lit(1)) if valid is None else F.count(F.when(valid, 1))
+    counts = [F.count(F.lit(1)).alias("_n")]
+    if valid is not None:
+        counts.append(F.count(F.when(valid, 1)).alias("_v"))
     extra = [agg.alias(name) for name, agg in (aggs or {}).items()]
-    per = df.groupBy(*keys, calendar_bucket(ts, bucket).alias("_bucket")).agg(counted.alias("_n"), *extra)
+    per = df.groupBy(*keys, calendar_bucket(ts, bucket).alias("_bucket")).agg(*counts, *extra)
 
     whole = Window.partitionBy(*keys)
     walk = whole.orderBy("_bucket")
@@ -109,17 +114,25 @@ def series_blocks(
     per = per.withColumn("_step", F.expr(f"_cum div {int(block_rows)}"))
     opens = (F.col("_step") > F.lag("_step", 1, 0).over(walk)).cast("int")
     per = per.withColumn("_blk", F.sum(opens).over(so_far).cast("int"))
-    if lookback > 0:
-        per = per.withColumn("_next", F.lead("_blk").over(walk))
+    if valid is not None:
+        per = per.withColumn("_vend", F.sum("_v").over(so_far))
+    per = per.withColumn("_next", F.lead("_blk").over(walk))
+
+    def reach(end: str, rows: int) -> Column:
         # A later block opens where its predecessor bucket ends, so the blocks within
-        # reach are those that follow a bucket ending less than `lookback` rows on.
-        reach = whole.orderBy("_end").rangeBetween(0, lookback - 1)
-        per = per.withColumn("_last", F.greatest(F.col("_blk"), F.max("_next").over(reach)))
+        # reach are those that follow a bucket ending less than `rows` rows on.
+        return F.max("_next").over(whole.orderBy(end).rangeBetween(0, rows - 1))
+
+    if lookback > 0:
+        per = per.withColumn("_last", F.greatest("_blk", reach("_end", lookback)))
+    if valid is not None and valid_lookback > 0:
+        nearest = F.col("_last" if lookback > 0 else "_blk")
+        per = per.withColumn("_vlast", F.greatest(nearest, reach("_vend", valid_lookback)))
     per = per.withColumn("_base", F.min("_cum").over(Window.partitionBy(*keys, "_blk")))
     per = per.withColumn("_total", F.sum("_n").over(whole))
     if derive is not None:
         per = derive(per, whole, walk)
-    return per.drop("_n", "_end", "_cum", "_step", "_next")
+    return per.drop("_n", "_v", "_end", "_vend", "_cum", "_step", "_next")
 
 
 def block_series(
@@ -127,10 +140,10 @@ def block_series(
     *,
     key: str | Sequence[str] = "symbol",
     ts: str = "ts",
-    lookback: int = 0,
     bucket: str | None = None,
     blocks: DataFrame | None = None,
     broadcast_rows: int | None = None,
+    valid: Column | None = None,
     **options,
 ) -> DataFrame:
     """Give each row its block (``_blk``), copying the halo rows (``_halo``) where needed.
@@ -142,7 +155,7 @@ def block_series(
     keys = as_list(key)
     bucket = bucket or _default_bucket(df, ts)
     if blocks is None:
-        blocks = series_blocks(df, key=keys, ts=ts, lookback=lookback, bucket=bucket, **options)
+        blocks = series_blocks(df, key=keys, ts=ts, bucket=bucket, valid=valid, **options)
     if broadcast_rows is not None:
         blocks = broadcast_if_small(blocks, broadcast_rows, keep=True)
     renamed = {c: f"_b_{c}" for c in [*keys, "_bucket"]}
@@ -153,11 +166,14 @@ def block_series(
         same = F.col(c).eqNullSafe(F.col(r))
         match = same if match is None else match & same
     joined = rows.join(side, match).drop(*renamed.values())
-    if lookback <= 0:
+    to = F.col("_last") if "_last" in blocks.columns else F.col("_blk")
+    if "_vlast" in blocks.columns:
+        to = F.when(valid, F.col("_vlast")).otherwise(to)
+    if {"_last", "_vlast"}.isdisjoint(blocks.columns):
         placed = joined.withColumn("_halo", F.lit(False))
     else:
-        kept = [c for c in joined.columns if c not in ("_blk", "_last")]
-        copies = F.explode(F.sequence("_blk", "_last")).alias("_to")
+        kept = [c for c in joined.columns if c not in ("_blk", "_last", "_vlast")]
+        copies = F.explode(F.sequence(F.col("_blk"), to)).alias("_to")
         placed = joined.select(*kept, "_blk", copies).select(
             *kept, F.col("_to").alias("_blk"), (F.col("_to") > F.col("_blk")).alias("_halo")
         )
