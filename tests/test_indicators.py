@@ -129,6 +129,14 @@ def test_row_tail(series):
     ]
 
 
+def test_row_tail_merges_tails_of_many_tasks(series):
+    df = series({"a": range(500), "b": range(3)}).repartition(70)
+    out = I.row_tail(df, 5)
+    assert sorted(r.price for r in out.where("symbol = 'a'").collect()) == [495, 496, 497, 498, 499]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SinglePartition" not in plan
+
+
 def test_fill_both_ends(series):
     df = series({"a": [None, 1, None, None, 4, None]})
     assert column(ffill_bfill(df, ["price"]), "price") == [1, 1, 1, 1, 4, 4]

@@ -290,7 +290,22 @@ def lag_features(df: DataFrame, p: int = 5, *, price: str = "price", out: str =
     return indicators(df, Step(p, build), **layout)
 
 
-def row_tail(df: DataFrame, n: int = 100, *, key: str | Sequence[str] = "symbol", ts: str = "ts", tie=()) -> DataFrame:
-    """Last ``n`` rows of each series; every map task keeps at most ``n`` per key before the shuffle."""
-    newest = Window.partitionBy(*as_list(key)).orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tie])
-    return df.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n).drop("_rn")
+#: Groups of map tasks whose tails are merged before the last merge of a series.
+_TAIL_GROUPS = 64
+
+
+def row_tail(
+    df: DataFrame, n: int = 100, *, key: str | Sequence[str] = "symbol", ts: str = "ts", tie: Sequence[str] = ()
+) -> DataFrame:
+    """Last ``n`` rows of each series.
+
+    Every map task keeps at most ``n`` rows per key. Tails are merged first within
+    groups of tasks and then per key, so a symbol found in a great many files does
+    not bring all its tails to one task at once.
+    """
+    newest = [F.col(c).desc() for c in (ts, *tie)]
+    rows = df.withColumn("_group", F.spark_partition_id() % _TAIL_GROUPS)
+    for part in ([*as_list(key), "_group"], as_list(key)):
+        w = Window.partitionBy(*part).orderBy(*newest)
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return rows.drop("_group")
