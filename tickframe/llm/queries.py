@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickframe.llm.common import table
+from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
 from tickframe.session import configure
 
@@ -72,3 +73,9 @@ def repetition_sql(source: str = "documents") -> str:
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition coverage and verdict of every document."""
     return repetition(table(spark, sf_dir, "documents"))
+
+
+@query("op10_dart_minhash")
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
