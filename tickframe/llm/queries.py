@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickframe.llm.common import table
 from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
+from tickframe.llm.tiling import contaminated
 from tickframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,9 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_string_tiling")
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover half of a benchmark item or more."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
