@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickframe.llm.bpe import decode, digests, encode
 from tickframe.llm.common import table
 from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
 from tickframe.llm.tiling import contaminated
+from tickframe.llm.windows import budgeted_windows, conversation_digests
 from tickframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +90,29 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover half of a benchmark item or more."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The query adds a conversation whose texts look like the template.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return given.union(spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit(TRICKY)))
+
+
+@query("op6_budgeted_windows")
+def op6_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation read back from its windows."""
+    return conversation_digests(budgeted_windows(conversations(spark, sf_dir)))
+
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the encoded and decoded text of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decode(encode(docs, TOKENIZER).drop("text"), TOKENIZER).select("doc_id", *digests())
