@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.bpe import decode, digests, encode
 from tickframe.llm.common import table
 from tickframe.llm.neardup import near_duplicates
+from tickframe.llm.packing import text_shards
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
 from tickframe.llm.tiling import contaminated
 from tickframe.llm.windows import budgeted_windows, conversation_digests
@@ -116,3 +117,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the encoded and decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decode(encode(docs, TOKENIZER).drop("text"), TOKENIZER).select("doc_id", *digests())
+
+
+@query("op5_best_fit")
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes."""
+    law = {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    return text_shards(table(spark, sf_dir, "documents")).withColumns(law)
