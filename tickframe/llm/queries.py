@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm.bpe import decode, digests, encode
-from tickframe.llm.common import table
+from tickframe.llm.common import held_out, table
 from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.packing import text_shards
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
+from tickframe.llm.rulefit import quality
 from tickframe.llm.tiling import contaminated
 from tickframe.llm.windows import budgeted_windows, conversation_digests
 from tickframe.session import configure
@@ -124,3 +125,11 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     law = {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
     return text_shards(table(spark, sf_dir, "documents")).withColumns(law)
+
+
+@query("op7_rule_ensemble")
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from labels outside the fifth fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality(docs, labels.where(~held_out(5, 0)))
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
