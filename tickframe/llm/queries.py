@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tickframe.llm.bpe import decode, digests, encode
 from tickframe.llm.common import held_out, table
+from tickframe.llm.langid import fit as fit_languages
+from tickframe.llm.langid import identify
 from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.packing import text_shards
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
@@ -133,3 +135,11 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality(docs, labels.where(~held_out(5, 0)))
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_bigru_langid")
+def op9_bigru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit_languages(docs.where(~held_out(4, 2))))
+    return found.withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "letters", "agreement")
