@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm.bpe import decode, digests, encode
 from tickframe.llm.common import held_out, table
+from tickframe.llm import kneser_ney
 from tickframe.llm.langid import fit as fit_languages
 from tickframe.llm.langid import identify
 from tickframe.llm.neardup import near_duplicates
@@ -143,3 +144,18 @@ def op9_bigru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_languages(docs.where(~held_out(4, 2))))
     return found.withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "letters", "agreement")
+
+
+#: Bigrams: on these corpora four of five trigrams are new, and their counts alone would
+#: take more disk than the budget of the check tool.
+ORDER = 2
+
+
+@query("op2_kneser_ney")
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~held_out(7, 2)), order=ORDER)
+    found = kneser_ney.score(table(spark, sf_dir, "documents"), model).withColumn("held_out", held_out(7, 2))
+    first = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return found.select(*first, "perplexity")
