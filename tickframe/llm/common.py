@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tickframe
+
 #: Rows of a batch that Spark hands to Python: bounds a worker's memory.
 BATCH_ROWS = 1000
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library to the executors, once per application, as they may not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(tickframe.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tickframe-")) / "tickframe.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, Path(top.name) / path.relative_to(top))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
