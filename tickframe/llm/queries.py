@@ -17,6 +17,8 @@ from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.packing import text_shards
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
 from tickframe.llm.rulefit import quality
+from tickframe.llm.secrets import find_secrets
+from tickframe.llm.secrets import fit as fit_secrets
 from tickframe.llm.tiling import contaminated
 from tickframe.llm.windows import budgeted_windows, conversation_digests
 from tickframe.session import configure
@@ -159,3 +161,10 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kneser_ney.score(table(spark, sf_dir, "documents"), model).withColumn("held_out", held_out(7, 2))
     first = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return found.select(*first, "perplexity")
+
+
+@query("op1_secret_forest")
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in the documents; a document's source stands for its path."""
+    docs = table(spark, sf_dir, "documents")
+    return find_secrets(docs, *fit_secrets(docs))
