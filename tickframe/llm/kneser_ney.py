@@ -29,7 +29,7 @@ _U = W.U64
 #: Markers before and after a text; other tokens are hashes of words.
 BEGIN, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 #: Windows a counting task gathers before it sends blocks: bounds its memory.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 GRAMS, CONTEXTS, TOTALS = 0, 1, 2
 _BLOCK = "part int, kind int, level int, body binary"
 
@@ -78,7 +78,35 @@ def _blocks(kind: int, level: int, key: np.ndarray, columns: list[np.ndarray], p
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[p] : edges[p + 1]]
-        yield p, kind, level, np.stack([c[own].astype(_U, copy=False) for c in columns]).tobytes()
+        yield p, kind, level, _packed([c[own] for c in columns], level if kind == GRAMS else 1)
+
+
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(columns: list[np.ndarray], hashed: int) -> bytes:
+    """Columns of hashes as places in a list of the distinct ones, then numbers; compressed."""
+    known, place = np.unique(np.concatenate(columns[:hashed]), return_inverse=True)
+    places = place.reshape(hashed, -1).astype(np.uint32)
+    places[0, 1:] = np.diff(places[0].astype(np.int64)).astype(np.uint32)  # the first column ascends
+    numbers = np.stack(columns[hashed:]).astype(_U)
+    body = places.view(np.uint8).reshape(-1, 4).T.tobytes() + numbers.tobytes()
+    head = np.array([len(known), len(columns[0]), hashed, len(columns), len(body)], np.int64)
+    return head.tobytes() + known.tobytes() + bytes(memoryview(_ZSTD.compress(body)))
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    """The columns of a block, as rows of one array."""
+    n, size, hashed, width, length = np.frombuffer(body, np.int64, 5).tolist()
+    known = np.frombuffer(body, _U, n, 40)
+    rest = memoryview(_ZSTD.decompress(body[40 + 8 * n :], length))
+    places = np.frombuffer(rest, np.uint8, 4 * hashed * size).reshape(4, -1).T
+    places = np.ascontiguousarray(places).view(np.uint32).reshape(hashed, size).copy()
+    places[0] = np.cumsum(places[0], dtype=np.int64)
+    out = np.empty((width, size), _U)
+    out[:hashed] = known[places]
+    out[hashed:] = np.frombuffer(rest, _U, (width - hashed) * size, 4 * hashed * size).reshape(-1, size)
+    return out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -186,8 +214,7 @@ def _merge(order: int, parts: int, path: str):
             if kind == TOTALS:
                 yield from ((part, kind, level, b) for b in bodies)
                 return
-            width = level + 2 if kind == GRAMS else 5
-            arrays = [np.frombuffer(b, _U).reshape(width, -1) for b in bodies]
+            arrays = [_unpacked(b) for b in bodies]
             if kind == CONTEXTS:
                 contexts(part, level, arrays)
             else:
