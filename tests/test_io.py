@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,17 +193,38 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
     assert points.where("field = 'current_price' and measurement = 'a'").count() == 3
 
 
-def test_stream_dedupe(spark, tmp_path):
+def test_last_to_arrive_wins_whatever_the_size_of_its_file(spark, tmp_path):
+    for large in (False, True):
+        landing, root = tmp_path / f"landing{large}", str(tmp_path / f"store{large}")
+        filler = [record(f"x{k}") for k in range(400)]
+        land(landing, "1.json", [record("a", price=1.0), record("b", price=1.0), record("b", price=2.0)] + ([] if large else filler))
+        os.utime(landing / "1.json", (1_700_000_000, 1_700_000_000))
+        land(landing, "2.json", ([record("a", price=3.0)] + filler if large else []) + [record("a", price=2.0)])
+        jobs.stream_upsert(spark, str(landing), root, root + "/checkpoint", once=True).awaitTermination()
+        latest = {r.id: r.current_price for r in W.read_latest(spark, root).where("id in ('a', 'b')").collect()}
+        assert latest == {"a": 2.0, "b": 2.0}
+
+
+def test_stream_dedupe_keeps_late_coins_and_bad_times(spark, tmp_path):
     landing, out = tmp_path / "landing", str(tmp_path / "out")
-    land(landing, "1.json", [record("a"), record("a"), record("b"), record("a", "2024-01-01T00:05:00Z")])
-    for _ in range(2):
-        jobs.stream_dedupe(spark, str(landing), out, out + "-cp", once=True).awaitTermination()
-        land(landing, "2.json", [record("a", "2024-01-01T00:05:00Z"), record("c", "2024-01-01T00:05:00Z")])
+    polls = [
+        [record("a", "2024-01-01T12:00:00Z"), record("a", "2024-01-01T12:00:00Z"), record("d", "garbled", 1.0)],
+        [record("b", "2024-01-01T09:00:00Z"), record("a", "2024-01-01T12:05:00Z"), record("d", "garbled", 2.0)],
+        [record("c", "2023-01-01T10:00:00Z"), record("a", "2024-01-01T12:00:00Z"), record("d", "garbled", 2.0)],
+    ]
+    for k, rows in enumerate(polls):
+        land(landing, f"{k}.json", rows)
+        for _ in range(2):
+            jobs.stream_dedupe(spark, str(landing), out, out + "-cp", once=True).awaitTermination()
     rows = spark.read.parquet(out)
-    assert sorted((r.id, r.last_updated.minute) for r in rows.collect()) == [("a", 0), ("a", 5), ("b", 0), ("c", 5)]
+    assert sorted((r.id, r.last_updated.hour, r.last_updated.minute) for r in rows.collect()) == [
+        ("a", 12, 0), ("a", 12, 5), ("b", 9, 0), ("c", 10, 0)
+    ]
+    bad = spark.read.parquet(out + "-quarantine").collect()
+    assert sorted((r.id, json.loads(r.record)["current_price"]) for r in bad) == [("d", 1.0), ("d", 2.0)]
 
 
-def test_stream_bars_drop_late_ticks(spark, tmp_path):
+def test_stream_bars_take_late_ticks_and_open_intervals(spark, tmp_path):
     landing, out = str(tmp_path / "ticks"), str(tmp_path / "bars")
 
     def land_ticks(rows):
@@ -210,16 +232,16 @@ def test_stream_bars_drop_late_ticks(spark, tmp_path):
         df.selectExpr("tick_id", "symbol", "cast(t as timestamp_ntz) as ts", "price").coalesce(1).write.mode("append").parquet(landing)
 
     def run():
-        jobs.stream_bars(spark, landing, out, out + "-cp", "1 hour", "10 minutes", once=True).awaitTermination()
+        jobs.stream_bars(spark, landing, out, out + "-cp", "1 hour", once=True).awaitTermination()
 
     land_ticks([(1, "a", "2024-01-01 00:05:00", 5.0), (2, "a", "2024-01-01 00:30:00", 7.0), (3, "a", "2024-01-01 02:30:00", 1.0)])
     run()
-    land_ticks([(4, "a", "2024-01-01 00:40:00", 99.0), (5, "a", "2024-01-01 05:00:00", 2.0)])
+    land_ticks([(4, "a", "2024-01-01 00:40:00", 99.0), (5, "a", "2024-01-01 05:00:00", 2.0), (6, "a", "2024-01-01 05:01:00", None)])
     run()
-    got = {r.ts.hour: (r.open, r.high, r.low, r.close, r.ticks) for r in spark.read.parquet(out).collect()}
-    assert got == {0: (5.0, 7.0, 5.0, 7.0, 2), 2: (1.0, 1.0, 1.0, 1.0, 1)}
-    batch = ohlc_bars(spark.read.parquet(landing).where("tick_id <> 4"), "1 hour")
-    assert {r.ts.hour: r.close for r in batch.where(F.hour("ts") < 5).collect()} == {0: 7.0, 2: 1.0}
+    got = {r.ts.hour: (r.open, r.high, r.low, r.close, r.ticks) for r in jobs.read_bars(spark, out).collect()}
+    assert got == {0: (5.0, 99.0, 5.0, 99.0, 3), 2: (1.0, 1.0, 1.0, 1.0, 1), 5: (2.0, 2.0, 2.0, 2.0, 1)}
+    batch = ohlc_bars(spark.read.parquet(landing).where("price is not null"), "1 hour")
+    assert {r.ts.hour: (r.open, r.high, r.low, r.close) for r in batch.collect()} == {h: v[:4] for h, v in got.items()}
 
 
 def test_conform_fills_missing(spark):

@@ -28,7 +28,7 @@ from tickframe.plans.adapters import (
     updates,
 )
 from tickframe.plans.registry import query
-from tickframe.schemas import PREDICTIONS, conform
+from tickframe.schemas import PREDICTIONS, PRICE_DAYS, conform
 from tickframe.session import work_path
 from tickframe.sources import readers as R
 from tickframe.sources import writers as W
@@ -238,27 +238,36 @@ def save_model(spark, sf):
 # --- streams ----------------------------------------------------------------
 
 
+POLLS = 5
+
+
 def _land_updates(spark, sf) -> str:
-    """All changes of all coins as landed records, named so that file order does not matter."""
+    """All raw changes in polls that do not follow their times, landed one after another.
+
+    A poll holds the orders of one remainder; within it a coin's changes are in one file, by
+    order and line. So arrival is by remainder, order, line, and equal times are common.
+    """
     path = work_path(spark, "updates")
-    rows = updates(spark, sf)
-    ordered = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "current_price")
-    one_per_poll = rows.groupBy("id", "last_updated").agg(
-        F.max_by(F.struct("current_price", "volume", "discount"), ordered).alias("r")
-    )
-    landed = one_per_poll.select(
+    rows = updates(spark, sf).select(
         "id",
-        F.col("r.current_price").alias("current_price"),
-        F.col("r.volume").alias("circulating_supply"),
-        F.col("r.discount").alias("price_change_percentage_24h"),
+        "current_price",
+        F.col("volume").alias("circulating_supply"),
+        F.col("discount").alias("price_change_percentage_24h"),
         F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("last_updated"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
     )
-    landed.repartition(4, "last_updated").write.json(path)
+    order = ("l_orderkey", "l_linenumber", "l_suppkey", "current_price")
+    for poll in range(POLLS):
+        landed = rows.where(F.col("l_orderkey") % POLLS == poll).repartition(2, "id").sortWithinPartitions(*order)
+        landed.drop("l_orderkey", "l_linenumber", "l_suppkey").write.mode("append").json(path)
     return path
 
 
 _LATEST = f"""{UPDATES}, latest as (select * from updates qualify row_number() over (partition by id order by
-    last_updated desc, l_orderkey desc, l_linenumber desc, l_suppkey desc, current_price desc) = 1)"""
+    last_updated desc, l_orderkey % {POLLS} desc, l_orderkey desc, l_linenumber desc, l_suppkey desc,
+    current_price desc) = 1)"""
 _LATEST_SQL = f"""with {_LATEST} select id, current_price, volume as circulating_supply, last_updated,
     round(discount / 100 + 1, 6) as expected_return,
     round(current_price * pow(discount / 100 + 1, 7), 3) as price_day_7 from latest"""
@@ -279,7 +288,7 @@ def _run_upserts(spark, sf, **options) -> tuple[str, str]:
     root = work_path(spark, "coins")
     points = f"{root}/points"
     jobs.stream_upsert(
-        spark, _land_updates(spark, sf), root, f"{root}/checkpoint", points=points, once=True, max_files=2, **options
+        spark, _land_updates(spark, sf), root, f"{root}/checkpoint", points=points, once=True, max_files=1, **options
     ).awaitTermination()
     return root, points
 
@@ -291,22 +300,25 @@ def stream_snapshot_upsert(spark, sf):
     return _latest_columns(W.read_latest(spark, root))
 
 
+_DAYS = range(1, PRICE_DAYS + 1)
+
+
 @query(
     "ingest_updates",
-    f"""with {UPDATES}, polls as (select * from updates qualify row_number() over (partition by id, last_updated
-        order by l_orderkey desc, l_linenumber desc, l_suppkey desc, current_price desc) = 1)
+    f"""with {UPDATES}
     select field, count(*) as n, round(sum(value), 2) as total from (
-        select 'current_price' as field, current_price as value from polls
-        union all select 'circulating_supply', volume from polls
-        union all select 'price_change_percentage_24h', discount from polls where discount is not null
-        union all select 'expected_return', discount / 100 + 1 from polls where discount is not null) p group by 1""",
+        select 'current_price' as field, current_price as value from updates
+        union all select 'circulating_supply', volume from updates
+        union all select 'price_change_percentage_24h', discount from updates where discount is not null
+        union all select 'expected_return', discount / 100 + 1 from updates where discount is not null
+        {" ".join(f"union all select 'price_day_{d}', current_price * pow(discount / 100 + 1, {d}) from updates "
+                  "where discount is not null" for d in _DAYS)}) p group by 1""",
 )
 def ingest_updates(spark, sf):
-    """The points that pushed updates leave behind."""
+    """The points that pushed updates leave behind, all fields of all changes."""
     _, points = _run_upserts(spark, sf)
     rows = W.read_points(spark, points)
-    shown = rows.where(~F.col("field").startswith("price_day_"))
-    return shown.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("stream_cached_view", _LATEST_SQL)
@@ -318,26 +330,24 @@ def stream_cached_view(spark, sf):
 
 @query("stream_dedupe", "select distinct cast(l_partkey as varchar) as id, l_shipdate as last_updated from lineitem")
 def stream_dedupe(spark, sf):
-    """Every line item is a poll; equal ``(id, last_updated)`` arrive many times."""
-    landing, out = work_path(spark, "polls"), work_path(spark, "deduped")
-    polls = updates(spark, sf).select(
-        "id", "current_price", F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_updated")
-    )
-    polls.union(polls).write.json(landing)
-    jobs.stream_dedupe(spark, landing, out, f"{out}-checkpoint", delay="1 hour", once=True).awaitTermination()
+    """Every line item is a poll, landed out of time order; ``(id, last_updated)`` arrive many times."""
+    landing, out = _land_updates(spark, sf), work_path(spark, "deduped")
+
+    def take() -> None:
+        jobs.stream_dedupe(spark, landing, out, f"{out}-checkpoint", once=True, max_files=1).awaitTermination()
+
+    take()
+    again = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_updated")
+    updates(spark, sf).select("id", "current_price", again).write.mode("append").json(landing)
+    take()
     return spark.read.parquet(out).select("id", F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
 
 
-@query(
-    "stream_ohlc_bars",
-    f"""with {DAILY} select symbol, ts, open, high, low, close, ticks from bars
-    where ts + interval 1 day <= (select max(ts) - interval 1 hour from events)""",
-)
+@query("stream_ohlc_bars", f"with {DAILY} select symbol, ts, open, high, low, close, ticks from bars")
 def stream_ohlc_bars(spark, sf):
-    """Bars of the days that are closed when the stream ends."""
+    """All bars, the last day's included, from ticks that come in five batches out of time order."""
     landing, out = work_path(spark, "ticks"), work_path(spark, "bars")
-    ticks(spark, sf).write.parquet(landing)
-    jobs.stream_bars(spark, landing, out, f"{out}-checkpoint", "1 day", "1 hour", once=True).awaitTermination()
-    return spark.read.parquet(out)
-
-
+    for part in range(POLLS):
+        ticks(spark, sf).where(F.col("tick_id") % POLLS == part).write.mode("append").parquet(landing)
+    jobs.stream_bars(spark, landing, out, f"{out}-checkpoint", "1 day", once=True, max_files=1).awaitTermination()
+    return jobs.read_bars(spark, out)

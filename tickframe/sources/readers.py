@@ -18,10 +18,11 @@ def scan_market(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MARKET_RAW).json(path)
 
 
-def market_rows(raw: DataFrame) -> DataFrame:
-    """Raw records as rows of the coin table: parsed times, expected return, price path."""
+def market_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Raw records as rows of the coin table: parsed times, expected return, price path; ``keep`` stays as it is."""
     typed = raw.withColumns({"last_updated": parse_ts("last_updated"), "ath_date": parse_date("ath_date")})
-    return conform(analyse(nan_to_null(typed)), MARKET)
+    kept = [f for f in raw.schema.fields if f.name in keep]
+    return conform(analyse(nan_to_null(typed)), T.StructType([*MARKET.fields, *kept]))
 
 
 def scan_market_top(spark: SparkSession, path: str, k: int = 250) -> DataFrame:

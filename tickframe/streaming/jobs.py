@@ -1,8 +1,8 @@
-"""Streaming jobs: snapshot upsert, served view, dedupe, live bars."""
+"""Streaming jobs: snapshot upsert, served view, dedupe, bars that grow with late ticks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,10 +20,21 @@ def _trigger(once: bool, interval: str) -> dict:
 
 
 def read_market_stream(spark: SparkSession, landing: str, *, max_files: int | None = None) -> DataFrame:
+    """Landed records, each with the time and name of its file and the place of its block there (``file``)."""
     reader = spark.readStream.schema(MARKET_RAW)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(landing)
+    place = ("file_modification_time", "file_name", "file_block_start")
+    return reader.json(landing).select("*", F.struct(*[f"_metadata.{c}" for c in place]).alias("file"))
+
+
+def arrival(file: str = "file") -> Column:
+    """What orders records as they arrived: file by file, then by place in the file.
+
+    A block of a file is read by one task from its beginning to its end, so ids that grow
+    within a task follow the lines of the block however files are packed into tasks.
+    """
+    return F.struct(f"{file}.*", F.monotonically_increasing_id().alias("line"))
 
 
 def stream_upsert(
@@ -41,13 +52,13 @@ def stream_upsert(
     """Landed snapshots to the change log of the latest view, once per batch.
 
     Every write goes to a place named after the batch, so a retried batch replaces
-    its own rows. ``points`` also keeps the numbers as time-series points, ``serve``
+    its own rows. Of changes with the same ``last_updated`` the one that arrived last wins. ``points`` also keeps the numbers as time-series points, ``serve``
     writes a new version of the view for readers after each batch. Pushed updates
     land in the same kind of folder and take the same way.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = market_rows(batch).withColumn("seq", F.monotonically_increasing_id())
+        rows = market_rows(batch.withColumn("seq", arrival()), keep=["seq"])
         append_changes(rows, root, batch_id)
         if points:
             log = batch.sparkSession.read.parquet(f"{root}/log/batch_id={int(batch_id)}")
@@ -66,10 +77,13 @@ def stream_upsert(
     )
 
 
-def dedupe(stream: DataFrame, *, key: str = "id", ts: str = "last_updated", delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of ``(key, ts)`` that arrive within the delay."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key, ts])
+def dedupe(stream: DataFrame, *, key: str = "id", ts: str = "last_updated") -> DataFrame:
+    """Each ``(key, ts)`` once, however late it comes.
+
+    The pairs seen so far are keyed state without expiry: a coin that is heard of for the
+    first time is never too late. Give long-running jobs the RocksDB state store.
+    """
+    return stream.dropDuplicates([key, ts])
 
 
 def stream_dedupe(
@@ -78,63 +92,100 @@ def stream_dedupe(
     out: str,
     checkpoint: str,
     *,
+    quarantine: str | None = None,
     schema: T.StructType | None = None,
-    delay: str = "1 hour",
     once: bool = False,
     interval: str = POLL,
+    max_files: int | None = None,
 ) -> StreamingQuery:
-    """Landed snapshots, each ``(id, last_updated)`` once, appended to parquet."""
-    raw = spark.readStream.schema(schema or MARKET_RAW).json(landing)
-    timed = raw.withColumn("last_updated", F.try_to_timestamp("last_updated"))
+    """Landed snapshots, each ``(id, last_updated)`` once, below ``out``, a folder per batch.
+
+    Records whose time cannot be read are no repeats of one another: they go whole, as
+    JSON text, below ``quarantine`` (``<out>-quarantine`` by default).
+    """
+    aside = quarantine or f"{out.rstrip('/')}-quarantine"
+    reader = spark.readStream.schema(schema or MARKET_RAW)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    raw = reader.json(landing)
+    read = F.try_to_timestamp("last_updated")
+    # the text of a record that cannot be placed in time tells it apart from others of its coin
+    timed = raw.withColumn("_bad", F.when(read.isNull(), F.to_json(F.struct("*")))).withColumn("last_updated", read)
+    once_each = timed.dropDuplicates(["id", "last_updated", "_bad"])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good = batch.where("_bad is null").drop("_bad")
+        good.write.mode("overwrite").parquet(f"{out}/batch_id={int(batch_id)}")
+        bad = batch.where("_bad is not null").select("id", F.col("_bad").alias("record"))
+        bad.write.mode("overwrite").parquet(f"{aside}/batch_id={int(batch_id)}")
+
     return (
-        dedupe(timed, delay=delay)
-        .writeStream.format("parquet")
-        .option("path", out)
+        once_each.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**_trigger(once, interval))
         .start()
     )
 
 
-def live_bars(ticks: DataFrame, interval: str = "1 day", delay: str = "1 hour", *, key: str = "symbol") -> DataFrame:
-    """Bars of closed intervals from a tick stream; ticks older than the watermark are dropped."""
-    timed = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    order = F.struct("ts", "tick_id")
-    bars = timed.groupBy(key, F.window("ts", interval).alias("_w")).agg(
-        F.min_by("price", order).alias("open"),
+def partial_bars(ticks: DataFrame, interval: str = "1 day", *, key: str = "symbol") -> DataFrame:
+    """What a batch of ticks adds to each bar: first and last tick with their order, extremes, count."""
+    timed = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+    tick = F.struct("ts", "tick_id", "price")
+    return timed.groupBy(key, F.window("ts", interval)["start"].alias("start")).agg(
+        F.min(F.when(F.col("price").isNotNull(), tick)).alias("first"),
+        F.max(F.when(F.col("price").isNotNull(), tick)).alias("last"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", order).alias("close"),
         F.count("price").alias("ticks"),
     )
-    return bars.select(
-        key, F.col("_w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "ticks"
+
+
+def merge_bars(parts: DataFrame, *, key: str = "symbol") -> DataFrame:
+    """Partial bars of the same interval put together; merging in steps gives the same."""
+    return parts.groupBy(key, "start").agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.sum("ticks").alias("ticks"),
     )
 
 
+def read_bars(spark: SparkSession, root: str, *, key: str = "symbol") -> DataFrame:
+    """All bars so far, open ones and late ticks included."""
+    merged = merge_bars(spark.read.parquet(root), key=key)
+    start = F.col("start").cast("timestamp_ntz").alias("ts")
+    prices = [F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close")]
+    return merged.select(key, start, *prices, "ticks")
+
+
 def stream_bars(
     spark: SparkSession,
     landing: str,
-    out: str,
+    root: str,
     checkpoint: str,
     interval: str = "1 day",
-    delay: str = "1 hour",
     *,
     once: bool = False,
     every: str = POLL,
     max_files: int | None = None,
 ) -> StreamingQuery:
-    """Landed parquet ticks ``(tick_id, symbol, ts, price)`` to bars of closed intervals."""
+    """Landed parquet ticks ``(tick_id, symbol, ts, price)`` to partial bars, a folder per batch.
+
+    ``read_bars`` merges them. No tick is too late and no bar has to close first; a batch
+    that is run again replaces its own folder.
+    """
     reader = spark.readStream.schema("tick_id bigint, symbol string, ts timestamp_ntz, price double")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial_bars(batch, interval).write.mode("overwrite").parquet(f"{root}/batch_id={int(batch_id)}")
+
     return (
-        live_bars(reader.parquet(landing), interval, delay)
-        .writeStream.format("parquet")
-        .option("path", out)
+        reader.parquet(landing)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**_trigger(once, every))
         .start()
     )
