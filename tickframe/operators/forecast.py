@@ -10,6 +10,7 @@ polynomials as free coefficients.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -29,9 +30,11 @@ from tickframe.operators.stats import naive_forecast
 # this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of history a forecast starts from.
-TAIL_ROWS = 100
-_LONG_AR = 20
+#: Largest root that moving-average weights keep, and the share of a shock at the start of
+#: the history that may still be felt: together they say how many rows a forecast starts from.
+ROOT, FELT = 0.995, 1e-12
+#: Highest order of the long autoregression; a series of n rows uses 10 log10(n) of it.
+LONG_AR = 60
 _MODEL = (
     "const double, ar_lags array<int>, ar array<double>, ma_lags array<int>, ma array<double>, "
     "exog array<double>, sigma2 double, n bigint, reason string"
@@ -75,7 +78,13 @@ class Arima:
 
     @property
     def long_ar(self) -> int:
-        return max(_LONG_AR, 2 * max(self.ma_lags, default=0)) if self.ma_lags else 0
+        return max(LONG_AR, 2 * max(self.ma_lags, default=0)) if self.ma_lags else 0
+
+    @property
+    def tail(self) -> int:
+        """Rows before the end that a forecast depends on."""
+        memory = math.ceil(math.log(FELT) / math.log(ROOT)) if self.ma_lags else 0
+        return memory + self.lookback + len(self.differencing) + 2
 
     @property
     def lookback(self) -> int:
@@ -129,14 +138,17 @@ def _invertible(lags: Sequence[int], weights: Sequence[float]) -> list[float]:
         poly[0] = 1.0
         poly[list(lags)] = weights
         roots = np.roots(poly)
-        if not len(roots) or np.abs(roots).max() < 0.995:
+        if not len(roots) or np.abs(roots).max() < ROOT:
             break
         weights = [v * 0.95**lag for lag, v in zip(lags, weights, strict=True)]
     return weights
 
 
-def _long_ar(rows: DataFrame, m: int, key: str, w: WindowSpec) -> DataFrame:
-    """Coefficients of an autoregression of order ``m`` per series, from its autocovariances."""
+def _long_ar(rows: DataFrame, m: int, shortest: int, key: str, w: WindowSpec) -> DataFrame:
+    """Coefficients of a long autoregression per series, from its autocovariances.
+
+    The order grows with the length of the series up to ``m``; further coefficients are 0.
+    """
     lagged = rows.select(
         key,
         "_halo",
@@ -151,12 +163,15 @@ def _long_ar(rows: DataFrame, m: int, key: str, w: WindowSpec) -> DataFrame:
             out = []
             for n, cov in zip(pdf["_n"], pdf["_cov"], strict=True):
                 gamma = np.array([np.nan if v is None else v for v in cov], dtype=float)
-                if n <= 2 * m or not np.isfinite(gamma).all() or gamma[0] <= 0:
+                order = min(m, max(shortest, math.ceil(10 * math.log10(max(n, 1)))), n // 3)
+                gamma = gamma[: order + 1]
+                if order < 1 or not np.isfinite(gamma).all() or gamma[0] <= 0:
                     out.append(None)
                     continue
-                steps = np.arange(m)
+                steps = np.arange(order)
                 toeplitz = gamma[np.abs(steps[:, None] - steps[None, :])]
-                out.append(np.linalg.lstsq(toeplitz, gamma[1:], rcond=None)[0].tolist())
+                phi = np.linalg.lstsq(toeplitz, gamma[1:], rcond=None)[0]
+                out.append([*phi.tolist(), *[0.0] * (m - order)])
             yield pd.DataFrame({key: pdf[key], "_phi": out})
 
     kind = rows.schema[key].dataType.simpleString()
@@ -174,7 +189,10 @@ def fit_arima(
     bucket: str | None = None,
     **layout,
 ) -> DataFrame:
-    """One model row per series; ``reason`` says why a series has none."""
+    """One model row per series; ``reason`` says why a series has none, or what to be wary of.
+
+    A series has no model only if it is too short to hold one row with all its lags.
+    """
     known = df.where(F.col(price).isNotNull()).select(
         key, ts, *tie, F.col(price).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in spec.exog]
     )
@@ -196,17 +214,21 @@ def fit_arima(
     for i, c in enumerate(spec.exog):
         rows = rows.withColumn(f"_e{i}", _lagged_sum(spec.differencing, c, w))
         regressors.append(f"_e{i}")
+    if regressors and spec.with_const:  # the price is centred, the regressors are not
+        rows = rows.withColumn("_one", F.lit(1.0))
+        regressors.append("_one")
 
     if spec.ma_lags:
         m = spec.long_ar
-        phi = _long_ar(rows, m, key, w)
+        phi = _long_ar(rows, m, 2 * max(spec.ma_lags), key, w)
         # Coefficients travel to the rows by (series, block): both sides are then spread
         # alike, and a long series stays cut into blocks.
         cut = blocks.select(key, "_blk").distinct()
         rows = rows.join(phi.join(cut, key), [key, "_blk"])
         fitted = None
         for k in range(1, m + 1):
-            term = F.get("_phi", F.lit(k - 1)) * F.lag("_z", k).over(w)
+            weight = F.get("_phi", F.lit(k - 1))
+            term = F.when(weight != 0, weight * F.lag("_z", k).over(w)).otherwise(0.0)
             fitted = term if fitted is None else fitted + term
         rows = rows.withColumn("_u", F.col("_z") - fitted)
 
@@ -219,25 +241,24 @@ def fit_arima(
     complete = complete.dropna(subset=names)
     mean = F.max("_mean") if spec.with_const else F.lit(0.0)
     gram = complete.groupBy(key).agg(F.count(F.lit(1)).alias("n"), mean.alias("_mu"), sums.alias("_g"))
-    ar_lags, ma_lags, size = spec.ar_lags, spec.ma_lags, len(names)
+    ar_lags, ma_lags, size, n_exog = spec.ar_lags, spec.ma_lags, len(names), len(spec.exog)
 
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             out = []
             for n, mu, flat in zip(pdf["n"], pdf["_mu"], pdf["_g"], strict=True):
-                if n < 2 * size:
-                    out.append((None, None, None, None, None, None, None, n, "too few rows"))
-                    continue
                 full = _square(pairs, flat, size)
                 xx, xy, yy = full[:-1, :-1], full[:-1, -1], full[-1, -1]
-                beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-                sigma2 = max(float(yy - beta @ xy) / n, 0.0)
+                beta = np.linalg.lstsq(xx, xy, rcond=None)[0]  # of least norm where rows are too few
                 a, b = len(ar_lags), len(ar_lags) + len(ma_lags)
+                reason = "few rows" if n < 2 * size else None
                 ma = _invertible(ma_lags, beta[a:b])
-                const = float(mu * (1 - beta[:a].sum()))
-                out.append(
-                    (const, ar_lags, beta[:a].tolist(), ma_lags, ma, beta[b:].tolist(), sigma2, n, None)
-                )
+                if ma != beta[a:b].tolist():
+                    beta[a:b], reason = ma, reason or "moving-average weights damped"
+                sigma2 = max(float(yy - 2 * beta @ xy + beta @ xx @ beta) / n, 0.0)
+                const = float(mu * (1 - beta[:a].sum())) + (float(beta[-1]) if len(beta) > b + n_exog else 0.0)
+                exog = beta[b : b + n_exog].tolist()
+                out.append((const, ar_lags, beta[:a].tolist(), ma_lags, ma, exog, sigma2, n, reason))
             cols = ["const", "ar_lags", "ar", "ma_lags", "ma", "exog", "sigma2", "n", "reason"]
             result = pd.DataFrame(out, columns=cols)
             result.insert(0, key, pdf[key].to_numpy())
@@ -266,6 +287,20 @@ def fit_sarima(
     return fit_arima(df, Arima(tuple(order), tuple(seasonal), tuple(exog)), **options)
 
 
+def _short(x, lags: Sequence[int], differences: int):
+    """A model for a series shorter than its lags: fewer of them, on first differences if any are asked for."""
+    differenced = differences > 0 and len(x) > 1
+    z = np.diff(x) if differenced else np.asarray(x) - np.mean(x)
+    p = min(max([*lags, 0]), max(len(z) - 1, 0) // 2)
+    rows = np.column_stack([z[p - k : len(z) - k] for k in range(1, p + 1)]) if p else np.zeros((len(z), 0))
+    beta = np.linalg.lstsq(rows, z[p:], rcond=None)[0] if p else np.zeros(0)
+    rest = z[p:] - rows @ beta
+    const = 0.0 if differenced else float(np.mean(x) * (1 - beta.sum()))
+    model = {"const": const, "ar_lags": list(range(1, p + 1)), "ar": beta.tolist(), "ma_lags": [], "ma": []}
+    model["sigma2"] = float(np.mean(rest**2)) if len(rest) else 0.0
+    return model, [1.0, -1.0] if differenced else [1.0], f"short series: {p} lags"
+
+
 def _project(x, model, diff, steps: int, z: float):
     """Mean path and half-widths from the last values of one series."""
     ar = dict(zip(model["ar_lags"], model["ar"], strict=True))
@@ -320,14 +355,15 @@ def forecast(
 ) -> DataFrame:
     """Mean and interval for the next days of every series: ``(symbol, step, ts, mean, lo, hi, reason)``.
 
-    Only the last rows of each series are gathered (a fixed number). Series without
-    a model give one row of NULLs per step and the reason. Models with further
+    Only the last rows of each series are gathered: as many as the model's memory spans,
+    a fixed number. A series too short for a model is projected with as many lags as it
+    holds, and ``reason`` says so; one without prices gives NULLs. Models with further
     regressors can be fitted but not projected, as their future values are unknown.
     """
     if spec.exog:
         raise ValueError("a forecast needs the future values of exogenous columns")
     diff = spec.differencing
-    rows = max(TAIL_ROWS, 3 * spec.lookback)
+    rows, wanted, differences = spec.tail, spec.ar_lags, len(spec.differencing) - 1
     known = history.where(F.col(price).isNotNull())
     tail = row_tail(known.select(key, ts, *tie, price), rows, key=key, ts=ts, tie=tie)
     series = F.sort_array(F.collect_list(F.struct(ts, *tie, F.col(price).cast("double").alias("_x"))))
@@ -340,17 +376,17 @@ def forecast(
         for pdf in batches:
             out = []
             for model in pdf.to_dict("records"):
-                x, reason = model["_x"], model["reason"]
-                if reason is None and (x is None or len(x) < len(diff) + max([*model["ar_lags"], 1])):
-                    reason = "too few rows"
-                if reason is None:
-                    means, half = _project(x, model, diff, steps, z)
-                    if not np.isfinite(means).all():
-                        reason = "no finite forecast"
+                x, reason, poly, found = model["_x"], model["reason"], diff, False
+                if x is not None and len(x):
+                    if model["ar"] is None or len(x) < len(diff) + max([*model["ar_lags"], 1]):
+                        short, poly, reason = _short(x, wanted, differences)
+                        model |= short
+                    means, half = _project(x, model, poly, steps, z)
+                    found = bool(np.isfinite(means).all())
+                    reason = reason if found else "no finite forecast"
                 for h in range(steps):
-                    ok = reason is None
-                    mean = means[h] if ok else None
-                    lo, hi = (mean - half[h], mean + half[h]) if ok else (None, None)
+                    mean = means[h] if found else None
+                    lo, hi = (mean - half[h], mean + half[h]) if found else (None, None)
                     out.append((model[key], h + 1, model["_last"], mean, lo, hi, reason))
             yield pd.DataFrame(out, columns=[key, "step", "_last", "mean", "lo", "hi", "reason"])
 
