@@ -1,14 +1,8 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-
-from brute import ODD_COLUMNS, odd_rows  # noqa: E402
-from tickframe.llm.common import ship  # noqa: E402
+from tickframe.llm.common import ship
 
-DATA = "/root/testdata/sf0.001"
+from .brute import DATA, ODD_COLUMNS, odd_rows
 
 
 @pytest.fixture(autouse=True, scope="session")

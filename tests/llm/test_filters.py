@@ -3,7 +3,6 @@
 import random
 from collections import Counter, defaultdict
 
-import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,6 +10,8 @@ import pytest
 from tickframe.llm import neardup, repetition, tiling
 from tickframe.llm import words as W
 
+from . import brute
+
 
 def random_texts(n, seed):
     rng = random.Random(seed)

@@ -4,13 +4,14 @@ import random
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
-import brute
 import pyarrow as pa
 import pytest
 
 from tickframe.llm import bpe, packing, windows
 from tickframe.llm.queries import TOKENIZER
 
+from . import brute
+
 
 def test_tree_is_balanced_and_finds_the_tightest():
     rng = random.Random(1)

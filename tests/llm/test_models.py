@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from tickframe.llm import kneser_ney, langid, rulefit, secrets
 from tickframe.llm.common import held_out
 
+from . import brute
+
 
 def test_held_out_follows_crc32(spark):
     rows = spark.range(50).select("id", held_out(7, 2, "id").alias("h")).collect()

@@ -2,16 +2,17 @@
 
 from collections import Counter, defaultdict
 
-import brute
 import duckdb
 import pytest
-from conftest import DATA
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from tickframe.llm.queries import QUERIES, TRICKY, repetition_sql
 from tickframe.llm.secrets import MASK
 
+from . import brute
+from .brute import DATA
+
 
 def rows(spark, name):
     return QUERIES[name](spark, DATA).collect()
