@@ -128,8 +128,10 @@ def test_json_shapes(spark, series):
         bars, ["close"], "2024-01-02", "2024-01-04", step_seconds=86_400).collect()}
     assert got["a"] == {"ts": ["2024-01-02", "2024-01-03"], "close": [2.0, 3.0]}
     assert got["b"]["close"] == [6.0, None]
-    with pytest.raises(ValueError):
-        X.columnar_json(bars, ["close"], "2024-01-01", "2034-01-01", step_seconds=60)
+    parts = X.columnar_json(bars, ["close"], step_seconds=86_400, points=2).where("symbol = 'a'").orderBy("part").collect()
+    assert len(parts) > 1 and len({r.part for r in parts}) == len(parts)
+    whole = json.loads(X.columnar_json(bars, ["close"], step_seconds=86_400).where("symbol = 'a'").first().json)
+    assert [v for r in parts for v in json.loads(r.json)["close"]] == whole["close"]
 
 
 def test_prediction_table(spark, tmp_path):

@@ -20,7 +20,7 @@ from tickframe.operators.indicators import (
     rsi_step,
     sma,
 )
-from tickframe.operators.layout import block_series, calendar_bucket, pick_bucket, series_position
+from tickframe.operators.layout import BLOCK_ROWS, block_series, calendar_bucket, pick_bucket, series_position
 from tickframe.operators.stats import acf, market_analysis
 
 RANDOM = random.Random(5)
@@ -150,3 +150,12 @@ def test_buckets_never_decrease(spark):
         assert values == sorted(values)
     with pytest.raises(ValueError):
         calendar_bucket("ts", "week")
+
+
+def test_a_heavy_day_is_cut_by_default(spark):
+    """300,000 ticks of one symbol within a day are several blocks, none much above the bound."""
+    ticks = spark.range(300_000).selectExpr(
+        "'a' as symbol", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 0.288) as ts", "cast(id as double) as price"
+    )
+    sizes = [r["count"] for r in block_series(ticks).groupBy("_blk").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1.25 * BLOCK_ROWS

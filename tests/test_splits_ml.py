@@ -104,7 +104,7 @@ def test_cross_validate_expanding(series):
 
 
 def test_searches(problem, tmp_path):
-    grid = {"n_estimators": [2, 8], "max_depth": [2, 5], "min_samples_split": [2, 5]}
+    grid = {"n_estimators": [2, 8], "max_depth": [2, 5], "min_samples_split": [2]}
     path = str(tmp_path / "best")
     best, scores = ml.grid_search(ml.forest(), grid, problem, 5, save_path=path)
     rows = scores.collect()
@@ -123,7 +123,9 @@ def test_nested(problem):
 
 
 def test_settings():
-    assert ml.settings({"max_depth": [None, 10], "min_samples_split": [2, 5]}) == [{"maxDepth": 30}, {"maxDepth": 10}]
+    assert ml.settings({"max_depth": [None, 10], "min_samples_split": [2]}) == [{"maxDepth": 30}, {"maxDepth": 10}]
+    with pytest.raises(ValueError):
+        ml.settings({"min_samples_split": [2, 5]})
     grid = {"n_estimators": [50, 100, 150], "max_depth": [None, 10, 20], "min_samples_leaf": [1, 2, 4]}
     assert len(ml.settings(grid)) == 27
     drawn = ml.sample_settings(grid, 10, 42)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -76,29 +75,31 @@ def json_rows(df: DataFrame, *, out: str = "json", keep: Sequence[str] = ()) ->
 def columnar_json(
     df: DataFrame,
     cols: Sequence[str],
-    start: str,
-    end: str,
+    start: str | None = None,
+    end: str | None = None,
     *,
     step_seconds: int,
-    max_points: int = 100_000,
+    points: int = 65_536,
     key: str = "symbol",
     ts: str = "ts",
 ) -> DataFrame:
-    """One JSON object of parallel arrays per symbol, for bars in ``[start, end)``.
+    """JSON objects of parallel arrays for bars in ``[start, end)``: ``(symbol, part, json)``.
 
-    Bars are unique per symbol and step, so the range and the step bound what one
-    symbol may gather; a request beyond ``max_points`` is refused rather than cut.
+    A part spans ``points`` steps of time, so what is gathered is bounded however long the
+    series are; parts ascend with time, and joined in order they are the whole series.
+    ``start`` or ``end`` may be None: no bound on that side.
     """
-    span = dt.datetime.fromisoformat(end) - dt.datetime.fromisoformat(start)
-    points = span.total_seconds() / step_seconds
-    if points > max_points:
-        raise ValueError(f"{points:.0f} points per symbol asked for, at most {max_points} allowed")
     kind = df.schema[ts].dataType
-    inside = df.where((F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.lit(end).cast(kind)))
-    series = inside.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ts, *cols))).alias("_s"))
+    inside = df
+    if start is not None:
+        inside = inside.where(F.col(ts) >= F.lit(start).cast(kind))
+    if end is not None:
+        inside = inside.where(F.col(ts) < F.lit(end).cast(kind))
+    part = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (step_seconds * points)).alias("part")
+    series = inside.groupBy(key, part).agg(F.sort_array(F.collect_list(F.struct(ts, *cols))).alias("_s"))
     # A field of an array of structs is the array of that field.
     arrays = [F.col(f"_s.{c}").alias(c) for c in [ts, *cols]]
-    return series.select(key, F.to_json(F.struct(*arrays), _JSON).alias("json"))
+    return series.select(key, "part", F.to_json(F.struct(*arrays), _JSON).alias("json"))
 
 
 def prediction_rows(df: DataFrame, run_id: str, *, coin: str = "symbol", price: str = "prices") -> DataFrame:

@@ -11,7 +11,7 @@ end less than ``n`` rows before a later block are copied into it as halo rows,
 used by the window and dropped afterwards. Results do not depend on the cuts.
 
 What a single task holds is bounded by ``block_rows`` plus one bucket; a bucket is
-a month for dates and a day for times unless ``bucket`` says otherwise, and
+a month for dates and an hour for times unless ``bucket`` says otherwise, and
 :func:`pick_bucket` measures which one keeps every task small. The summary walk of
 one symbol covers at most the calendar length of the series in buckets.
 """
@@ -55,8 +55,8 @@ def calendar_bucket(ts: str, bucket: str) -> Column:
 
 
 def _default_bucket(df: DataFrame, ts: str) -> str:
-    """Months for dates (at most 31 rows), days for times."""
-    return "month" if isinstance(df.schema[ts].dataType, T.DateType) else "day"
+    """Months for dates (at most 31 rows), hours for times."""
+    return "month" if isinstance(df.schema[ts].dataType, T.DateType) else "hour"
 
 
 def pick_bucket(

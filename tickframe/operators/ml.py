@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from tickframe.operators.impute import fill_zero
 from tickframe.operators.indicators import lag_features, row_tail
 from tickframe.operators.stats import regression_metrics
+from tickframe.session import broadcast_if_small
 
-#: Usual names of forest settings and what MLlib calls them. ``min_samples_split``
-#: has no counterpart and is dropped.
+#: Usual names of forest settings and what MLlib calls them. ``min_samples_split`` has no
+#: counterpart: MLlib splits any node of two rows or more, so only 2 means what it says.
 PARAM_NAMES = {
     "n_estimators": "numTrees",
     "max_depth": "maxDepth",
@@ -55,11 +56,13 @@ def random_forest_regression(train: DataFrame, test: DataFrame, **params) -> tup
 
 
 def settings(grid: Mapping[str, Sequence]) -> list[dict]:
-    """Every combination of a grid, with MLlib's parameter names."""
+    """Every combination of a grid, with MLlib's parameter names; settings it lacks are an error."""
     named = {}
     for name, values in grid.items():
         to = PARAM_NAMES.get(name, name)
         if to is None:
+            if set(values) != {2}:
+                raise ValueError(f"{name}={list(values)} can't be honoured: MLlib has no such parameter")
             continue
         named[to] = [MAX_DEPTH if v is None and to == "maxDepth" else v for v in values]
     return [dict(zip(named, combo, strict=True)) for combo in product(*named.values())]
@@ -225,7 +228,7 @@ def predict_linear(df: DataFrame, models: DataFrame, xs: Sequence[str], *, key:
     fitted = F.col("intercept")
     for i, c in enumerate(xs):
         fitted = fitted + F.get("coef", F.lit(i)) * F.col(c)
-    joined = df.join(models.select(key, "intercept", "coef"), key, "left")
+    joined = df.join(broadcast_if_small(models.select(key, "intercept", "coef"), keep=True), key, "left")
     return joined.withColumn("prediction", fitted).drop("intercept", "coef")
 
 

@@ -33,7 +33,7 @@ def filter_entity(df: DataFrame, column: str, value) -> DataFrame:
 def filter_min_rows(df: DataFrame, key: str = "symbol", more_than: int = 1) -> DataFrame:
     """Rows of the series that have more than ``more_than`` rows."""
     long_enough = df.groupBy(key).count().where(F.col("count") > more_than).select(key)
-    return df.join(long_enough, key, "left_semi")
+    return df.join(broadcast_if_small(long_enough, keep=True), key, "left_semi")
 
 
 def flag_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -126,7 +126,7 @@ def resolve_symbols(requests: DataFrame, coins: DataFrame, *, text: str = "reque
 
 def join_coin_history(requests: DataFrame, coins: DataFrame, history: DataFrame, *, text: str = "request") -> DataFrame:
     """History rows of every requested coin, found by name or symbol."""
-    return resolve_symbols(requests, coins, text=text).join(history, "symbol")
+    return history.join(broadcast_if_small(resolve_symbols(requests, coins, text=text), keep=True), "symbol")
 
 
 def semi_symbol_list(df: DataFrame, symbols: DataFrame, *, key: str = "symbol") -> DataFrame:

@@ -133,7 +133,7 @@ def sentiment_by_symbol(scores: DataFrame, *, key: str = "symbol") -> DataFrame:
 def join_coin_sentiment(coins: DataFrame, by_symbol: DataFrame, *, key: str = "symbol") -> DataFrame:
     """Each coin with its sentiment label; neutral where nobody mentions it."""
     scored = by_symbol.select(key, "compound_sentiment", sentiment_label("compound_sentiment").alias("sentiment"))
-    return coins.join(scored, key, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit("neutral")))
+    return coins.join(broadcast_if_small(scored, keep=True), key, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit("neutral")))
 
 
 def join_sentiment_market(by_symbol: DataFrame, market: DataFrame, *, key: str = "symbol") -> DataFrame:

@@ -211,16 +211,13 @@ def records_json(spark, sf):
 
 @query(
     "columnar_json",
-    f"""with {DAILY}, inside as (select * from bars where ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-25')
-    select symbol, cast(to_json({{'ts': list(strftime(ts, '%Y-%m-%dT%H:%M:%S') order by ts),
+    f"""with {DAILY} select symbol, cast(floor(epoch(ts) / 864000) as bigint) as part, cast(to_json({{'ts': list(strftime(ts, '%Y-%m-%dT%H:%M:%S') order by ts),
     'open': list(open order by ts), 'high': list(high order by ts), 'low': list(low order by ts),
-    'close': list(close order by ts)}}) as varchar) as json from inside group by 1""",
+    'close': list(close order by ts)}}) as varchar) as json from bars group by 1, 2""",
 )
 def columnar_json(spark, sf):
     bars = ohlc_bars(ticks(spark, sf), "1 day")
-    return X.columnar_json(
-        bars, ["open", "high", "low", "close"], "2024-01-03", "2024-01-25", step_seconds=86_400
-    )
+    return X.columnar_json(bars, ["open", "high", "low", "close"], step_seconds=86_400, points=10)
 
 
 @query("save_model")
