@@ -25,6 +25,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 36 bands of 6 coordinates: a pair at similarity 0.8 shares no band once in 50,000 times.
 BANDS, BAND_ROWS = 36, 6
+#: Texts of a block, when all texts of a cluster of buckets are compared.
+BLOCK = 100
 _U = W.U64
 
 
@@ -132,6 +134,45 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def block_links(texts: pa.Array, label: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs at the threshold that join texts of different labels, as few as connect the same labels.
+
+    Compares all texts of one block, or each text of one block with each of the other.
+    """
+    rows, units = [], []
+    for lo, _, raw, at in W.chunks(texts):
+        row, h, n = shingles(raw, at)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # the weight as that many units
+        rows.append(np.repeat(row, n) + lo)
+        units.append(W.mix(np.repeat(h, n) + nth.astype(_U) * W.GRAM))
+    row, unit = np.concatenate(rows), np.concatenate(units)
+    size = np.bincount(row, minlength=len(texts))
+    order = np.argsort(unit, kind="stable")
+    holders = row[order]
+    new = np.concatenate(([True], unit[order][1:] != unit[order][:-1]))
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(unit)))
+    group = np.empty(len(unit), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    across = block.min() != block.max()
+    label, links = label.copy(), []
+    for k in range(len(texts)):
+        if across and block[k] != block.min():
+            continue
+        own = group[first[k] : first[k + 1]]
+        n = count[own]
+        met = holders[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(met, minlength=len(texts))
+        like = shared >= (threshold - 1e-12) * (size + size[k] - shared)
+        like &= (block != block[k]) if across else (np.arange(len(texts)) > k)
+        for other in np.flatnonzero(like).tolist():
+            if label[other] != label[k]:
+                links.append((k, other))
+                label[label == label[other]] = label[k]
+    return links
+
+
 def digest(text_col: str) -> Column:
     return F.unhex(F.md5(F.col(text_col)))
 
@@ -164,6 +205,38 @@ def _verify(threshold: float):
     return run
 
 
+def _compare(threshold: float):
+    """Over rows sorted by group: the links inside each group."""
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        node, label, block = (whole.column(c).to_numpy() for c in ("node", "label", "block"))
+        text = whole.column("text").combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        pairs = np.array(block_links(text, label, block, threshold), np.int64).reshape(-1, 2)
+        ends = np.sort(node[pairs], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if hi == lo:
+                    continue
+                name = tuple(keys[:, lo].tolist())
+                if name != now and held:
+                    yield links(held)
+                    held = []
+                now = name
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield links(held)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, so that lineage ends and lost executors cost nothing."""
     path = work_path(df.sparkSession, name)
@@ -209,6 +282,7 @@ def text_classes(
 
     ``rep`` is the smallest id of the text, ``label`` names the class, equal texts count once.
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), F.col(text_col).alias("text"))
     sketch = written(
@@ -233,24 +307,30 @@ def text_classes(
     )
     texts = written(texts.select("node", "text"), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return written(both.mapInArrow(_verify(threshold), "a bigint, b bigint"), "edges")
-
-    edges = verified(stars)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    both = stars.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    edges = written(both.mapInArrow(_verify(threshold), "a bigint, b bigint"), "edges")
     labels = components(edges)
 
-    # buckets that still hold several classes: every pair across classes that was not compared yet
-    placed = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = written(placed, "placed")
+    # buckets that still hold several classes: all their texts are compared, in blocks
+    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    placed = placed.join(mixed.select("key"), "key")
-    one = placed.select("key", F.col("node").alias("a"), F.col("label").alias("x"))
-    two = placed.select("key", F.col("node").alias("b"), F.col("label").alias("y"))
-    across = one.join(two, "key").where("a < b and x != y").select("a", "b").distinct()
-    more = verified(across.join(stars, ["a", "b"], "left_anti"))
+    meets = members.where("node != center").join(mixed.select("key"), "key")
+    meets = written(meets.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "meets")
+    clusters = components(meets).withColumnRenamed("label", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = clusters.join(sizes, "cluster").join(labels, "node", "left")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    blocks = blocks.select("cluster", "blocks", "node", F.coalesce("label", "node").alias("label"), block.alias("block"))
+    # a block meets every block of its cluster, itself included, in a group of its own
+    copies = blocks.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    copies = copies.select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "text"
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = copies.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    more = written(copies.mapInArrow(_compare(threshold), "a bigint, b bigint"), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
 
