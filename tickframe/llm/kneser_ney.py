@@ -29,7 +29,7 @@ _U = W.U64
 #: Markers before and after a text; other tokens are hashes of words.
 BEGIN, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 #: Windows a counting task gathers before it sends blocks: bounds its memory.
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 GRAMS, CONTEXTS, TOTALS = 0, 1, 2
 _BLOCK = "part int, kind int, level int, body binary"
 
@@ -133,6 +133,8 @@ def _emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 def _count(order: int, parts: int):
     def flush(columns: list[list[np.ndarray]]) -> Iterator[tuple]:
         whole = [np.concatenate(c) for c in columns]
+        for c in columns:
+            c.clear()
         key = gram_keys(whole)
         first, (count,) = _added(key, [np.ones(len(key), _U)])
         yield from _blocks(GRAMS, order, key[first], [*(c[first] for c in whole), count, count], parts)
@@ -148,7 +150,7 @@ def _count(order: int, parts: int):
                     n += len(row)
                     if n >= FLUSH:
                         yield from flush(held)
-                        held, n = [[] for _ in range(order)], 0
+                        n = 0
             if n:
                 yield from flush(held)
 
