@@ -64,7 +64,6 @@ def test_entry(spark):
 def test_only_unexpressible_queries_go_without_sql():
     assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
     assert set(QUERIES) - set(ORACLES) == {
-        "train_test_split", "save_model", "cross_validate", "nested_cv", "grid_search", "random_search",
-        "estimator_arg", "random_forest_regression", "supervised_window_forecast", "arma_fit", "sarima_fit",
+        "save_model", "random_forest_regression", "supervised_window_forecast", "arma_fit", "sarima_fit",
         "forecast_steps", "forecast_all_models",
     }

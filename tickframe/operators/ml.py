@@ -107,14 +107,16 @@ def cross_validate(
     """Score per fold, as rows ``(fold, score, mean_score)``.
 
     ``df`` has ``features``, ``label``, ``fold`` and maybe ``role``. With a ``grid``
-    each training part is searched first, on inner folds by hash of the row.
+    each training part is searched first, on the folds of a column ``inner`` (0 to
+    ``inner_folds`` - 1) if there is one, else on inner folds by hash of the row.
     """
     data = df.persist()
     scores = []
     try:
         for f, train, test in fold_pairs(data):
             if grid:
-                part = F.pmod(F.xxhash64("label", "features", F.lit(f)), F.lit(inner_folds))
+                hashed = F.pmod(F.xxhash64("label", "features", F.lit(f)), F.lit(inner_folds))
+                part = F.col("inner") if "inner" in train.columns else hashed
                 inner = train.withColumn("fold", part.cast("int"))
                 model = _search(estimator, settings(grid), inner, inner_folds, metric, parallelism).bestModel
             else:

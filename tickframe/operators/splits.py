@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tickframe.operators.layout import as_list, series_position
 from tickframe.session import broadcast_if_small, materialize
 
-_PARTS = 10_000
+#: Values of the hash that chooses rows.
+_HASHES = 1 << 32
 
 
 def dense_row_number(df: DataFrame, order: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
@@ -47,13 +48,15 @@ def dense_row_number(df: DataFrame, order: Sequence[str], *, by: Sequence[str] =
     return joined.withColumn("rn", rn).select(*df.columns, "rn", "n")
 
 
-def _hash_part(ids: Sequence[str], seed: int) -> Column:
-    return F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(_PARTS))
+def row_hash(ids: str | Sequence[str], seed: int) -> Column:
+    """32 bits from the ids as text: the first eight digits of an MD5 sum, so that any engine can choose alike."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in as_list(ids)]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
 
 
 def train_test_split(df: DataFrame, ids: str | Sequence[str], frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split``: ``test`` for about ``frac`` of the ids, chosen by hash, else ``train``."""
-    held = _hash_part(as_list(ids), seed) < round(frac * _PARTS)
+    held = row_hash(ids, seed) < round(frac * _HASHES)
     return df.withColumn("split", F.when(held, "test").otherwise("train"))
 
 
@@ -88,7 +91,7 @@ def kfold(
 
 def hash_fold(df: DataFrame, k: int, ids: str | Sequence[str], seed: int = 0) -> DataFrame:
     """Add a random ``fold`` without any shuffle; sizes are only about equal."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*as_list(ids), F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", (row_hash(ids, seed) % k).cast("int"))
 
 
 def stratified_kfold(df: DataFrame, k: int, label: str, ids: str | Sequence[str]) -> DataFrame:

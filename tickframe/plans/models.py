@@ -20,15 +20,63 @@ def _items(spark, sf):
     return table(spark, sf, "lineitem").select(*_KEYS, *_X)
 
 
-def _folded(spark, sf, k: int):
-    keyed = SP.hash_fold(_items(spark, sf), k, _KEYS, 7)
-    return ml.features(keyed, _X, _Y, keep=["fold"])
+_IDS = _KEYS[:4]
+
+
+def _sql_hash(ids, seed: int) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(ids)}, '{seed}')), 1, 8) as bigint)"
+
+
+def _folded(spark, sf, k: int, xs=tuple(_X), inner: int | None = None):
+    keyed = SP.hash_fold(_items(spark, sf), k, _IDS, 7)
+    if inner:
+        keyed = keyed.withColumn("inner", (SP.row_hash(_IDS, 8) % inner).cast("int"))
+    return ml.features(keyed, list(xs), _Y, keep=["fold", "inner"] if inner else ["fold"])
+
+
+def _line():
+    from pyspark.ml.regression import LinearRegression
+
+    return LinearRegression(featuresCol="features", labelCol="label", solver="normal")
+
+
+def _line_scores(k: int, x: str, inner: int = 1) -> str:
+    """SQL for R2 of a straight line, with and without intercept, from sums of products.
+
+    ``outer_scores`` has a row per fold and option; ``inner_scores`` the mean over the inner
+    folds of the rows outside of that fold.
+    """
+    sums = "sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy, sum(syy) as syy"
+
+    def score(train: str, test: str) -> str:
+        b = f"case when fit then ({train}.n * {train}.sxy - {train}.sx * {train}.sy) / ({train}.n * {train}.sxx - {train}.sx * {train}.sx) else {train}.sxy / {train}.sxx end"
+        a = f"case when fit then ({train}.sy - ({b}) * {train}.sx) / {train}.n else 0 end"
+        sse = f"{test}.syy - 2 * ({a}) * {test}.sy - 2 * ({b}) * {test}.sxy + {test}.n * ({a}) * ({a}) + 2 * ({a}) * ({b}) * {test}.sx + ({b}) * ({b}) * {test}.sxx"
+        return f"1 - ({sse}) / ({test}.syy - {test}.sy * {test}.sy / {test}.n)"
+
+    return f"""rows as (select l_extendedprice as y, {x} as x, {_sql_hash(_IDS, 7)} % {k} as fold,
+        {_sql_hash(_IDS, 8)} % {inner} as inner_fold from lineitem),
+    cells as (select fold, inner_fold, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy,
+        sum(y * y) as syy from rows group by 1, 2),
+    options as (select unnest([true, false]) as fit),
+    folds as (select distinct fold as f from cells), parts as (select distinct inner_fold as g from cells),
+    outer_train as (select f, {sums} from cells, folds where fold <> f group by f),
+    outer_test as (select fold as f, {sums} from cells group by fold),
+    outer_scores as (select f, fit, {score("a", "b")} as score from outer_train a join outer_test b using (f), options),
+    inner_train as (select f, g, {sums} from cells, folds, parts where fold <> f and inner_fold <> g group by f, g),
+    inner_test as (select f, inner_fold as g, {sums} from cells, folds where fold <> f group by f, inner_fold),
+    inner_scores as (select f, fit, avg({score("a", "b")}) as score
+        from inner_train a join inner_test b using (f, g), options group by f, fit)"""
 
 
 # --- splits -----------------------------------------------------------------
 
 
-@query("train_test_split")
+@query(
+    "train_test_split",
+    f"""select o_orderkey, o_totalprice, case when {_sql_hash(["o_orderkey"], 42)} < round(0.2 * 4294967296)
+    then 'test' else 'train' end as split from orders""",
+)
 def train_test_split(spark, sf):
     """Which orders are held out."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
@@ -58,40 +106,61 @@ def stratified_kfold(spark, sf):
 # --- models -----------------------------------------------------------------
 
 
-@query("cross_validate")
+def _scores(df):
+    return df.select("fold", *rounded(6, "score", "mean_score"))
+
+
+@query(
+    "cross_validate",
+    f"""with {_line_scores(5, "l_quantity")} select cast(f as integer) as fold, round(score, 6) as score,
+    round(avg(score) over (), 6) as mean_score from outer_scores where fit""",
+)
 def cross_validate(spark, sf):
-    """R2 of a small forest on each of five folds."""
-    return ml.cross_validate(ml.forest(numTrees=3, maxDepth=4), _folded(spark, sf, 5))
+    """R2 of a straight line on each of five folds."""
+    return _scores(ml.cross_validate(_line(), _folded(spark, sf, 5, ["l_quantity"])))
 
 
-@query("nested_cv")
+@query(
+    "nested_cv",
+    f"""with {_line_scores(3, "l_tax", 3)}, chosen as (select o.f, o.score from outer_scores o join inner_scores i using (f, fit)
+        qualify row_number() over (partition by o.f order by i.score desc) = 1)
+    select cast(f as integer) as fold, round(score, 6) as score, round(avg(score) over (), 6) as mean_score from chosen""",
+)
 def nested_cv(spark, sf):
-    """A grid searched inside every outer fold."""
-    return ml.cross_validate(
-        ml.forest(numTrees=2), _folded(spark, sf, 3), grid={"max_depth": [2, 4]}, inner_folds=2
-    )
+    """With or without intercept, searched inside every outer fold."""
+    data = _folded(spark, sf, 3, ["l_tax"], inner=3)
+    return _scores(ml.cross_validate(_line(), data, grid={"fitIntercept": [False, True]}, inner_folds=3))
+
 
+def _settings(df):
+    return df.select(F.col("params")["fitIntercept"].alias("fit_intercept"), *rounded(6, "mean_score"), "best")
 
-_GRID = {"n_estimators": [2, 4], "max_depth": [2, 4], "min_samples_split": [2], "min_samples_leaf": [1, 4]}
 
+_SEARCH = """select case when fit then 'True' else 'False' end as fit_intercept, round(avg(score), 6) as mean_score,
+    rank() over (order by avg(score) desc) = 1 as best from outer_scores group by fit"""
 
-@query("grid_search")
+
+@query("grid_search", f"with {_line_scores(5, 'l_discount')} {_SEARCH}")
 def grid_search(spark, sf):
-    return ml.grid_search(ml.forest(), {k: _GRID[k] for k in ("n_estimators", "max_depth")}, _folded(spark, sf, 3), 3)[1]
+    data = _folded(spark, sf, 5, ["l_discount"])
+    return _settings(ml.grid_search(_line(), {"fitIntercept": [True, False]}, data, 5)[1])
 
 
-@query("random_search")
+@query("random_search", f"with {_line_scores(5, 'l_tax')} {_SEARCH}")
 def random_search(spark, sf):
-    return ml.random_search(ml.forest(), _GRID, _folded(spark, sf, 3), 3, n_iter=3, seed=42)[1]
+    """More draws than settings: all of them are tried."""
+    data = _folded(spark, sf, 5, ["l_tax"])
+    return _settings(ml.random_search(_line(), {"fitIntercept": [True, False]}, data, 5, n_iter=10, seed=42)[1])
 
 
-@query("estimator_arg")
+@query(
+    "estimator_arg",
+    f"""with {_line_scores(3, "l_discount")} select cast(f as integer) as fold, round(score, 6) as score,
+    round(avg(score) over (), 6) as mean_score from outer_scores where fit""",
+)
 def estimator_arg(spark, sf):
     """Any MLlib estimator goes where the forest went."""
-    from pyspark.ml.regression import LinearRegression
-
-    learner = LinearRegression(featuresCol="features", labelCol="label")
-    return ml.cross_validate(learner, _folded(spark, sf, 3))
+    return _scores(ml.cross_validate(_line(), _folded(spark, sf, 3, ["l_discount"])))
 
 
 @query("random_forest_regression")
