@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickframe.operators.layout import as_list, over_blocks
@@ -97,6 +97,38 @@ def acf(df: DataFrame, max_lag: int = 10, *, price: str = "price", key: str = "s
     return sums.select(key, F.inline(F.array(*cells)))
 
 
+def pacf(df: DataFrame, max_lag: int = 10, *, key: str = "symbol", **options) -> DataFrame:
+    """Partial autocorrelation per symbol for lags 1..``max_lag``, by Durbin and Levinson from the ACF.
+
+    The recursion runs on one short array per symbol, in column expressions.
+    """
+    lags = acf(df, max_lag, key=key, **options).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_r"))
+    lags = lags.select(key, F.transform("_r", lambda r: r["acf"]).alias("_r"))
+    # phi holds the coefficients of the autoregression of the order before, out the last one of each
+    zero = F.struct(F.lit([]).cast("array<double>").alias("phi"), F.lit([]).cast("array<double>").alias("out"))
+
+    def step(state: Column, k: Column) -> Column:
+        phi, r = state["phi"], F.col("_r")
+        ahead = F.zip_with(phi, F.reverse(F.slice(r, 1, k - 1)), lambda a, b: a * b)
+        along = F.zip_with(phi, F.slice(r, 1, k - 1), lambda a, b: a * b)
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+        last = F.try_divide(F.get(r, k - 1) - total(ahead), 1 - total(along))
+        # the last coefficient takes part in those before it, so it is named once
+        return F.get(
+            F.transform(
+                F.array(last),
+                lambda x: F.struct(
+                    F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - x * b), F.array(x)).alias("phi"),
+                    F.concat(state["out"], F.array(x)).alias("out"),
+                ),
+            ),
+            F.lit(0),
+        )
+
+    found = F.aggregate(F.sequence(F.lit(1), F.size("_r")), zero, step)["out"]
+    return lags.select(key, F.posexplode(found).alias("_k", "pacf")).select(key, (F.col("_k") + 1).alias("lag"), "pacf")
+
+
 def market_analysis(
     df: DataFrame, *, price: str = "price", key: str = "symbol", ts: str = "ts", tie: Sequence[str] = (), **layout
 ) -> DataFrame:

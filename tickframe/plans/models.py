@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickframe.operators import forecast as FC
 from tickframe.operators import ml
 from tickframe.operators import splits as SP
+from tickframe.operators.stats import regression_metrics
 from tickframe.plans.adapters import BRAND_PRICES, PRICES, brand_prices, day, prices, rounded, table
 from tickframe.plans.registry import query
 
@@ -188,6 +189,49 @@ def per_symbol_regression(spark, sf):
     )
 
 
+@query(
+    "per_symbol_scores",
+    f"""with rows as (select l_returnflag || l_linestatus as symbol, l_extendedprice as y, l_quantity as x,
+        {_sql_hash(_IDS, 42)} < round(0.2 * 4294967296) as held from lineitem),
+    lines as (select symbol, regr_intercept(y, x) as a, regr_slope(y, x) as b from rows where not held group by 1),
+    tested as (select symbol, y, a + b * x as p from rows join lines using (symbol) where held),
+    means as (select symbol, avg(y) as m from tested group by 1)
+    select symbol, round(avg(abs(y - p)), 4) as mae, round(avg((y - p) * (y - p)) / 1e6, 6) as mse_millions,
+        round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) as r2, count(*) as n
+    from tested join means using (symbol) group by 1""",
+)
+def per_symbol_scores(spark, sf):
+    """A line fitted to each symbol's training rows, applied to its held-out rows, and scored there."""
+    rows = SP.train_test_split(
+        table(spark, sf, "lineitem").withColumn("symbol", F.concat("l_returnflag", "l_linestatus")), _IDS, 0.2, 42
+    )
+    models = ml.per_symbol_linear(rows.where("split = 'train'"), ["l_quantity"], _Y)
+    scored = ml.predict_linear(rows.where("split = 'test'"), models, ["l_quantity"])
+    found = regression_metrics(scored, _Y, "prediction", by=["symbol"])
+    return found.select(
+        "symbol", *rounded(4, "mae"), F.round(F.col("mse") / 1e6, 6).alias("mse_millions"), *rounded(6, "r2"), "n"
+    )
+
+
+@query(
+    "cross_validate_expanding",
+    f"""with {PRICES}, placed as (select symbol, price as y, datediff('day', date '1990-01-01', ts) as x,
+        row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from prices),
+    folds as (select unnest(range(1, 6)) as f),
+    roles as (select f, x, y, i < n - (6 - f) * (n // 6) as train from placed, folds
+        where i < n - (6 - f) * (n // 6) + n // 6 and n >= 6),
+    lines as (select f, regr_intercept(y, x) as a, regr_slope(y, x) as b from roles where train group by 1),
+    tested as (select f, y, a + b * x as p, avg(y) over (partition by f) as m from roles join lines using (f) where not train),
+    scores as (select f, 1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) as score from tested group by 1)
+    select cast(f as integer) as fold, round(score, 6) as score, round(avg(score) over (), 6) as mean_score from scores""",
+)
+def cross_validate_expanding(spark, sf):
+    """A trend line over all symbols, trained on what lies before each test run."""
+    days = prices(spark, sf).withColumn("day", F.datediff("ts", F.lit("1990-01-01").cast("date")).cast("double"))
+    folds = SP.time_series_split(days, 5)
+    return _scores(ml.cross_validate(_line(), ml.features(folds, ["day"], "price", keep=["fold", "role"])))
+
+
 @query("supervised_window_forecast")
 def supervised_window_forecast(spark, sf):
     """Boosted trees on the five prices before, projected over a week."""

@@ -280,6 +280,22 @@ def acf(spark, sf):
     return stats.acf(prices(spark, sf), 10).select("symbol", "lag", *rounded(6, "acf"))
 
 
+@query(
+    "pacf",
+    f"""with {PRICES}, c as (select symbol, ts, price - avg(price) over (partition by symbol) as x from prices),
+    l as (select symbol, x, lag(x, 1) over w as l1, lag(x, 2) over w as l2, lag(x, 3) over w as l3 from c
+        window w as (partition by symbol order by ts)),
+    r as (select symbol, sum(x * l1) / sum(x * x) as r1, sum(x * l2) / sum(x * x) as r2, sum(x * l3) / sum(x * x) as r3
+        from l group by 1),
+    two as (select *, (r2 - r1 * r1) / (1 - r1 * r1) as p2 from r),
+    three as (select *, (r3 - r1 * (1 - p2) * r2 - p2 * r1) / (1 - r1 * (1 - p2) * r1 - p2 * r2) as p3 from two)
+    select symbol, cast(lag as integer) as lag, round(pacf, 6) as pacf from (select symbol, 1 as lag, r1 as pacf from three
+        union all select symbol, 2, p2 from three union all select symbol, 3, p3 from three) t""",
+)
+def pacf(spark, sf):
+    return stats.pacf(prices(spark, sf), 3).select("symbol", "lag", *rounded(6, "pacf"))
+
+
 _ANALYSIS = f"""walked as (select symbol, ts, price, {_RET} as ret,
         max(price) over (partition by symbol order by ts rows between unbounded preceding and current row) as high
         from prices),
