@@ -249,3 +249,11 @@ def test_stream_bars_take_late_ticks_and_open_intervals(spark, tmp_path):
 def test_conform_fills_missing(spark):
     got = conform(spark.range(1), PREDICTIONS).first()
     assert tuple(got) == (0, None, None)
+
+
+def test_files_per_symbol_do_not_grow_with_tasks(spark, tmp_path):
+    out = str(tmp_path / "csv")
+    rows = spark.range(0, 400, numPartitions=16).selectExpr("concat('s ', id % 3) as symbol", "id as price")
+    W.write_csv_per_symbol(rows, out)
+    files = [p for p in (tmp_path / "csv").rglob("part-*.csv")]
+    assert len(files) == 3 and spark.read.option("header", True).csv(out).count() == 400

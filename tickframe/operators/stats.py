@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickframe.operators.layout import as_list, over_blocks
+from tickframe.session import materialize
 
 
 def naive_forecast(df: DataFrame, *, key: str = "symbol", price: str = "price") -> DataFrame:
@@ -16,26 +17,33 @@ def naive_forecast(df: DataFrame, *, key: str = "symbol", price: str = "price")
     return df.groupBy(key).agg(F.avg(price).alias("mean"), F.min(price).alias("lo"), F.max(price).alias("hi"))
 
 
+#: Pairs of columns whose moments one aggregation holds.
+PAIRS = 300
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, as rows ``(a, b, corr)``; one pass over the data.
+    """Pearson correlation of every pair, as rows ``(a, b, corr)``; one aggregation per ``PAIRS`` pairs.
 
-    Each pair uses the rows where both are known. A column that does not vary gives
-    NULL. Every row is unfolded into its pairs, which the same task sums up at
-    once; that keeps the generated code small however many columns there are.
+    Each pair uses the rows where both are known. A column that does not vary gives NULL.
+    Rows are summed up where they are read: one row of moments per task is shuffled.
     """
     pairs = list(combinations_with_replacement(cols, 2))
-    cells = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    unfolded = df.select(F.inline(F.array(*cells)))
-    x = F.when(F.col("y").isNotNull(), F.col("x"))
-    y = F.when(F.col("x").isNotNull(), F.col("y"))
-    sums = unfolded.groupBy("pair").agg(
-        F.covar_pop("x", "y").alias("_xy"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy")
-    )
-    first, second = (F.get(F.lit([p[i] for p in pairs]), F.col("pair")) for i in (0, 1))
-    named = sums.withColumns({"a": first, "b": second})
+    named = None
+    for lo in range(0, len(pairs), PAIRS):
+        cells = []
+        for a, b in pairs[lo : lo + PAIRS]:
+            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            cells.append(
+                F.struct(
+                    F.lit(a).alias("a"),
+                    F.lit(b).alias("b"),
+                    F.covar_pop(x, y).alias("_xy"),
+                    F.var_pop(F.when(F.col(b).isNotNull(), x)).alias("_xx"),
+                    F.var_pop(F.when(F.col(a).isNotNull(), y)).alias("_yy"),
+                )
+            )
+        part = df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+        named = part if named is None else named.union(part)
     value = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
     itself = F.col("a") == F.col("b")
     there = F.struct("a", "b", F.when(itself, F.when(F.col("_xx") > 0, 1.0)).otherwise(value).alias("corr"))
@@ -179,7 +187,8 @@ def zscores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def long_term_benefit(market: DataFrame, sentiment: DataFrame, *, key: str = "symbol") -> DataFrame:
     """Rank symbols by momentum and sentiment less volatility, each standardised (a heuristic)."""
-    joined = market.join(sentiment, key)
+    # one row per symbol, read twice below: for the statistics and for the scores
+    joined = materialize(market.join(sentiment, key))
     scored = zscores(joined, ["momentum", "volatility", "compound_sentiment"])
     score = F.col("z_momentum") - F.col("z_volatility") + F.col("z_compound_sentiment")
     return scored.withColumn("score", score).drop("z_momentum", "z_volatility", "z_compound_sentiment")

@@ -36,9 +36,11 @@ def append_files(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 def write_csv_per_symbol(df: DataFrame, path: str, *, key: str = "symbol") -> None:
     """CSV files below one folder per symbol, blanks in its name turned into ``_``.
 
-    Rows are not gathered by symbol first: each task writes its share of a symbol.
+    Rows are gathered by symbol, and a symbol too large for one task is split at run time:
+    so a symbol has as many files as its size asks for, not one per task that met it.
     """
-    df.withColumn(key, slug(key)).write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+    named = df.withColumn(key, slug(key)).hint("rebalance", key)
+    named.write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -47,7 +49,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_points(points: DataFrame, path: str, *, mode: str = "append") -> None:
     """Points, laid out by measurement and day so that range reads skip files."""
-    dated = points.withColumn("date", F.col("time").cast("date"))
+    dated = points.withColumn("date", F.col("time").cast("date")).hint("rebalance", "measurement", "date")
     dated.write.mode(mode).partitionBy("measurement", "date").parquet(path)
 
 
