@@ -180,15 +180,15 @@ def digest(text_col: str) -> Column:
 def _sketch(bands: int, band_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi, raw, at in W.chunks(batch.column(2)):
                 row, h, n = shingles(raw, at)
                 filled = np.bincount(row, minlength=hi - lo) > 0
                 signature = dart_signatures(row, h, n.astype(np.float64), hi - lo, bands * band_rows)
                 keys.append(band_keys(signature[filled], bands, band_rows).ravel().view(np.int64))
                 sizes.append(np.where(filled, bands, 0))
-            ends = np.cumsum(np.concatenate([[0], *sizes]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([[], *keys]), pa.int64()) if not keys else pa.array(np.concatenate(keys)))
+            ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "digest", "bands"])
 
     return run
