@@ -25,30 +25,45 @@ TREES, DEPTH, LASSO, SEED = 20, 3, 0.002, 11
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
 
-_SYMBOLS = "#*$%&|<>"
 
+STATISTICS = [
+    "words", "word_length", "symbol_share", "pipe_share", "loud_share", "stop_share", "digit_share",
+    "capital_share", "line_length", "distinct_lines", "distinct_words",
+]
 
-def statistics(text_col: str = "text") -> dict[str, Column]:
-    """Statistics of a whole text; a null text is an empty one, and shares of nothing are 0."""
+
+def statistics(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` and the ``STATISTICS`` of each whole text.
+
+    A null text is an empty one, and shares of nothing are 0. What is not a small letter or
+    a blank is picked out first, so that counting its kinds goes over little text.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chars, words = F.length(text), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    solid = F.length(F.translate(text, " \t\n\x0b\f\r", ""))
+    parts = docs.select(
+        *keep,
+        F.length(text).alias("_chars"),
+        F.translate(text, " \nabcdefghijklmnopqrstuvwxyz", "").alias("_marks"),
+        F.split(text, "\n").alias("_lines"),
+        F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_words"),
+    )
+    solid = F.length(F.array_join("_words", ""))
     share = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
-    without = lambda s: chars - F.length(F.translate(text, s, ""))
-    lines, split = F.split(text, "\n"), F.split(text, r"[\x20\x09-\x0D]+")
-    return {
-        "words": words.cast("double"),
-        "word_length": share(solid, words),
-        "symbol_share": share(without(_SYMBOLS), chars),
-        "pipe_share": share(without("|"), chars),
-        "loud_share": share(without("!?"), chars),
-        "stop_share": share(without(".,;:"), chars),
-        "digit_share": share(without("0123456789"), chars),
-        "capital_share": share(F.regexp_count(text, F.lit(r"\p{Lu}")), solid),
-        "line_length": share(chars, F.size(lines)),
-        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "distinct_words": share(F.size(F.array_distinct(split)), F.size(split)),
-    }
+    marks = lambda pattern, of: share(F.regexp_count("_marks", F.lit(pattern)), of)
+    chars, words, lines = F.col("_chars"), F.size("_words"), F.size("_lines")
+    found = [
+        words.cast("double"),
+        share(solid, words),
+        marks(r"[#*$%&|<>]", chars),
+        marks(r"[|]", chars),
+        marks(r"[!?]", chars),
+        marks(r"[.,;:]", chars),
+        marks(r"[0-9]", chars),
+        marks(r"\p{Lu}", chars),
+        share(chars, lines),
+        share(F.size(F.array_distinct("_lines")), lines),
+        share(F.size(F.array_distinct("_words")), words),
+    ]
+    return parts.select(*keep, *(c.alias(n) for n, c in zip(STATISTICS, found, strict=True)))
 
 
 @dataclass(frozen=True)
@@ -118,20 +133,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(sample_rows)
     )
-    stats = statistics("_text")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # the sample is bounded, so it may be broadcast
-    sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", *(c.alias(n) for n, c in stats.items()))
-    sample = written(sample.repartition(1).sortWithinPartitions("_id", "_label", *stats), "sample").cache()
+    sample = statistics(texts.join(F.broadcast(chosen), "_id"), "_text", "_id", "_label")
+    sample = written(sample.repartition(1).sortWithinPartitions("_id", "_label", *STATISTICS), "sample").cache()
     seen = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     if len(seen) < 2:
         sample.unpersist()
         return Ensemble({0.0: -40.0, 1.0: 40.0}.get(next(iter(seen), None), 0.0))
-    vectors = VectorAssembler(inputCols=list(stats), outputCol="features").transform(sample)
+    vectors = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(sample)
     forest = RandomForestClassifier(
         numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="_label", featureSubsetStrategy="onethird", maxBins=64
     ).fit(vectors)
-    rules = set().union(*(tree_rules(t.toDebugString, list(stats)) for t in forest.trees))
+    rules = set().union(*(tree_rules(t.toDebugString, STATISTICS) for t in forest.trees))
     rules = sorted(rules, key=lambda r: r.bounds)
     if not rules:
         sample.unpersist()
@@ -148,9 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def scored(docs: DataFrame, ensemble: Ensemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, score and predicted of every row; nothing but the text enters the score."""
-    stats = statistics(text_col)
-    rows = docs.select(F.col(id_col), *(c.alias(n) for n, c in stats.items()))
-    score = rows.select(F.col(id_col), ensemble.score().alias("score"))
+    score = statistics(docs, text_col, id_col).select(F.col(id_col), ensemble.score().alias("score"))
     return score.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
