@@ -11,6 +11,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,10 +34,9 @@ MASK = "[SECRET]"
 
 _KEYWORD = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key"
 #: Long runs of key characters, and shorter values that a telling name is assigned.
-_CANDIDATE = re.compile(
-    rf"(?i:\b(?:{_KEYWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"'`,;<>]{{8,}})|([A-Za-z0-9+/_-]{{16,}}={{0,2}})"
-)
-_VALUE = re.compile(r"[A-Za-z0-9+/_.~-]+={0,2}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_VALUE = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})")
+_NAME = re.compile(rf"(?i)\b(?:{_KEYWORD})[\"']?\s{{0,3}}$")
 _NEAR = re.compile(rf"(?i)\b(?:{_KEYWORD})\b")
 _ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -181,16 +181,17 @@ def known_label(text: str, start: int, stop: int) -> int | None:
 
 def candidates(text: str | None, path: str | None, known: Corpus) -> list[Candidate]:
     """All candidates of a text in order; they do not overlap. A null or empty text has none."""
-    out = []
-    for found in _CANDIDATE.finditer(text or ""):
-        group = 1 if found[1] is not None else 2
-        start, stop = found.span(group)
-        if group == 1:  # a value ends where key characters do
-            stop = _VALUE.match(text, start).end() if _VALUE.match(text, start) else start
-        if stop - start < 8:
-            continue
+    out, text = [], text or ""
+    spans = {m.span(1): "assigned" for m in _VALUE.finditer(text) if _NAME.search(text[max(0, m.start() - 40) : m.start()])}
+    taken = sorted(spans)
+    for found in _TOKEN.finditer(text):
+        start, stop = found.span()
+        near = bisect_left(taken, (stop,))  # the last value that begins before the token ends
+        if near == 0 or taken[near - 1][1] <= start:
+            spans[start, stop] = "token"
+    for (start, stop), kind in sorted(spans.items()):
         value = text[start:stop]
-        kind = "key_format" if _FORMATS.fullmatch(value) else "assigned" if group == 1 else "token"
+        kind = "key_format" if _FORMATS.fullmatch(value) else kind
         features = describe(text, start, stop, path or "", known)
         out.append(Candidate(start, stop, kind, value, features, known_label(text, start, stop)))
     return out
@@ -298,7 +299,7 @@ def weak_findings(docs: DataFrame, known: Corpus, text_col: str = "text", path_c
 def fit(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> tuple[Corpus, Forest | None]:
     """Corpus statistics, and a forest from the findings that patterns can label."""
     known = corpus(docs, text_col)
-    return known, train(weak_findings(docs, known, text_col, path_col))
+    return known, train(written(weak_findings(docs, known, text_col, path_col), "findings"))
 
 
 def find_secrets(
