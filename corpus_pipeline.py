@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import secrets
-from tickframe.llm.bpe import decode, digests, encode
+from tickframe.llm.bpe import digests, encode
 from tickframe.llm.common import table
 from tickframe.llm.neardup import drop_near_duplicates, written
 from tickframe.llm.queries import TOKENIZER
@@ -45,8 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded text."""
-    encoded = encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER).drop("text")
-    return decode(encoded, TOKENIZER).select("doc_id", "lang", "source", "ids", *digests())
+    encoded = encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, decoded_col="decoded")
+    return encoded.select("doc_id", "lang", "source", "ids", *digests())
 
 
 STAGES = [

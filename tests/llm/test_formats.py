@@ -197,6 +197,8 @@ def test_encode_odd_rows(spark, odd, none):
         (t or "", *brute.encoded(t)) for _, t, *_ in brute.odd_rows()
     )
     assert bpe.decode(bpe.encode(none, TOKENIZER), TOKENIZER).count() == 0
+    once = bpe.encode(odd, TOKENIZER, decoded_col="decoded")
+    assert once.columns == both.columns and sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
     again = bpe.encode(both, TOKENIZER)
     assert again.columns.count("ids") == 1
     nothing = both.selectExpr("doc_id", "cast(null as array<int>) as ids").limit(1)

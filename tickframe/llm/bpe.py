@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 END = "</w>"
 NEVER = 1 << 60
 #: Words a worker remembers; beyond that it starts anew. Results don't depend on it.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 
 
 def _ranges(kinds: str) -> str:
@@ -240,22 +240,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
     """All columns and the token ids of every whole text as ``ids_col`` (replaced if it is there).
 
+    ``decoded_col`` adds the text decoded from the ids again in the same pass.
+
     ``tokenizer`` is the path of a file that every executor has: BPE over bytes with an
     end-of-word suffix, no post-processor. Strings of special tokens inside texts become
     special tokens, as by default in the library. Null and empty texts have no tokens.
     """
-    source = docs.drop(ids_col) if ids_col != text_col else docs
+    source = docs.drop(*({ids_col, decoded_col} - {None, text_col}))
     place = source.columns.index(text_col)
+    added = [ids_col] if decoded_col is None else [ids_col, decoded_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = encoder(tokenizer).encode(batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+            found = [ids] if decoded_col is None else [ids, encoder(tokenizer).decode(ids)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *added])
+        encoder(tokenizer).forget()  # the worker lives on and has other tasks to do
 
-    return source.mapInArrow(run, source.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema)
+    kinds = [F.lit(None).cast(t).alias(n) for n, t in zip(added, ("array<int>", "string"), strict=False)]
+    return source.mapInArrow(run, source.select("*", *kinds).schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -399,7 +399,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
-            for lo, hi, raw, at in W.chunks(batch.column(1), W.CHUNK_BYTES * 4):
+            for lo, hi, raw, at in W.chunks(batch.column(1)):
                 columns, row = sentences(raw, at, model.order)
                 value, count = token_scores(model, columns)
                 base = np.log10((count + 1.0) / (model.tokens + model.vocabulary + 1.0))

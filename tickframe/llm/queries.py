@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.bpe import decode, digests, encode
+from tickframe.llm.bpe import digests, encode
 from tickframe.llm.common import held_out, table
 from tickframe.llm import kneser_ney
 from tickframe.llm.langid import fit as fit_languages
@@ -122,7 +122,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the encoded and decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs, TOKENIZER).drop("text"), TOKENIZER).select("doc_id", *digests())
+    return encode(docs, TOKENIZER, decoded_col="decoded").select("doc_id", *digests())
 
 
 @query("op5_best_fit")

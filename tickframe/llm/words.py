@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +41,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@cache
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _BASE_INV))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 1, 2, ... of the base and of its inverse, at least ``n`` of each."""
-    return _powers(max(CHUNK_BYTES * 2, 1 << (max(n, 1) - 1).bit_length()))
+    return _powers(max(CHUNK_BYTES + 1, n))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
