@@ -207,3 +207,23 @@ def test_labels_by_pattern():
     assert label("b7db7aa4a5fcc78305", "b7db7aa4a5fcc78305") is None
     assert label("4465758382889437", "4465758382889437") == 0
     assert label("token = internationalization", "internationalization") == 0
+
+
+UNLEARNED = secrets.Corpus(frozenset(), np.zeros((37, 37)))
+
+
+def proposed(text):
+    return [c.value for c in secrets.candidates(text, "", UNLEARNED)]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("Login: password=Tr0ub4dor3x", "Tr0ub4dor3x"),
+        ("mysql: PASSWORD=ABCDEF123456", "ABCDEF123456"),
+        ("x=password=Tr0ub4dor3x", "Tr0ub4dor3x"),
+        ("password: password=Tr0ub4dor3x", "Tr0ub4dor3x"),
+    ],
+)
+def test_separators_before_a_name_hide_no_value(text, value):
+    assert proposed(text) == [value]

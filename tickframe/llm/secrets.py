@@ -35,7 +35,8 @@ MASK = "[SECRET]"
 _KEYWORD = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key"
 #: Long runs of key characters, and shorter values that a telling name is assigned.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_VALUE = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})")
+_SEPARATOR = re.compile(r"[:=]")
+_VALUE = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})")
 _NAME = re.compile(rf"(?i)\b(?:{_KEYWORD})[\"']?\s{{0,3}}$")
 _NEAR = re.compile(rf"(?i)\b(?:{_KEYWORD})\b")
 _ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
@@ -179,11 +180,25 @@ def known_label(text: str, start: int, stop: int) -> int | None:
     return None
 
 
+def _assigned(text: str) -> list[tuple[int, int]]:
+    """Spans of the values that telling names are assigned, in order; a value ends where the name of the next begins."""
+    named = []
+    for sep in _SEPARATOR.finditer(text):
+        if name := _NAME.search(text, max(0, sep.start() - 40), sep.start()):
+            named.append((name.start(), sep.end()))
+    spans, bound = [], len(text)
+    for start, after in reversed(named):
+        if value := _VALUE.match(text, after, bound):
+            spans.append(value.span(1))
+            bound = start
+    return spans[::-1]
+
+
 def candidates(text: str | None, path: str | None, known: Corpus) -> list[Candidate]:
     """All candidates of a text in order; they do not overlap. A null or empty text has none."""
     out, text = [], text or ""
-    spans = {m.span(1): "assigned" for m in _VALUE.finditer(text) if _NAME.search(text[max(0, m.start() - 40) : m.start()])}
-    taken = sorted(spans)
+    taken = _assigned(text)
+    spans = dict.fromkeys(taken, "assigned")
     for found in _TOKEN.finditer(text):
         start, stop = found.span()
         near = bisect_left(taken, (stop,))  # the last value that begins before the token ends
