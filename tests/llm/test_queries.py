@@ -46,6 +46,17 @@ def test_op2(spark, documents):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_op2_trigrams(spark, documents):
+    score = brute.kneser_ney_scorer([t for i, t in documents if brute.crc(i) % 7 != 2], 3)
+    texts = dict(documents)
+    found = entry_point.queries()["op2_kneser_ney_trigrams"](spark, DATA).collect()
+    assert len(found) == len(documents)
+    for r in found:
+        n, known, total, base, value = score(texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (brute.crc(r.doc_id) % 7 == 2, n, known, total)
+        assert r.base_score == pytest.approx(base, abs=1e-7) and r.score == pytest.approx(value, abs=1e-7)
+
+
 def test_op3(spark):
     frame = QUERIES["op3_repetition"](spark, DATA)
     answer = duckdb.sql(repetition_sql(f"'{DATA}/documents.parquet'"))
