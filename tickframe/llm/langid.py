@@ -8,6 +8,8 @@ letters. It is trained on the driver by backpropagation through time on a bounde
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,8 @@ from tickframe.llm import words as W
 
 #: Bytes the network reads at once, and units in each direction.
 WINDOW, UNITS = 64, 8
-#: Most languages told apart (the most frequent ones), documents of each that the sample
-#: is expected to hold, and windows of each sampled document.
+#: Languages that these units and ``STEPS`` are meant for (more languages get more of both),
+#: distinct texts of each in the sample, and windows of each sampled text.
 LANGUAGES, SAMPLE_DOCS, SAMPLE_WINDOWS = 64, 300, 4
 STEPS, BATCH, RATE, SEED = 260, 192, 0.015, 7
 UNKNOWN = "und"
@@ -187,10 +189,11 @@ def train(samples: list[bytes], langs: list[str], units: int = UNITS, steps: int
     return net
 
 
-def pooled(net: Network, column: pa.Array, batch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pooled(net: Network, column: pa.Array, batch: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: mean probabilities over its letters, letters, and how many letters each language wins."""
     sums, counts, wins = [], [], []
     k = len(net.languages)
+    batch = batch or max(1024 * LANGUAGES // max(k, LANGUAGES), 1)  # bounds memory
     for lo, hi, raw, at in W.chunks(pc.utf8_lower(column)):
         text, row, letters = windows(raw, at)
         total, count, won = np.zeros((hi - lo, k)), np.zeros(hi - lo, np.int64), np.zeros((hi - lo, k), np.int64)
@@ -214,22 +217,20 @@ def pooled(net: Network, column: pa.Array, batch: int = 1024) -> tuple[np.ndarra
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    """Train on a sample of the documents with a language, ``sample_docs`` expected of each; none without any.
+    """Train on a sample of the documents with a language: ``sample_docs`` distinct texts of each, or all it has.
 
-    Documents are chosen by a hash of their text and windows by a hash of their bytes, so
-    the sample is the same however rows are dealt, and its size does not grow with the table. Languages beyond the ``LANGUAGES`` most frequent are not learned.
+    Texts are chosen by their hash and windows by a hash of their bytes, so the sample is the
+    same however rows are dealt and however often a text is repeated. Every language that
+    occurs is learned; the sample grows with their number, not with the table.
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.where("text is not null and lang is not null")
-    counts = {
-        r["lang"]: r["n"]
-        for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    }
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, sample_docs / n))))
-    drawn = (F.abs(F.xxhash64("text") % 1_000_000_007) / 1_000_000_007).alias("drawn")
-    chosen = known.select("lang", drawn, "text").where(F.col("drawn") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    known = known.where("text is not null and lang is not null").withColumn("hash", F.xxhash64("text"))
+    counts = known.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = docs.sparkSession.createDataFrame(counts.collect(), "lang string, n long")
+    # twice the texts wanted, so that none of the languages has too few by chance
+    known = known.join(F.broadcast(counts), "lang")
+    drawn = (F.abs(F.col("hash") % 1_000_000_007) / 1_000_000_007).alias("drawn")
+    chosen = known.select("lang", drawn, "text").where(F.col("drawn") < 2.0 * sample_docs / F.col("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +238,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["lang", "drawn", "windows"])
 
     few = chosen.mapInArrow(run, "lang string, drawn double, windows binary").distinct().orderBy("drawn", "lang", "windows")
-    few = few.limit(2 * sample_docs * len(counts)).collect()
-    return train([bytes(r["windows"]) for r in few], [r["lang"] for r in few]) if few else None
+    samples, langs, seen = [], [], Counter()
+    for r in few.collect():
+        seen[r["lang"]] += 1
+        if seen[r["lang"]] <= sample_docs:
+            samples.append(bytes(r["windows"]))
+            langs.append(r["lang"])
+    grown = max(1.0, len(seen) / LANGUAGES)
+    return train(samples, langs, math.ceil(UNITS * math.sqrt(grown)), math.ceil(STEPS * grown)) if samples else None
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
