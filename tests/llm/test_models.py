@@ -238,3 +238,28 @@ def proposed(text):
 )
 def test_separators_before_a_name_hide_no_value(text, value):
     assert proposed(text) == [value]
+
+
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("DB_PASSWORD=Tr0ub4dor3x", ["Tr0ub4dor3x"]),
+        ("db_password: s3cr3tPw12", ["s3cr3tPw12"]),
+        ("auth_token = 'a1B2c3D4e5F6'", ["a1B2c3D4e5F6"]),
+        ("password_prod=Tr0ub4dor3x", ["Tr0ub4dor3x"]),
+        ("password=P@ssw0rd!2024", ["P@ssw0rd!2024"]),
+        ("password: Xy#9kLm$2pQ", ["Xy#9kLm$2pQ"]),
+        ("postgres://admin:hunter2@db/x", ["hunter2"]),
+        ("?token=abcdefgh12&password=Tr0ub4dor3x", ["abcdefgh12", "Tr0ub4dor3x"]),
+        ("login(password=Tr0ub4dor3x)", ["Tr0ub4dor3x"]),
+        ("password=Xy#9token=abcdefgh1 end", ["Xy#9token=abcdefgh1"]),
+    ],
+)
+def test_names_and_values_of_any_form_are_proposed(text, values):
+    assert proposed(text) == values
+
+
+def test_parts_of_names_label_values():
+    for text in ("DB_PASSWORD=Tr0ub4dor3x", "dbPassword=Tr0ub4-dor3x", "postgres://admin:Tr0-ub4dor3x@db"):
+        assert [c.label for c in secrets.candidates(text, "", UNLEARNED)] == [1]
+    assert [c.label for c in secrets.candidates("author: J.Smith-2021", "", UNLEARNED)] == [None]

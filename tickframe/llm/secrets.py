@@ -14,7 +14,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,24 @@ TREES, DEPTH, SEED = 30, 6, 5
 MASK = "[SECRET]"
 
 _KEYWORD = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key"
-#: Long runs of key characters, and shorter values that a telling name is assigned.
+#: Long runs of key characters; values that a name around a keyword is assigned, up to
+#: blank, quote or delimiter; passwords in addresses.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _SEPARATOR = re.compile(r"[:=]")
-_VALUE = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})")
-_NAME = re.compile(rf"(?i)\b(?:{_KEYWORD})[\"']?\s{{0,3}}$")
-_NEAR = re.compile(rf"(?i)\b(?:{_KEYWORD})\b")
-_ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
+_VALUE = re.compile(r"[:=]*>?\s{0,3}[\"']?([^\s\"'`,;<>]{8,})")
+_SHORT = re.compile(_VALUE.pattern.replace("{8,}", "+"))
+_OPENING = re.compile(r"[(\[{]")
+_KEY_CHARS = re.compile(r"[A-Za-z0-9+/_.~-]+={0,2}")
+_NAME = re.compile(r"([\w.-]+)[\"']?\]?\s{0,3}$")
+_KEY = re.compile(rf"(?i:{_KEYWORD})")
+_URL = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"'<>]+)@(?=[\w\[])")
+_IN_URL = re.compile(r"://[^\s:/@\"'<>]*:$")
+#: Keywords as words or parts of names: DB_PASSWORD, password_prod, dbPassword, passwordProd.
+_PARTS = r"Pass(?:word|wd|phrase)?|Pwd|Secret|Token|Credential|Auth|Api[_-]?Key|Access[_-]?Key|Private[_-]?Key"
+_NEAR = re.compile(
+    rf"(?<![^\W\d_])(?i:{_KEYWORD})(?![^\W\d_])|(?<![^\W\d_])(?:{_KEYWORD})(?=[A-Z])|(?<=[a-z])(?:{_PARTS})(?![a-z])"
+)
+_ASSIGNED = re.compile(r"[:=]>?\s*[\"']?$")
 _WORD = re.compile(r"[^\W\d_]+")
 _FORMATS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}")
 _HEX = re.compile(r"(?:[0-9a-f]{16,}|[0-9A-F]{16,})")
@@ -153,7 +164,7 @@ def describe(text: str, start: int, stop: int, path: str, known: Corpus) -> list
         _coverage(value, known.dictionary),
         float(before[-1:] in "\"'" and before != "" and after[:1] in "\"'" and after != ""),
         float(_ASSIGNED.search(before) is not None),
-        float(_NEAR.search(before) is not None or _NEAR.search(after) is not None),
+        float(any(map(bool, (_NEAR.search(before), _NEAR.search(after), _IN_URL.search(before))))),
         float(re.search(r"(?i)test|example|sample|doc|fixture", path) is not None),
         *(float(place == k) for k in range(PATH_BUCKETS)),
         *(float(bucket == k) for k in range(WORD_BUCKETS)),
@@ -164,7 +175,7 @@ def known_label(text: str, start: int, stop: int) -> int | None:
     """1 for formats that only secrets have, 0 for what is surely none, else unknown.
 
     Secrets: issued key formats; random hexadecimal or mixed values that a telling name is
-    assigned. No secrets: letters of one case or capitalised, numbers, one character again
+    assigned or that stand for the password in an address. No secrets: letters of one case or capitalised, numbers, one character again
     and again, words joined by hyphens or underscores.
     """
     value, before = text[start:stop], text[max(0, start - 48) : start]
@@ -175,36 +186,59 @@ def known_label(text: str, start: int, stop: int) -> int | None:
         return 0
     if value.isalpha() and value[1:].islower():
         return 0
-    if _ASSIGNED.search(before) and _NEAR.search(before) and (_HEX.fullmatch(value) or len(kinds) >= 3):
+    if _ASSIGNED.search(before) and (_NEAR.search(before) or _IN_URL.search(before)) and (_HEX.fullmatch(value) or len(kinds) >= 3):
         return 1
     return None
 
 
 def _assigned(text: str) -> list[tuple[int, int]]:
-    """Spans of the values that telling names are assigned, in order; a value ends where the name of the next begins."""
+    """Spans of the values that telling names are assigned, in order and apart.
+
+    A value that is itself a name with a value gives way to it; a further assignment inside a
+    value belongs to it unless a delimiter of addresses comes before.
+    """
     named = []
     for sep in _SEPARATOR.finditer(text):
-        if name := _NAME.search(text, max(0, sep.start() - 40), sep.start()):
+        name = _NAME.search(text, max(0, sep.start() - 80), sep.start())
+        if name and _KEY.search(name[1]):
             named.append((name.start(), sep.end()))
     spans, bound = [], len(text)
     for start, after in reversed(named):
-        if value := _VALUE.match(text, after, bound):
-            spans.append(value.span(1))
+        if not (value := _VALUE.match(text, after, bound)) and not spans:
+            continue
+        if value is None:  # short before the next name: one value with it, or none
+            short = _SHORT.match(text, after, bound)
+            if short is None or short.end() < bound or text[bound - 1] in "&|?":
+                continue
+            value = short
+        first, last = value.span(1)
+        if last == bound < len(text) and text[last - 1] not in "&|?":
+            last = spans.pop()[1]
+        elif last == bound < len(text):
+            last -= 1
+        if text[last - 1] in ")]}" and not _OPENING.search(text, first, last):  # closing brackets are not the value's
+            while last > first and text[last - 1] in ")]}":
+                last -= 1
+        if last - first >= 8:
+            spans.append((first, last))
             bound = start
     return spans[::-1]
 
 
 def candidates(text: str | None, path: str | None, known: Corpus) -> list[Candidate]:
-    """All candidates of a text in order; they do not overlap. A null or empty text has none."""
+    """All candidates of a text in order. They overlap only where a value holds tokens besides other characters.
+
+    A null or empty text has none.
+    """
     out, text = [], text or ""
     taken = _assigned(text)
-    spans = dict.fromkeys(taken, "assigned")
+    spans = {m.span(1): "url" for m in _URL.finditer(text)} | dict.fromkeys(taken, "assigned")
     for found in _TOKEN.finditer(text):
         start, stop = found.span()
         near = bisect_left(taken, (stop,))  # the last value that begins before the token ends
-        if near == 0 or taken[near - 1][1] <= start:
-            spans[start, stop] = "token"
-    for (start, stop), kind in sorted(spans.items()):
+        if near == 0 or taken[near - 1][1] <= start or not _KEY_CHARS.fullmatch(text, *taken[near - 1]):
+            spans.setdefault((start, stop), "token")
+    for (start, stop), kind in sorted(spans.items(), key=lambda span: (span[0][0], -span[0][1])):
         value = text[start:stop]
         kind = "key_format" if _FORMATS.fullmatch(value) else kind
         features = describe(text, start, stop, path or "", known)
@@ -212,6 +246,21 @@ def candidates(text: str | None, path: str | None, known: Corpus) -> list[Candid
     return out
 
 
+def _apart(found: list[tuple[Candidate, float]]) -> list[tuple[Candidate, float]]:
+    """Findings that overlap become one: that with the first start, up to the last end."""
+    out: list[tuple[Candidate, float]] = []
+    for c, votes in found:
+        if out and c.start < out[-1][0].stop:
+            first, most = out[-1]
+            if c.stop > first.stop:
+                value = first.value + c.value[first.stop - c.start :]
+                first = replace(first, stop=c.stop, value=value)
+            out[-1] = first, max(most, votes)
+        else:
+            out.append((c, votes))
+    return out
+
+
 @dataclass(frozen=True)
 class Forest:
     """Trees as arrays: feature (-1 at leaves), threshold, child if above, vote; a child if below follows its node."""
@@ -281,9 +330,9 @@ def judged(known: Corpus, forest: Forest | None) -> Callable[[str | None, str |
         if not found:
             return []
         if forest is None:
-            return [(c, 1.0) for c in found if c.label == 1]
+            return _apart([(c, 1.0) for c in found if c.label == 1])
         votes = forest.votes(np.array([c.features for c in found]))
-        return [(c, float(v)) for c, v in zip(found, votes, strict=True) if v >= 0.5]
+        return _apart([(c, float(v)) for c, v in zip(found, votes, strict=True) if v >= 0.5])
 
     return judge
 
