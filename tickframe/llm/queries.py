@@ -13,6 +13,7 @@ from tickframe.llm.common import held_out, table
 from tickframe.llm import kneser_ney
 from tickframe.llm.langid import fit as fit_languages
 from tickframe.llm.langid import identify
+from tickframe.llm.mixing import mix_words
 from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.packing import text_shards
 from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
@@ -176,3 +177,10 @@ def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret in the documents; a document's source stands for its path."""
     docs = table(spark, sf_dir, "documents")
     return find_secrets(docs, *fit_secrets(docs))
+
+
+@query("op13_pivotal_mix")
+def op13_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    mixed = mix_words(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
