@@ -20,6 +20,7 @@ from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, r
 from tickframe.llm.rulefit import quality
 from tickframe.llm.secrets import find_secrets
 from tickframe.llm.secrets import fit as fit_secrets
+from tickframe.llm.spelling import group_variants, text_words
 from tickframe.llm.tiling import contaminated
 from tickframe.llm.windows import budgeted_windows, conversation_digests
 from tickframe.session import configure
@@ -184,3 +185,42 @@ def op13_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of all sources takes."""
     mixed = mix_words(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def spelling_sql(source: str = "documents") -> str:
+    """Near words by equal remains after deleting one place, CRC-32 as a fold over bytes, roots by recursion."""
+    return r"""
+    with recursive crc_table as (select list(list_reduce(list_prepend(b, range(8)),
+            lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t
+          from (select unnest(range(256)) as b)),
+        runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) as run from SOURCE),
+        counted as (select doc_id, run, count(*) as times from runs group by all),
+        coded as (select run, times, hex(encode(concat(coalesce(cast(doc_id as varchar), ''), ':', run))) as code, t from counted, crc_table),
+        summed as (select run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(code) // 2),
+            lambda i: cast('0x' || code[2 * i + 1:2 * i + 2] as bigint))),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from coded),
+        slipped as (select times, case when h % 31 = 0
+            then concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) else run end as word from summed),
+        words as (select word, cast(sum(times) as bigint) as n from slipped where length(word) >= 7
+            group by word having sum(times) >= 2),
+        places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+        remains as (select distinct word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) as rest from places),
+        pairs as (select a.word, b.word as near, b.n as near_n from remains a join remains b using (i, rest) where a.word <> b.word
+          union select a.word, b.word, b.n from remains a join words b on a.rest = b.word
+          union select b.word, a.word, a.n from remains a join words b on a.rest = b.word),
+        best as (select word, count(*) as n_near, max(near_n) as near_n from pairs group by word),
+        first as (select word, min(near) as near from pairs join best using (word, near_n) group by word),
+        forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * w.n then near end as form,
+            case when near_n >= 10 * w.n then near_n end as form_n
+          from words w left join best using (word) left join first using (word)),
+        steps as (select word, word as goal, 0 as k from forms
+          union all select s.word, f.form, k + 1 from steps s join forms f on s.goal = f.word where f.form is not null),
+        roots as (select word, arg_max(goal, k) as root from steps group by word)
+    select word, form, root, n, n_near, form_n from forms join roots using (word)""".replace("SOURCE", source)
+
+
+@query("op11_spelling_variants", spelling_sql())
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent form and root of every word of the documents, some of them with a slip made by checksum."""
+    return group_variants(text_words(table(spark, sf_dir, "documents")))
