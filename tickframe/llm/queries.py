@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm.bpe import digests, encode
 from tickframe.llm.common import held_out, table
+from tickframe.llm.dualtree import rank_documents
 from tickframe.llm import kneser_ney
 from tickframe.llm.langid import fit as fit_languages
 from tickframe.llm.langid import identify
@@ -224,3 +225,30 @@ def spelling_sql(source: str = "documents") -> str:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frequent form and root of every word of the documents, some of them with a slip made by checksum."""
     return group_variants(text_words(table(spark, sf_dir, "documents")))
+
+
+def ranked_search_sql(documents: str = "documents", benchmark: str = "benchmark", k: int = 50) -> str:
+    """Every item against every document, by joins over terms."""
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    with docs as (select row_number() over () as d, doc_id, regexp_extract_all({lower}, '{term}') as terms from {documents}),
+        filled as (select d, doc_id, terms, len(terms) as n from docs where len(terms) > 0),
+        total as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from filled),
+        counts as (select d, term, count(*) as tf from (select d, unnest(terms) as term from filled) group by all),
+        weights as (select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+          from counts, total group by term),
+        lengths as (select d, doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms) as m from filled, total),
+        items as (select row_number() over () as i, item_id, list_distinct(regexp_extract_all({lower}, '{term}')) as terms
+          from {benchmark}),
+        asked as (select i, item_id, unnest(terms) as term from items),
+        scored as (select i, item_id, d, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+          from asked join weights using (term) join counts using (term) join lengths using (d) group by all)
+    select item_id, cast(row_number() over (partition by i order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+    from scored join lengths using (d) where score > 0 qualify rank <= {k}"""
+
+
+@query("op12_dual_tree", ranked_search_sql())
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
