@@ -70,6 +70,27 @@ def _line_scores(k: int, x: str, inner: int = 1) -> str:
         from inner_train a join inner_test b using (f, g), options group by f, fit)"""
 
 
+def solve_sql(source: str, p: int, out: str) -> str:
+    """Common table expressions that solve ``p`` normal equations per row of ``source``.
+
+    ``source`` has the columns ``m_i_j`` (i <= j) and ``r_i``; ``out`` adds ``b_i``. Elimination
+    and back substitution, written out.
+    """
+    steps, now = [], source
+    for k in range(p):
+        changed = [f"m_{i}_{j} - m_{k}_{i} * m_{k}_{j} / m_{k}_{k} as m_{i}_{j}" for i in range(k + 1, p) for j in range(i, p)]
+        changed += [f"r_{i} - m_{k}_{i} * r_{k} / m_{k}_{k} as r_{i}" for i in range(k + 1, p)]
+        if changed:
+            steps.append(f"{out}_{k} as (select * replace ({', '.join(changed)}) from {now})")
+            now = f"{out}_{k}"
+    for k in reversed(range(p)):
+        known = "".join(f" - m_{k}_{j} * b_{j}" for j in range(k + 1, p))
+        name = out if k == 0 else f"{out}_back_{k}"
+        steps.append(f"{name} as (select *, (r_{k}{known}) / m_{k}_{k} as b_{k} from {now})")
+        now = name
+    return ",\n    ".join(steps)
+
+
 # --- splits -----------------------------------------------------------------
 
 
@@ -304,10 +325,30 @@ def sarima_fit(spark, sf):
     return _flat(FC.fit_sarima(prices(spark, sf)))
 
 
-@query("forecast_steps")
+def _ar5() -> str:
+    """The fifth-order model on first differences, fitted and carried on for a week."""
+    lags = [f"lag(z, {k}) over s as l{k}" for k in range(1, 6)]
+    sums = [f"sum(l{i + 1} * l{j + 1}) as m_{i}_{j}" for i in range(5) for j in range(i, 5)]
+    sums += [f"sum(l{i + 1} * z) as r_{i}" for i in range(5)]
+    ahead = " + ".join(f"b_{k} * s.z{k + 1}" for k in range(5))
+    return f"""with recursive {PRICES},
+    z as (select symbol, ts, price, price - lag(price) over (partition by symbol order by ts) as z from prices),
+    l as (select symbol, ts, price, z, {', '.join(lags)} from z window s as (partition by symbol order by ts)),
+    g as (select symbol, {', '.join(sums)} from l where l5 is not null group by 1),
+    {solve_sql("g", 5, "fit")},
+    steps as (select symbol, 0 as step, ts as last, price, z as z1, l1 as z2, l2 as z3, l3 as z4, l4 as z5
+          from l qualify row_number() over (partition by symbol order by ts desc) = 1
+        union all select s.symbol, step + 1, last, price + {ahead}, {ahead}, z1, z2, z3, z4
+          from steps s join fit on fit.symbol = s.symbol where step < 7)
+    select symbol, cast(step as integer) as step, strftime(last + step, '%Y-%m-%d') as ts, round(price, 2) as mean,
+      cast(null as varchar) as reason from steps where step > 0"""
+
+
+@query("forecast_steps", _ar5())
 def forecast_steps(spark, sf):
     """A week ahead with the fifth-order model, one row per step."""
-    return FC.forecast_named(prices(spark, sf), "arima").select("symbol", "step", "ts", "mean", "reason")
+    out = FC.forecast_named(prices(spark, sf), "arima")
+    return out.select("symbol", "step", day(), *rounded(2, "mean"), "reason")
 
 
 @query(
@@ -332,6 +373,52 @@ def forecast_interval(spark, sf):
     )
 
 
+_DRIVEN = """daily as (select cast(o_orderdate as date) as ts, count(*) as n_orders from orders group by 1),
+    cutoff as (select max(ts) - 7 as c from daily),
+    prices as (select symbol, ts, price, n_orders as x from (select o_orderpriority as symbol,
+        cast(o_orderdate as date) as ts, round(avg(o_totalprice), 4) as price from orders group by 1, 2)
+        join daily using (ts) where ts <= (select c from cutoff)),
+    days as (select cast(unnest(generate_series((select c - 60 from cutoff), (select c + 7 from cutoff), interval 1 day)) as date) as ts),
+    ahead as (select days.ts, coalesce(n_orders, 0) as x from days left join daily on days.ts = daily.ts)"""
+
+
+def _driven(spark, sf):
+    """Prices up to a week before the end with the market's order count of the day, and the count of the days to come."""
+    daily = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("ts")).agg(
+        F.count("*").cast("double").alias("n_orders")
+    )
+    cutoff = daily.agg(F.date_sub(F.max("ts"), 7)).scalar()
+    history = prices(spark, sf).join(daily, "ts").where(F.col("ts") <= cutoff)
+    symbols = history.select("symbol").distinct().withColumn("c", cutoff)
+    days = symbols.select("symbol", F.explode(F.sequence(F.date_sub("c", 60), F.date_add("c", 7))).alias("ts"))
+    future = days.join(daily, "ts", "left").select("symbol", "ts", F.coalesce("n_orders", F.lit(0.0)).alias("n_orders"))
+    return history, future
+
+
+@query(
+    "forecast_with_regressors",
+    f"""with recursive {_DRIVEN},
+    z as (select symbol, ts, price, x, price - lag(price) over s as z, x - lag(x) over s as e from prices
+        window s as (partition by symbol order by ts)),
+    l as (select symbol, z, e, lag(z) over (partition by symbol order by ts) as l from z),
+    g as (select symbol, sum(l * l) as ll, sum(l * e) as le, sum(e * e) as ee, sum(l * z) as lz, sum(e * z) as ez
+        from l where l is not null group by 1),
+    fit as (select symbol, (lz * ee - ez * le) / (ll * ee - le * le) as phi, (ez * ll - lz * le) / (ll * ee - le * le) as b from g),
+    tail as (select symbol, max(ts) as last, arg_max(price, ts) as price, arg_max(z, ts) as z, arg_max(x, ts) as x from z group by 1),
+    steps as (select symbol, 0 as step, last, price, z, x from tail
+        union all select s.symbol, step + 1, last, price + phi * z + b * (a.x - s.x), phi * z + b * (a.x - s.x), a.x
+        from steps s join fit on fit.symbol = s.symbol join ahead a on a.ts = s.last + s.step + 1 where step < 7)
+    select symbol, cast(step as integer) as step, strftime(last + step, '%Y-%m-%d') as ts, round(price, 2) as mean
+    from steps where step > 0""",
+)
+def forecast_with_regressors(spark, sf):
+    """A week of the first-order model driven by the day's number of orders, which is known ahead."""
+    history, future = _driven(spark, sf)
+    spec = FC.Arima((1, 1, 0), exog=("n_orders",))
+    out = FC.forecast(FC.fit_arima(history, spec), history, spec, future=future)
+    return out.select("symbol", "step", day(), *rounded(2, "mean"))
+
+
 @query("forecast_all_models")
 def forecast_all_models(spark, sf):
     out = FC.forecast_all(prices(spark, sf))
