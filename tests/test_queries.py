@@ -65,5 +65,5 @@ def test_only_unexpressible_queries_go_without_sql():
     assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
     assert set(QUERIES) - set(ORACLES) == {
         "save_model", "random_forest_regression", "supervised_window_forecast", "arma_fit", "sarima_fit",
-        "forecast_all_models",
+        "forecast_all_models", "forest_grid_search", "forest_random_search",
     }

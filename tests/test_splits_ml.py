@@ -5,6 +5,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tickframe.operators import ml
+from tickframe.operators.search import LogUniform
 from tickframe.operators import splits as S
 from tickframe.sources.readers import synthetic_regression
 
@@ -132,6 +133,23 @@ def test_settings():
     assert drawn == ml.sample_settings(grid, 10, 42) and len({str(s) for s in drawn}) == 10
 
 
+def test_searches_with_small_splits_and_distributions(problem, tmp_path):
+    grid = {"n_estimators": [2, 6], "max_depth": [None, 3], "min_samples_split": [2, 30], "min_samples_leaf": [1]}
+    path = str(tmp_path / "best")
+    best, scores = ml.grid_search(ml.forest(), grid, problem, 5, save_path=path)
+    rows = scores.orderBy("setting").collect()
+    assert len(rows) == 8 and [r.setting for r in rows if r.best] == [max(range(8), key=lambda i: rows[i].mean_score)]
+    assert best["n_estimators"] == 6 and len({r.mean_score for r in rows}) > 4
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    assert RandomForestRegressionModel.load(path).getNumTrees == 6
+    space = {"regParam": LogUniform(1e-3, 10)}
+    drawn = ml.random_search(LinearRegression(), space, problem, 5, n_iter=4)[1].collect()
+    assert len({r.params["regParam"] for r in drawn}) == 4
+    with pytest.raises(ValueError, match="no folds"):
+        ml.cross_validate(LinearRegression(), problem.withColumn("fold", F.monotonically_increasing_id()))
+
+
 def test_forest(problem):
     _, predicted, metrics = ml.random_forest_regression(
         problem.where("fold > 0"), problem.where("fold = 0"), numTrees=20, maxDepth=8

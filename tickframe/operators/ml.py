@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterable, Mapping, Sequence
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -17,21 +15,24 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.operators.forests import MAX_DEPTH, forest_search
 from tickframe.operators.impute import fill_zero
 from tickframe.operators.indicators import lag_features, row_tail
+from tickframe.operators.search import Space, draw_settings, every_setting
 from tickframe.operators.stats import regression_metrics
 from tickframe.session import broadcast_if_small
 
 #: Usual names of forest settings and what MLlib calls them. ``min_samples_split`` has no
-#: counterpart: MLlib splits any node of two rows or more, so only 2 means what it says.
+#: counterpart: MLlib splits any node of two rows or more. Searches with other values go to
+#: :mod:`tickframe.operators.forests`, which reads them off grown trees.
 PARAM_NAMES = {
     "n_estimators": "numTrees",
     "max_depth": "maxDepth",
     "min_samples_leaf": "minInstancesPerNode",
     "min_samples_split": None,
 }
-#: MLlib's deepest tree, used where no limit is asked for.
-MAX_DEPTH = 30
+#: Folds that cross-validation accepts, as each is fitted on its own.
+MOST_FOLDS = 200
 
 
 def features(df: DataFrame, cols: Sequence[str], label: str, *, keep: Sequence[str] = ()) -> DataFrame:
@@ -55,22 +56,26 @@ def random_forest_regression(train: DataFrame, test: DataFrame, **params) -> tup
 # --- parameter settings -----------------------------------------------------
 
 
-def settings(grid: Mapping[str, Sequence]) -> list[dict]:
-    """Every combination of a grid, with MLlib's parameter names; settings it lacks are an error."""
+def _in_mllib(setting: Mapping) -> dict:
     named = {}
-    for name, values in grid.items():
+    for name, value in setting.items():
         to = PARAM_NAMES.get(name, name)
-        if to is None:
-            if set(values) != {2}:
-                raise ValueError(f"{name}={list(values)} can't be honoured: MLlib has no such parameter")
-            continue
-        named[to] = [MAX_DEPTH if v is None and to == "maxDepth" else v for v in values]
-    return [dict(zip(named, combo, strict=True)) for combo in product(*named.values())]
+        if to is not None:
+            named[to] = MAX_DEPTH if value is None and to == "maxDepth" else value
+        elif value != 2:
+            raise ValueError(f"{name}={value} can't be honoured: MLlib has no such parameter")
+    return named
 
 
-def sample_settings(grid: Mapping[str, Sequence], n: int, seed: int) -> list[dict]:
-    every = settings(grid)
-    return every if n >= len(every) else random.Random(seed).sample(every, n)
+def settings(grid: Mapping[str, Sequence]) -> list[dict]:
+    """Every combination of a grid, with MLlib's parameter names; settings it lacks are an error."""
+    named = [_in_mllib(one) for one in every_setting(grid)]
+    return [one for i, one in enumerate(named) if one not in named[:i]]
+
+
+def sample_settings(space: Space, n: int, seed: int) -> list[dict]:
+    """Settings drawn from lists or distributions, with MLlib's parameter names."""
+    return [_in_mllib(one) for one in draw_settings(space, n, seed)]
 
 
 def _param_maps(estimator: Estimator, chosen: Iterable[dict]) -> list[dict]:
@@ -86,7 +91,9 @@ def _evaluator(metric: str) -> RegressionEvaluator:
 
 def fold_pairs(df: DataFrame, *, fold: str = "fold", role: str = "role"):
     """``(fold, train, test)`` frames: by role for expanding folds, else one fold against the rest."""
-    numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
+    numbers = sorted(r[0] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(numbers) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} values of {fold}: these are no folds")
     for f in numbers:
         if role in df.columns:
             part = df.where(F.col(fold) == f)
@@ -110,7 +117,8 @@ def cross_validate(
     each training part is searched first, on the folds of a column ``inner`` (0 to
     ``inner_folds`` - 1) if there is one, else on inner folds by hash of the row.
     """
-    data = df.persist()
+    used = [c for c in ("features", "label", "fold", "role", "inner") if c in df.columns]
+    data = df.select(*used).persist()
     scores = []
     try:
         for f, train, test in fold_pairs(data):
@@ -141,7 +149,11 @@ def _search(estimator, chosen, df, k, metric, parallelism) -> CrossValidatorMode
     ).fit(df)
 
 
-def _run_search(estimator, chosen, df, k, metric, save_path, parallelism) -> tuple[dict, DataFrame]:
+def _run_search(estimator, asked, df, k, metric, save_path, parallelism) -> tuple[dict, DataFrame]:
+    if isinstance(estimator, RandomForestRegressor) and any(one.get("min_samples_split", 2) != 2 for one in asked):
+        return forest_search(df, asked, metric=metric, seed=estimator.getSeed(), save_path=save_path)
+    named = [_in_mllib(one) for one in asked]
+    chosen = [one for i, one in enumerate(named) if one not in named[:i]]
     fitted = _search(estimator, chosen, df, k, metric, parallelism)
     better = max if _evaluator(metric).isLargerBetter() else min
     best = fitted.avgMetrics.index(better(fitted.avgMetrics))
@@ -165,12 +177,12 @@ def grid_search(
     parallelism: int = 4,
 ) -> tuple[dict, DataFrame]:
     """Best setting and mean score of every setting; ``df`` has a ``fold`` column 0..k-1."""
-    return _run_search(estimator, settings(grid), df, k, metric, save_path, parallelism)
+    return _run_search(estimator, every_setting(grid), df, k, metric, save_path, parallelism)
 
 
 def random_search(
     estimator: Estimator,
-    grid: Mapping[str, Sequence],
+    space: Space,
     df: DataFrame,
     k: int = 5,
     metric: str = "r2",
@@ -179,8 +191,8 @@ def random_search(
     seed: int = 42,
     parallelism: int = 4,
 ) -> tuple[dict, DataFrame]:
-    """As :func:`grid_search`, over ``n_iter`` settings drawn from the grid."""
-    return _run_search(estimator, sample_settings(grid, n_iter, seed), df, k, metric, save_path, parallelism)
+    """As :func:`grid_search`, over ``n_iter`` settings drawn from lists or distributions."""
+    return _run_search(estimator, draw_settings(space, n_iter, seed), df, k, metric, save_path, parallelism)
 
 
 # --- one model per symbol ---------------------------------------------------

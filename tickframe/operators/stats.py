@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickframe.operators.layout import as_list, over_blocks
+from tickframe.operators.moments import centres, pair_moments
 from tickframe.session import materialize
 
 
@@ -17,38 +17,24 @@ def naive_forecast(df: DataFrame, *, key: str = "symbol", price: str = "price")
     return df.groupBy(key).agg(F.avg(price).alias("mean"), F.min(price).alias("lo"), F.max(price).alias("hi"))
 
 
-#: Pairs of columns whose moments one aggregation holds.
-PAIRS = 300
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, as rows ``(a, b, corr)``; one aggregation per ``PAIRS`` pairs.
+    """Pearson correlation of every pair, as rows ``(a, b, corr)``.
 
     Each pair uses the rows where both are known. A column that does not vary gives NULL.
-    Rows are summed up where they are read: one row of moments per task is shuffled.
+    Rows are summed up where they are read, as Gram matrices; pairs of columns are shuffled.
     """
-    pairs = list(combinations_with_replacement(cols, 2))
-    named = None
-    for lo in range(0, len(pairs), PAIRS):
-        cells = []
-        for a, b in pairs[lo : lo + PAIRS]:
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            cells.append(
-                F.struct(
-                    F.lit(a).alias("a"),
-                    F.lit(b).alias("b"),
-                    F.covar_pop(x, y).alias("_xy"),
-                    F.var_pop(F.when(F.col(b).isNotNull(), x)).alias("_xx"),
-                    F.var_pop(F.when(F.col(a).isNotNull(), y)).alias("_yy"),
-                )
-            )
-        part = df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
-        named = part if named is None else named.union(part)
-    value = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
-    itself = F.col("a") == F.col("b")
-    there = F.struct("a", "b", F.when(itself, F.when(F.col("_xx") > 0, 1.0)).otherwise(value).alias("corr"))
-    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), value.alias("corr"))
-    return named.select(F.inline(F.when(itself, F.array(there)).otherwise(F.array(there, back))))
+    names = F.array(*[F.lit(c) for c in cols])
+    sums = pair_moments(df, cols, centres(df, cols))
+    spread = lambda q, s: F.col(q) - F.col(s) * F.try_divide(s, "n")
+    together = F.col("p") - F.col("s_i") * F.try_divide("s_j", "n")
+    apart = spread("q_i", "s_i") * spread("q_j", "s_j")
+    value = F.when(apart > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), together / F.sqrt(apart))))
+    itself = F.col("i") == F.col("j")
+    a, b = F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b")
+    corr = F.when(itself, F.when(spread("q_i", "s_i") > 0, 1.0)).otherwise(value).alias("corr")
+    there = F.struct(a, b, corr)
+    back = F.struct(b.alias("a"), a.alias("b"), corr)
+    return sums.select(F.inline(F.when(itself, F.array(there)).otherwise(F.array(there, back))))
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: str | Sequence[str] | None = None) -> DataFrame:

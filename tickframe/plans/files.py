@@ -227,7 +227,7 @@ def save_model(spark, sf):
 
     path = work_path(spark, "model")
     data = features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    forest(numTrees=3, maxDepth=4).fit(data).write().overwrite().save(path)
+    forest(numTrees=50, maxDepth=6).fit(data).write().overwrite().save(path)
     scored = RandomForestRegressionModel.load(path).transform(data)
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 2).alias("mean_prediction"))
 

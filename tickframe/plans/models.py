@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from tickframe.operators import forecast as FC
+from tickframe.operators import forests as FO
 from tickframe.operators import ml
+from tickframe.operators import search as SE
 from tickframe.operators import splits as SP
 from tickframe.operators.stats import regression_metrics
 from tickframe.plans.adapters import BRAND_PRICES, PRICES, brand_prices, day, prices, rounded, table
@@ -28,11 +30,13 @@ def _sql_hash(ids, seed: int) -> str:
     return f"cast('0x' || substr(md5(concat_ws('|', {', '.join(ids)}, '{seed}')), 1, 8) as bigint)"
 
 
-def _folded(spark, sf, k: int, xs=tuple(_X), inner: int | None = None):
+def _folded(spark, sf, k: int, inner: int | None = None):
     keyed = SP.hash_fold(_items(spark, sf), k, _IDS, 7)
-    if inner:
-        keyed = keyed.withColumn("inner", (SP.row_hash(_IDS, 8) % inner).cast("int"))
-    return ml.features(keyed, list(xs), _Y, keep=["fold", "inner"] if inner else ["fold"])
+    return keyed.withColumn("inner", (SP.row_hash(_IDS, 8) % inner).cast("int")) if inner else keyed
+
+
+def _vectors(folded, xs=tuple(_X)):
+    return ml.features(folded, list(xs), _Y, keep=["fold"])
 
 
 def _line():
@@ -41,35 +45,6 @@ def _line():
     return LinearRegression(featuresCol="features", labelCol="label", solver="normal")
 
 
-def _line_scores(k: int, x: str, inner: int = 1) -> str:
-    """SQL for R2 of a straight line, with and without intercept, from sums of products.
-
-    ``outer_scores`` has a row per fold and option; ``inner_scores`` the mean over the inner
-    folds of the rows outside of that fold.
-    """
-    sums = "sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy, sum(syy) as syy"
-
-    def score(train: str, test: str) -> str:
-        b = f"case when fit then ({train}.n * {train}.sxy - {train}.sx * {train}.sy) / ({train}.n * {train}.sxx - {train}.sx * {train}.sx) else {train}.sxy / {train}.sxx end"
-        a = f"case when fit then ({train}.sy - ({b}) * {train}.sx) / {train}.n else 0 end"
-        sse = f"{test}.syy - 2 * ({a}) * {test}.sy - 2 * ({b}) * {test}.sxy + {test}.n * ({a}) * ({a}) + 2 * ({a}) * ({b}) * {test}.sx + ({b}) * ({b}) * {test}.sxx"
-        return f"1 - ({sse}) / ({test}.syy - {test}.sy * {test}.sy / {test}.n)"
-
-    return f"""rows as (select l_extendedprice as y, {x} as x, {_sql_hash(_IDS, 7)} % {k} as fold,
-        {_sql_hash(_IDS, 8)} % {inner} as inner_fold from lineitem),
-    cells as (select fold, inner_fold, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy,
-        sum(y * y) as syy from rows group by 1, 2),
-    options as (select unnest([true, false]) as fit),
-    folds as (select distinct fold as f from cells), parts as (select distinct inner_fold as g from cells),
-    outer_train as (select f, {sums} from cells, folds where fold <> f group by f),
-    outer_test as (select fold as f, {sums} from cells group by fold),
-    outer_scores as (select f, fit, {score("a", "b")} as score from outer_train a join outer_test b using (f), options),
-    inner_train as (select f, g, {sums} from cells, folds, parts where fold <> f and inner_fold <> g group by f, g),
-    inner_test as (select f, inner_fold as g, {sums} from cells, folds where fold <> f group by f, inner_fold),
-    inner_scores as (select f, fit, avg({score("a", "b")}) as score
-        from inner_train a join inner_test b using (f, g), options group by f, fit)"""
-
-
 def solve_sql(source: str, p: int, out: str) -> str:
     """Common table expressions that solve ``p`` normal equations per row of ``source``.
 
@@ -91,6 +66,49 @@ def solve_sql(source: str, p: int, out: str) -> str:
     return ",\n    ".join(steps)
 
 
+def _ridge_sql(k: int, regs, inner: int = 1) -> str:
+    """SQL for R2 of ridge regressions on all three features, from sums of products.
+
+    ``outer_scores`` has a row per fold and setting; ``inner_scores`` the mean over the inner
+    folds of the rows outside of that fold.
+    """
+    p = len(_X)
+    sums = ["n", *(f"s_{i}" for i in range(p)), "s_y", *(f"p_{i}_{j}" for i in range(p) for j in range(i, p))]
+    sums += [*(f"p_{i}_y" for i in range(p)), "p_yy"]
+    added = ", ".join(f"sum({c}) as {c}" for c in sums)
+    made = ["count(*) as n", *(f"sum(x{i}) as s_{i}" for i in range(p)), "sum(y) as s_y", "sum(y * y) as p_yy"]
+    made += [f"sum(x{i} * x{j}) as p_{i}_{j}" for i in range(p) for j in range(i, p)] + [f"sum(x{i} * y) as p_{i}_y" for i in range(p)]
+
+    def scored(name: str, keys: str) -> str:
+        system = [
+            f"(p_{i}_{j} / n - s_{i} * s_{j} / (n * n)){' * (1 + reg)' if i == j else ''} as m_{i}_{j}" for i in range(p) for j in range(i, p)
+        ] + [f"p_{i}_y / n - s_{i} * s_y / (n * n) as r_{i}" for i in range(p)]
+        slope = " + ".join(f"b_{i} * s_{i}" for i in range(p))
+        cross = " + ".join(f"b_{i} * p_{i}_y" for i in range(p))
+        square = " + ".join(f"{'' if i == j else '2 * '}b_{i} * b_{j} * p_{i}_{j}" for i in range(p) for j in range(i, p))
+        sse = f"p_yy - 2 * (a * s_y + {cross}) + n * a * a + 2 * a * ({slope}) + {square}"
+        return f"""{name}_sys as (select *, {', '.join(system)} from {name}_train, settings),
+    {solve_sql(f"{name}_sys", p, f"{name}_fit")},
+    {name}_line as (select {keys}, setting, (s_y - ({slope})) / n as a, {', '.join(f'b_{i}' for i in range(p))} from {name}_fit),
+    {name}_each as (select {keys}, setting, 1 - ({sse}) / (p_yy - s_y * s_y / n) as score
+        from {name}_line join {name}_test using ({keys}))"""
+
+    listed = ", ".join(f"({i}, {reg!r}e0)" if "e" not in repr(reg) else f"({i}, {reg!r})" for i, reg in enumerate(regs))
+    return f"""rows as (select {_Y} as y, {', '.join(f'{x} as x{i}' for i, x in enumerate(_X))}, {_sql_hash(_IDS, 7)} % {k} as fold,
+        {_sql_hash(_IDS, 8)} % {inner} as inner_fold from lineitem),
+    cells as (select fold, inner_fold, {', '.join(made)} from rows group by 1, 2),
+    settings as (select * from (values {listed}) t(setting, reg)),
+    folds as (select distinct fold as f from cells), parts as (select distinct inner_fold as g from cells),
+    outer_train as (select f, {added} from cells, folds where fold <> f group by f),
+    outer_test as (select fold as f, {added} from cells group by fold),
+    {scored("outer", "f")},
+    outer_scores as (select * from outer_each),
+    inner_train as (select f, g, {added} from cells, folds, parts where fold <> f and inner_fold <> g group by f, g),
+    inner_test as (select f, inner_fold as g, {added} from cells, folds where fold <> f group by f, inner_fold),
+    {scored("inner", "f, g")},
+    inner_scores as (select f, setting, avg(score) as score from inner_each group by f, setting)"""
+
+
 # --- splits -----------------------------------------------------------------
 
 
@@ -132,57 +150,127 @@ def _scores(df):
     return df.select("fold", *rounded(6, "score", "mean_score"))
 
 
+_MEAN = "round(avg(score) over (), 6) as mean_score"
+
+
 @query(
     "cross_validate",
-    f"""with {_line_scores(5, "l_quantity")} select cast(f as integer) as fold, round(score, 6) as score,
-    round(avg(score) over (), 6) as mean_score from outer_scores where fit""",
+    f"""with {_ridge_sql(5, [0.0])} select cast(f as integer) as fold, round(score, 6) as score, {_MEAN} from outer_scores""",
 )
 def cross_validate(spark, sf):
-    """R2 of a straight line on each of five folds."""
-    return _scores(ml.cross_validate(_line(), _folded(spark, sf, 5, ["l_quantity"])))
+    """R2 of a line on all three features on each of five folds."""
+    return _scores(SE.cross_validate_ridge(_folded(spark, sf, 5), _X, _Y))
+
+
+#: Penalties of the searches: none, and eleven from a thousandth to a hundred.
+_REGS = [0.0, *(round(10 ** (k / 2), 6) for k in range(-6, 5))]
 
 
 @query(
     "nested_cv",
-    f"""with {_line_scores(3, "l_tax", 3)}, chosen as (select o.f, o.score from outer_scores o join inner_scores i using (f, fit)
-        qualify row_number() over (partition by o.f order by i.score desc) = 1)
-    select cast(f as integer) as fold, round(score, 6) as score, round(avg(score) over (), 6) as mean_score from chosen""",
+    f"""with {_ridge_sql(5, _REGS, 4)}, chosen as (select f, setting from inner_scores
+        qualify row_number() over (partition by f order by score desc, setting) = 1)
+    select cast(f as integer) as fold, round(score, 6) as score, {_MEAN} from outer_scores join chosen using (f, setting)""",
 )
 def nested_cv(spark, sf):
-    """With or without intercept, searched inside every outer fold."""
-    data = _folded(spark, sf, 3, ["l_tax"], inner=3)
-    return _scores(ml.cross_validate(_line(), data, grid={"fitIntercept": [False, True]}, inner_folds=3))
+    """Twelve penalties searched on four inner folds inside each of five outer folds."""
+    settings = SE.every_setting({"regParam": _REGS})
+    return _scores(SE.cross_validate_ridge(_folded(spark, sf, 5, inner=4), _X, _Y, settings=settings))
 
 
-def _settings(df):
-    return df.select(F.col("params")["fitIntercept"].alias("fit_intercept"), *rounded(6, "mean_score"), "best")
+_SEARCH = """select cast(setting as integer) as setting, round(any_value(reg), 9) as reg_param, round(avg(score), 6) as mean_score,
+    row_number() over (order by avg(score) desc, setting) = 1 as best
+    from outer_scores join settings using (setting) group by setting"""
 
 
-_SEARCH = """select case when fit then 'True' else 'False' end as fit_intercept, round(avg(score), 6) as mean_score,
-    rank() over (order by avg(score) desc) = 1 as best from outer_scores group by fit"""
+def _searched(df):
+    reg = F.round(F.col("params")["regParam"].cast("double"), 9).alias("reg_param")
+    return df.select("setting", reg, *rounded(6, "mean_score"), "best")
 
 
-@query("grid_search", f"with {_line_scores(5, 'l_discount')} {_SEARCH}")
+@query("grid_search", f"with {_ridge_sql(5, _REGS)} {_SEARCH}")
 def grid_search(spark, sf):
-    data = _folded(spark, sf, 5, ["l_discount"])
-    return _settings(ml.grid_search(_line(), {"fitIntercept": [True, False]}, data, 5)[1])
+    """Twelve penalties on five folds."""
+    return _searched(SE.ridge_search(_folded(spark, sf, 5), _X, _Y, SE.every_setting({"regParam": _REGS}))[1])
+
 
+_DRAWN = SE.draw_settings({"regParam": SE.LogUniform(1e-4, 1e2)}, 10, 42)
 
-@query("random_search", f"with {_line_scores(5, 'l_tax')} {_SEARCH}")
+
+@query("random_search", f"with {_ridge_sql(5, [s['regParam'] for s in _DRAWN])} {_SEARCH}")
 def random_search(spark, sf):
-    """More draws than settings: all of them are tried."""
-    data = _folded(spark, sf, 5, ["l_tax"])
-    return _settings(ml.random_search(_line(), {"fitIntercept": [True, False]}, data, 5, n_iter=10, seed=42)[1])
+    """Ten penalties drawn between a ten-thousandth and a hundred, all magnitudes alike, on five folds."""
+    return _searched(SE.ridge_search(_folded(spark, sf, 5), _X, _Y, _DRAWN)[1])
+
+
+# The grid the original searches, 81 settings.
+_FOREST_GRID = {
+    "n_estimators": [50, 100, 150],
+    "max_depth": [None, 10, 20],
+    "min_samples_split": [2, 5, 10],
+    "min_samples_leaf": [1, 2, 4],
+}
+
+
+def _suppliers(spark, sf):
+    """Five folds of suppliers: what they hold and have sold, and the mean value of an item."""
+    sold = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
+        F.sum("l_quantity").cast("double").alias("volume"),
+        F.sum("l_extendedprice").cast("double").alias("market_cap"),
+        F.avg("l_discount").cast("double").alias("discount"),
+        F.avg(F.col("l_extendedprice").cast("double")).alias("price"),
+    )
+    held = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("supply"))
+    rows = SP.hash_fold(held.join(sold, F.col("s_suppkey") == F.col("l_suppkey")), 5, "s_suppkey", 3)
+    return ml.features(rows, ["market_cap", "volume", "supply", "discount"], "price", keep=["fold"])
+
+
+def _forest_settings(df):
+    names = [F.col("params")[n].alias(n) for n in _FOREST_GRID]
+    return df.select("setting", *names, *rounded(4, "mean_score"), "best")
+
+
+@query("forest_grid_search")
+def forest_grid_search(spark, sf):
+    """All 81 settings on five folds, from three grown forests a fold."""
+    return _forest_settings(FO.forest_search(_suppliers(spark, sf), SE.every_setting(_FOREST_GRID))[1])
+
+
+@query("forest_random_search")
+def forest_random_search(spark, sf):
+    """Ten drawn settings on five folds: numbers of trees and depths from ranges, the rest from lists."""
+    space = {**_FOREST_GRID, "n_estimators": SE.IntRange(50, 150), "min_samples_split": SE.IntRange(2, 10)}
+    return _forest_settings(FO.forest_search(_suppliers(spark, sf), SE.draw_settings(space, 10, 42))[1])
+
+
+#: The sums a cut of a feature splits, per fold: a stump's R2 on the fold it has not seen.
+_STUMP = f"""items as (select l_extendedprice as y, l_quantity as x, {_sql_hash(_IDS, 7)} % 3 as fold from lineitem),
+    per as (select fold, x, count(*) as n, sum(y) as s, sum(y * y) as q from items group by 1, 2),
+    held as (select distinct fold as f from per),
+    train as (select f, x, sum(n) as n, sum(s) as s from per, held where fold <> f group by 1, 2),
+    cuts as (select f, x, sum(n) over w as n, sum(s) over w as s, sum(n) over a as na, sum(s) over a as sa,
+        lead(x) over (partition by f order by x) as above from train
+        window w as (partition by f order by x), a as (partition by f)),
+    chosen as (select f, (x + above) / 2 as cut, s / n as lo, (sa - s) / (na - n) as hi from cuts where above is not null
+        qualify row_number() over (partition by f order by s * s / n + (sa - s) * (sa - s) / (na - n) desc) = 1),
+    stumps as (select f, 1 - sum(q - 2 * p * s + n * p * p) / (sum(q) - sum(s) * sum(s) / sum(n)) as score from (
+        select f, n, s, q, case when x <= cut then lo else hi end as p from per join chosen on f = fold) group by f)"""
 
 
 @query(
     "estimator_arg",
-    f"""with {_line_scores(3, "l_discount")} select cast(f as integer) as fold, round(score, 6) as score,
-    round(avg(score) over (), 6) as mean_score from outer_scores where fit""",
+    f"""with {_ridge_sql(3, [0.0])}, {_STUMP}, joined as (select 'line' as estimator, f, score from outer_scores
+        union all select 'stump', f, score from stumps)
+    select estimator, cast(f as integer) as fold, round(score, 6) as score,
+        round(avg(score) over (partition by estimator), 6) as mean_score from joined""",
 )
 def estimator_arg(spark, sf):
-    """Any MLlib estimator goes where the forest went."""
-    return _scores(ml.cross_validate(_line(), _folded(spark, sf, 3, ["l_discount"])))
+    """Any MLlib estimator goes where the forest went: a line on three features, a tree of one cut on the quantity."""
+    folded = _folded(spark, sf, 3)
+    stump = DecisionTreeRegressor(featuresCol="features", labelCol="label", maxDepth=1, maxBins=64)
+    line = ml.cross_validate(_line(), _vectors(folded)).withColumn("estimator", F.lit("line"))
+    tree = ml.cross_validate(stump, _vectors(folded, ["l_quantity"])).withColumn("estimator", F.lit("stump"))
+    return line.union(tree).select("estimator", "fold", *rounded(6, "score", "mean_score"))
 
 
 @query("random_forest_regression")
@@ -191,7 +279,7 @@ def random_forest_regression(spark, sf):
     marked = SP.train_test_split(_items(spark, sf), _KEYS, 0.2, 42)
     data = ml.features(marked, _X, _Y, keep=["split"])
     _, _, metrics = ml.random_forest_regression(
-        data.where("split = 'train'"), data.where("split = 'test'"), numTrees=10, maxDepth=5
+        data.where("split = 'train'"), data.where("split = 'test'"), numTrees=100, maxDepth=8
     )
     return metrics
 
@@ -250,13 +338,13 @@ def cross_validate_expanding(spark, sf):
     """A trend line over all symbols, trained on what lies before each test run."""
     days = prices(spark, sf).withColumn("day", F.datediff("ts", F.lit("1990-01-01").cast("date")).cast("double"))
     folds = SP.time_series_split(days, 5)
-    return _scores(ml.cross_validate(_line(), ml.features(folds, ["day"], "price", keep=["fold", "role"])))
+    return _scores(SE.cross_validate_ridge(folds, ["day"], "price", role="role"))
 
 
 @query("supervised_window_forecast")
 def supervised_window_forecast(spark, sf):
     """Boosted trees on the five prices before, projected over a week."""
-    learner = GBTRegressor(featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, seed=42)
+    learner = GBTRegressor(featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, seed=42)
     return ml.window_forecast(brand_prices(spark, sf), 5, 7, estimator=learner)[1]
 
 
