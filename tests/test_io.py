@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickframe.operators import export as X
-from tickframe.operators.bars import ohlc_bars
+from tickframe.operators.bars import date_range, ohlc_bars
 from tickframe.schemas import MARKET, PREDICTIONS, conform
 from tickframe.session import broadcast_if_small, shared_dir
 from tickframe.sources import readers as R
@@ -226,6 +226,66 @@ def test_stream_dedupe_keeps_late_coins_and_bad_times(spark, tmp_path):
     assert sorted((r.id, json.loads(r.record)["current_price"]) for r in bad) == [("d", 1.0), ("d", 2.0)]
 
 
+def test_stream_dedupe_keeps_no_state_and_may_run_a_batch_again(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    for k in range(4):
+        land(landing, f"{k}.json", [record(c, f"2024-01-0{d}T12:00:00Z") for c in "ab" for d in range(1, k + 2)])
+        run = jobs.stream_dedupe(spark, str(landing), out, out + "-cp", once=True)
+        run.awaitTermination()
+        assert all(not p["stateOperators"] for p in run.recentProgress)
+    rows = spark.read.parquet(out)
+    assert rows.count() == rows.select("id", "last_updated").distinct().count() == 8
+    assert sorted({r.batch_id for r in rows.select("batch_id").collect()}) == [0, 1, 2, 3]
+    # batch 3 once more: what it wrote itself does not count as written before
+    again = rows.where("batch_id = 3").drop("batch_id").union(rows.where("batch_id = 1").drop("batch_id"))
+    fresh = jobs._new_rows(again, out, 3, ["id", "last_updated"], "month")
+    assert sorted((r.id, r.last_updated.day) for r in fresh.collect()) == [("a", 4), ("b", 4)]
+
+
+def test_dedupe_reads_only_the_days_it_brings(spark, tmp_path, capsys):
+    out = str(tmp_path / "out")
+    rows = spark.range(300).selectExpr("cast(id as string) as id", "timestamp'2024-01-01' + make_interval(0,0,0,id) as last_updated")
+    rows = rows.withColumn("date", rows.last_updated.cast("date"))
+    rows.write.partitionBy("date").parquet(f"{out}/batch_id=0")
+    batch = rows.where("id in ('7', '8')").union(rows.selectExpr("'new'", "last_updated", "date").where("date = '2024-01-08'"))
+    fresh = jobs._new_rows(batch, out, 1, ["id", "last_updated"], "date")
+    assert [r.id for r in fresh.collect()] == ["new"]
+    fresh.explain()
+    filters = capsys.readouterr().out.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "2024-01-08" in filters and "2024-01-09" in filters and "2024-01-07" not in filters
+
+
+def test_stores_are_pruned_by_day(spark, tmp_path, capsys):
+    rows = spark.range(400).selectExpr(
+        "concat('m', id % 2) as measurement", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,id) as time", "cast(id as double) as value"
+    )
+    path = str(tmp_path / "points")
+    W.write_points(rows, path)
+    points = W.read_points(spark, path)
+    near = R.scan_points_since(points, "m1", 2, as_of="2024-01-10")
+    assert near.count() == rows.where("measurement = 'm1' and time >= '2024-01-08'").count()
+    near.explain()
+    shown = capsys.readouterr().out
+    assert "PartitionFilters" in shown and "(date#" in shown.split("PartitionFilters")[1].split("]")[0]
+    days = "cast(col1 as timestamp_ntz) as start, cast(col2 as timestamp_ntz) as stop"
+    windows = spark.sql(
+        f"select measurement, w, {days} from values ('m0', 1, '2024-01-03 22:00', '2024-01-04 02:00'), ('m0', 2, '2024-01-03', '2024-01-05'), "
+        "('m1', 3, '2024-01-05', '2024-01-05') as t(measurement, w, col1, col2)"
+    )
+    windows.write.parquet(str(tmp_path / "windows"))
+    got = R.scan_points_windows(points, spark.read.parquet(str(tmp_path / "windows")))
+    want = [(1, float(v)) for v in (70, 72)] + [(2, float(v)) for v in range(48, 96, 2)]
+    assert sorted((r.w, r.value) for r in got.select("w", "value").collect()) == want
+    got.explain()
+    assert "dynamicpruning" in capsys.readouterr().out
+    bars = rows.withColumnsRenamed({"measurement": "symbol", "time": "ts"})
+    W.write_dated(bars, str(tmp_path / "bars"), ["symbol"])
+    part = date_range(spark.read.parquet(str(tmp_path / "bars")), "2024-01-02", "2024-01-04")
+    assert part.count() == 48
+    part.explain()
+    assert "(date#" in capsys.readouterr().out.split("PartitionFilters")[1].split("]")[0]
+
+
 def test_stream_bars_take_late_ticks_and_open_intervals(spark, tmp_path):
     landing, out = str(tmp_path / "ticks"), str(tmp_path / "bars")
 

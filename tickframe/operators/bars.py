@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.operators.layout import on_days
 from tickframe.session import broadcast_if_small
 
 
@@ -60,11 +61,18 @@ def coarser_bars(bars: DataFrame, interval: str, *, key: str = "symbol", ts: str
 
 
 def date_range(df: DataFrame, start=None, end=None, *, ts: str = "ts") -> DataFrame:
-    """Rows with ``start <= ts < end``; an open side is not restricted."""
-    if start is not None:
-        df = df.where(F.col(ts) >= F.lit(start).cast(df.schema[ts].dataType))
-    if end is not None:
-        df = df.where(F.col(ts) < F.lit(end).cast(df.schema[ts].dataType))
+    """Rows with ``start <= ts < end``; an open side is not restricted.
+
+    Of a store laid out by day (:func:`tickframe.sources.writers.write_dated`) only the folders
+    of these days are read.
+    """
+    kind = df.schema[ts].dataType
+    low, high = (None if v is None else F.lit(v).cast(kind) for v in (start, end))
+    df = on_days(df, low, high) if ts != "date" else df
+    if low is not None:
+        df = df.where(F.col(ts) >= low)
+    if high is not None:
+        df = df.where(F.col(ts) < high)
     return df
 
 

@@ -182,6 +182,21 @@ def block_series(
     return placed.repartition(*keys, "_blk")
 
 
+def on_days(df: DataFrame, start: Column | None = None, stop: Column | None = None) -> DataFrame:
+    """Only the days or months that ``[start, stop]`` touches, where the store is laid out by ``date`` or ``month``.
+
+    The filter on the folder's column is what lets Spark leave out folders; the caller filters
+    the time itself.
+    """
+    for name, first in (("date", lambda c: c.cast("date")), ("month", lambda c: F.trunc(c.cast("date"), "month"))):
+        if name in df.columns and isinstance(df.schema[name].dataType, T.DateType):
+            if start is not None:
+                df = df.where(F.col(name) >= first(start))
+            if stop is not None:
+                df = df.where(F.col(name) <= first(stop))
+    return df
+
+
 def block_window(key: str | Sequence[str] = "symbol", ts: str = "ts", tie: Sequence[str] = ()) -> WindowSpec:
     return Window.partitionBy(*as_list(key), "_blk").orderBy(ts, *tie)
 

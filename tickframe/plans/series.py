@@ -24,7 +24,9 @@ from tickframe.plans.adapters import (
     ticks,
 )
 from tickframe.plans.registry import query
-from tickframe.sources.readers import scan_points_since
+from tickframe.session import work_path
+from tickframe.sources.readers import scan_points_since, scan_points_windows
+from tickframe.sources.writers import read_points, write_points
 
 _OHLC = ("open", "high", "low", "close")
 _ROWS = "symbol, " + SQL_DAY
@@ -105,6 +107,41 @@ def scan_points_since_query(spark, sf):
     return scan_points_since(points, "purchase", 7, as_of="2024-01-31")
 
 
+def _stored_points(spark, sf):
+    """All ticks as points in a store laid out by measurement and day."""
+    path = work_path(spark, "points")
+    renamed = {"symbol": "measurement", "ts": "time", "price": "value"}
+    write_points(ticks(spark, sf).withColumnsRenamed(renamed).select(*renamed.values()), path)
+    return read_points(spark, path)
+
+
+@query(
+    "scan_points_stored",
+    f"""with {TICKS} select symbol as measurement, ts as time, price as value from ticks
+    where symbol = 'purchase' and ts >= timestamp '2024-01-31' - interval 7 day""",
+)
+def scan_points_stored_query(spark, sf):
+    """The same days from a store, of which only their folders are read."""
+    return scan_points_since(_stored_points(spark, sf), "purchase", 7, as_of="2024-01-31").drop("date")
+
+
+@query(
+    "scan_points_windows",
+    f"""with {TICKS}, peaks as (select symbol, arg_max(ts, (price, -epoch_us(ts))) as peak from ticks group by 1)
+    select symbol as measurement, peak, count(*) as n, round(avg(price), 6) as mean from ticks join peaks using (symbol)
+    where ts >= peak - interval 12 hour and ts < peak + interval 12 hour group by 1, 2""",
+)
+def scan_points_windows_query(spark, sf):
+    """What happened half a day around each symbol's highest price; the windows are a table."""
+    points = _stored_points(spark, sf)
+    first = F.max_by("time", F.struct("value", -F.unix_micros(F.col("time").cast("timestamp"))))
+    peaks = points.groupBy("measurement").agg(first.alias("peak"))
+    half = F.expr("INTERVAL 12 HOURS")
+    windows = peaks.select("measurement", "peak", (F.col("peak") - half).alias("start"), (F.col("peak") + half).alias("stop"))
+    near = scan_points_windows(points, windows)
+    return near.groupBy("measurement", "peak").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 # --- indicators -------------------------------------------------------------
 
 _RET = "price / lag(price) over (partition by symbol order by ts) - 1"

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe.functions.prices import analyse, parse_date, parse_ts
+from tickframe.operators.layout import on_days
 from tickframe.operators.snapshot import flag_required, top_k
 from tickframe.schemas import MARKET, MARKET_RAW, conform, nan_to_null
+from tickframe.session import broadcast_if_small
 
 
 def scan_market(spark: SparkSession, path: str) -> DataFrame:
@@ -76,13 +78,34 @@ def scan_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
 def scan_points_since(
     points: DataFrame, measurement: str | None, days: int = 7, *, as_of: Column | str | None = None
 ) -> DataFrame:
-    """Points of a measurement in the last days before ``as_of`` (now, if not given)."""
+    """Points of a measurement in the last days before ``as_of`` (now, if not given).
+
+    Of a store laid out by measurement and day only the folders of these days are read.
+    """
     now = F.current_timestamp() if as_of is None else (F.lit(as_of) if isinstance(as_of, str) else as_of)
     kind = points.schema["time"].dataType
     since = (now.cast(kind) - F.expr(f"INTERVAL {int(days)} DAYS")).cast(kind)
     if measurement is not None:
         points = points.where(F.col("measurement") == measurement)
-    return points.where(F.col("time") >= since)
+    return on_days(points, since).where(F.col("time") >= since)
+
+
+def scan_points_windows(points: DataFrame, windows: DataFrame, *, by: str = "measurement") -> DataFrame:
+    """The points inside windows that a table names: its columns ``by, start, stop`` and any others, with each point.
+
+    A window holds ``start <= time < stop``; a point in several windows comes once for each.
+    Windows are unfolded to their days and joined by measurement and day, so of a store laid
+    out by both Spark reads only the folders that some window touches, once it knows them.
+    """
+    if "date" not in points.columns:
+        points = points.withColumn("date", F.col("time").cast("date"))
+    kind = points.schema["time"].dataType
+    bounds = windows.withColumns({"start": F.col("start").cast(kind), "stop": F.col("stop").cast(kind)})
+    bounds = bounds.where(F.col("start") < F.col("stop"))
+    last = (F.col("stop") - F.expr("INTERVAL 1 MICROSECOND")).cast("date")
+    days = bounds.withColumn("date", F.explode(F.sequence(F.col("start").cast("date"), last)))
+    joined = points.join(broadcast_if_small(days), [by, "date"])
+    return joined.where((F.col("time") >= F.col("start")) & (F.col("time") < F.col("stop"))).drop("date")
 
 
 def parse_json_records(

@@ -47,10 +47,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_dated(
+    df: DataFrame, path: str, by: Sequence[str] = (), *, ts: str = "ts", span: str = "day", mode: str = "append"
+) -> None:
+    """Rows laid out by ``by`` and the day (``date``) or month (``month``) of ``ts``, so that range reads skip folders.
+
+    Choose months where a day brings few rows: a folder should hold megabytes.
+    """
+    name = {"day": "date", "month": "month"}[span]
+    dated = df.withColumn(name, F.trunc(F.col(ts).cast("date"), "month") if span == "month" else F.col(ts).cast("date"))
+    dated.hint("rebalance", *by, name).write.mode(mode).partitionBy(*by, name).parquet(path)
+
+
 def write_points(points: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Points, laid out by measurement and day so that range reads skip files."""
-    dated = points.withColumn("date", F.col("time").cast("date")).hint("rebalance", "measurement", "date")
-    dated.write.mode(mode).partitionBy("measurement", "date").parquet(path)
+    """Points, laid out by measurement and day."""
+    write_dated(points, path, ["measurement"], ts="time", mode=mode)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickframe.operators.export import flatten_points
 from tickframe.schemas import MARKET_RAW
 from tickframe.sources.readers import market_rows
-from tickframe.sources.writers import append_changes, compact
+from tickframe.sources.writers import append_changes, compact, write_dated
 
 POLL = "5 minutes"
 
@@ -64,7 +67,7 @@ def stream_upsert(
             log = batch.sparkSession.read.parquet(f"{root}/log/batch_id={int(batch_id)}")
             stamped = log.drop("seq").withColumnRenamed("last_updated", "time")
             long = flatten_points(stamped, F.col("id")).where(F.col("value").isNotNull()).drop("text")
-            long.write.mode("overwrite").parquet(f"{points}/batch_id={int(batch_id)}")
+            write_dated(long, f"{points}/batch_id={int(batch_id)}", ts="time", span="month", mode="overwrite")
         if serve:
             compact(batch.sparkSession, root)
 
@@ -80,12 +83,43 @@ def stream_upsert(
 def dedupe(stream: DataFrame, *, key: str = "id", ts: str = "last_updated") -> DataFrame:
     """Each ``(key, ts)`` once, however late it comes.
 
-    The pairs seen so far are keyed state without expiry: a coin that is heard of for the
-    first time is never too late. Give long-running jobs the RocksDB state store.
+    The pairs seen so far are keyed state without expiry; :func:`stream_dedupe` needs none.
     """
     return stream.dropDuplicates([key, ts])
 
 
+def _written_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What other batches have written below a folder, if there is any."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch_id") != batch_id)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there, or only empty batches
+            raise
+        return None
+
+
+def _new_rows(batch: DataFrame, path: str, batch_id: int, ids: Sequence[str], part: str) -> DataFrame:
+    """Rows of a batch, each once, whose ``ids`` no other batch has written.
+
+    The store is laid out by ``part``, which follows from the ids: of what was written before,
+    only the folders that the batch touches are read.
+    """
+    once = batch.dropDuplicates([*ids])
+    before = _written_before(batch.sparkSession, path, batch_id)
+    if before is None:
+        return once
+    touched = [r[0] for r in once.select(part).distinct().collect()]  # months or hash parts: few by nature
+    near = before.where(F.col(part).isin(touched)).select(part, *ids).alias("b")
+    match = F.col(f"n.{part}") == F.col(f"b.{part}")
+    for c in ids:
+        match = match & F.col(f"n.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return once.alias("n").join(near, match, "left_anti")
+
+
+#: Folders that quarantined records are dealt into by hash.
+ASIDE_PARTS = 64
+
+
 def stream_dedupe(
     spark: SparkSession,
     landing: str,
@@ -98,10 +132,15 @@ def stream_dedupe(
     interval: str = POLL,
     max_files: int | None = None,
 ) -> StreamingQuery:
-    """Landed snapshots, each ``(id, last_updated)`` once, below ``out``, a folder per batch.
+    """Landed snapshots, each ``(id, last_updated)`` once, below ``out``, a folder per batch and month.
+
+    The stream keeps no state: what a batch repeats is found in the output itself, of which
+    it reads the ids of the months it brings. So a coin heard of for the first time is never
+    too late, and nothing grows with the history but the output. A batch run again replaces
+    its own folder and does not count as written before.
 
     Records whose time cannot be read are no repeats of one another: they go whole, as
-    JSON text, below ``quarantine`` (``<out>-quarantine`` by default).
+    JSON text, below ``quarantine`` (``<out>-quarantine`` by default), each text once.
     """
     aside = quarantine or f"{out.rstrip('/')}-quarantine"
     reader = spark.readStream.schema(schema or MARKET_RAW)
@@ -109,18 +148,27 @@ def stream_dedupe(
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.json(landing)
     read = F.try_to_timestamp("last_updated")
-    # the text of a record that cannot be placed in time tells it apart from others of its coin
     timed = raw.withColumn("_bad", F.when(read.isNull(), F.to_json(F.struct("*")))).withColumn("last_updated", read)
-    once_each = timed.dropDuplicates(["id", "last_updated", "_bad"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = batch.where("_bad is null").drop("_bad")
-        good.write.mode("overwrite").parquet(f"{out}/batch_id={int(batch_id)}")
+        batch = batch.persist()
+        try:
+            split(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        month = F.trunc(F.col("last_updated").cast("date"), "month")
+        good = batch.where("_bad is null").drop("_bad").withColumn("month", month)
+        fresh = _new_rows(good, out, batch_id, ["id", "last_updated"], "month")
+        fresh.write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch_id={int(batch_id)}")
         bad = batch.where("_bad is not null").select("id", F.col("_bad").alias("record"))
-        bad.write.mode("overwrite").parquet(f"{aside}/batch_id={int(batch_id)}")
+        bad = bad.withColumn("part", F.pmod(F.xxhash64("record"), F.lit(ASIDE_PARTS)).cast("int"))
+        fresh = _new_rows(bad, aside, batch_id, ["record"], "part")
+        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{aside}/batch_id={int(batch_id)}")
 
     return (
-        once_each.writeStream.foreachBatch(write)
+        timed.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**_trigger(once, interval))
         .start()
