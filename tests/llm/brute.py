@@ -13,7 +13,7 @@ from tickframe.llm.queries import TOKENIZER
 
 DATA = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept int, n_words string, label string, node string, id string, digest string, key string, score string"
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept int, n_words string, label string, node string, id string, digest string, key string, score string, _id string, _digest string, _key string, _Word string, mass string"
 
 
 def words(text):
@@ -30,7 +30,7 @@ def odd_rows():
         (7, long), (8, "one two"), (9, "one two"), (10, "naïve Ünïcode — ﬁn 漢字"), (11, "line a b c\n" * 40),
         (12, plain + "\n" + plain),
     ]
-    extra = (None, "s", 0, 1, "a", "b", "c", "d", "e", "f", "g")
+    extra = (None, "s", 0, 1, "a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l")
     return [(i, t, *extra) for i, t in texts]
 
 

@@ -263,3 +263,10 @@ def test_parts_of_names_label_values():
     for text in ("DB_PASSWORD=Tr0ub4dor3x", "dbPassword=Tr0ub4-dor3x", "postgres://admin:Tr0-ub4dor3x@db"):
         assert [c.label for c in secrets.candidates(text, "", UNLEARNED)] == [1]
     assert [c.label for c in secrets.candidates("author: J.Smith-2021", "", UNLEARNED)] == [None]
+
+
+def test_training_leaves_the_session_as_it_was(spark, documents):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    model = kneser_ney.train(spark.createDataFrame(documents[:20], "doc_id long, text string"), order=2)
+    assert spark.conf.get(setting) == before and model.path.startswith("file:/")

@@ -40,3 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text has this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each made longer until the frame has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -15,11 +15,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import words as W
@@ -264,6 +265,13 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3))
 
 
+def _made(spark: SparkSession, path: str) -> str:
+    """A new folder with the file system that Spark takes a plain path to be on: a table of one row tells."""
+    spark.range(1).write.parquet(f"{path}/place")
+    file = spark.read.parquet(f"{path}/place").inputFiles()[0]
+    return unquote(file[: file.rindex("/place/")])
+
+
 def train(texts: DataFrame, text_col: str = "text", order: int = 2, parts: int | None = None) -> Model:
     """Count all n-grams of all texts and write the model into the shared folder.
 
@@ -273,19 +281,21 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2, parts: int |
     """
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = work_path(spark, "kneser-ney")
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
-    store, at = fs.FileSystem.from_uri(path)
-    store.create_dir(at)
+    path = _made(spark, work_path(spark, "kneser-ney"))
     blocks = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, parts), _BLOCK)
-    # a batch holds few blocks, so that a task holds the blocks of one part only
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     for _ in range(order):
         blocks = blocks.repartition(parts, "part").sortWithinPartitions("part", "kind", "level")
         blocks = blocks.mapInArrow(_merge(order, parts, path), _BLOCK)
     totals = {m: np.zeros(8, np.int64) for m in range(1, order + 1)}
-    for r in blocks.select("level", "body").collect():  # one row of numbers per part and order
+    # a batch holds few blocks, so that a task holds the blocks of one part only
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64")
+    try:
+        rows = blocks.select("level", "body").collect()  # one row of numbers per part and order
+    finally:
+        spark.conf.set(setting, before)
+    for r in rows:
         totals[r["level"]] += np.frombuffer(r["body"], _U).astype(np.int64)
     found = tuple(discounts(totals[m][:4].tolist()) for m in range(1, order + 1))
     one = totals[1].tolist()

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm import words as W
+from tickframe.llm.common import free_names
 from tickframe.session import work_path
 
 SHINGLE = 5
@@ -374,15 +375,16 @@ def drop_near_duplicates(
     """
     _, classes = text_classes(docs, id_col, text_col, threshold, bands, band_rows)
     first = classes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node", "digest")).alias("k"))
-    keep = written(first.select(F.col("k.digest").alias("_digest"), F.col("k.rep").alias("_id")), "keep")
+    keep = written(first.select(F.col("k.digest").alias("digest"), F.col("k.rep").alias("id")), "keep")
     # an own id column, as the join must keep null ids and the caller's columns apart
-    marked = docs.withColumns({"_digest": digest(text_col), "_id": F.col(id_col)})
+    own_digest, own_id = free_names(docs, "_digest", "_id")
+    marked = docs.withColumns({own_digest: digest(text_col), own_id: F.col(id_col)})
     filled = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     left = marked.where(filled).alias("d")
     found = left.join(
         keep.alias("k"),
-        (F.col("d._digest") == F.col("k._digest")) & F.col("d._id").eqNullSafe(F.col("k._id")),
+        (F.col(f"d.{own_digest}") == F.col("k.digest")) & F.col(f"d.{own_id}").eqNullSafe(F.col("k.id")),
         "left_semi",
     )
-    one = found.dropDuplicates(["_digest", "_id"]).drop("_digest", "_id")
+    one = found.dropDuplicates([own_digest, own_id]).drop(own_digest, own_id)
     return one.unionByName(docs.where(~filled))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import words as W
+from tickframe.llm.common import free_names
 from tickframe.session import work_path
 
 #: Tokens of a seed, and of the shortest tile. An item with fewer tokens is one seed.
@@ -290,13 +291,15 @@ def drop_contaminated(
     """The rows, all columns, whose text covers no benchmark item to the threshold.
 
     Decided row by row where the benchmark is small, else by the text's digest: no id is needed.
+    Null and empty texts stay, repeated rows stay or go together, an empty benchmark drops nothing.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     if not _small(items, "text", broadcast_bytes):
         texts = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
         hits = contaminated(texts.dropDuplicates(["key"]), items, "key", broadcast_bytes=broadcast_bytes)
-        marked = docs.alias("d").withColumn("_key", F.md5(text_col))
-        return marked.join(hits.select(F.col("key").alias("_key")), "_key", "left_anti").drop("_key")
+        (own,) = free_names(docs, "_key")
+        marked = docs.withColumn(own, F.md5(text_col))
+        return marked.join(hits.select(F.col("key").alias(own)), own, "left_anti").drop(own).select(*docs.columns)
     place = docs.columns.index(text_col)
     held = _held(items)
 
