@@ -3,7 +3,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickframe.operators import export as X
 from tickframe.operators.bars import date_range, ohlc_bars
