@@ -46,15 +46,19 @@ def repetition(text):
         "n_words": len(own), "word_chars": sum(map(len, own)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
         "n_lines": len(lines), "n_dup_lines": len(lines) - len(seen), "dup_line_chars": dup_chars,
     }
-    for n in range(5, 11):
+    for n in range(2, 11):
         grams = [tuple(own[k : k + n]) for k in range(len(own) - n + 1)]
-        count = Counter(grams)
-        inside = {q for k, g in enumerate(grams) if count[g] > 1 for q in range(k, k + n)}
-        out[f"dup_chars_{n}"] = sum(len(own[q]) for q in inside)
+        count, first = Counter(grams), {g: k for k, g in reversed([*enumerate(grams)])}
+        if n < 5:
+            out[f"top_chars_{n}"] = max([(c - 1) * len("".join(g)) for g, c in count.items()], default=0)
+            continue
+        later = {q for k, g in enumerate(grams) if first[g] < k for q in range(k, k + n)}
+        out[f"dup_chars_{n}"] = sum(len(own[q]) for q in later)
         if n == 8:
-            out["n_repeat_words"] = len(inside)
+            out["n_repeat_words"] = len({q for k, g in enumerate(grams) if count[g] > 1 for q in range(k, k + n)})
     out["base_failed"] = len(own) < 20 or 100 * out["n_repeat_words"] > 30 * len(own)
-    bad = any(100 * out[f"dup_chars_{n}"] > 30 * out["word_chars"] for n in range(5, 11))
+    limits = {2: 20, 3: 18, 4: 16, 5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+    bad = any(100 * out[f"{'top' if n < 5 else 'dup'}_chars_{n}"] > x * out["word_chars"] for n, x in limits.items())
     bad = bad or 100 * out["n_dup_lines"] > 50 * len(lines) or 100 * dup_chars > 30 * out["word_chars"]
     out["kept"] = not (out["base_failed"] or bad)
     return out

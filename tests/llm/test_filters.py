@@ -172,3 +172,19 @@ def test_contamination_by_either_join(spark, odd, none, most):
     assert tiling.contaminated(docs, nothing, broadcast_bytes=most).count() == 0
     assert tiling.drop_contaminated(odd, nothing, broadcast_bytes=most).count() == odd.count()
     assert tiling.contaminated(none, bench, broadcast_bytes=most).count() == 0
+
+
+@pytest.mark.parametrize("phrase", ["buy now", "click here", "click here to win", "one of these days we will"])
+def test_each_length_can_reject(phrase):
+    """Phrases of two to six words between words that change leave no longer n-gram repeated."""
+    text = " ".join(f"{phrase} w{k}x{k * k}" for k in range(60))
+    found = {k: v[0] for k, v in repetition.measure(pa.array([text])).items()}
+    n = len(phrase.split())
+    assert found[f"top_chars_{n}" if n < 5 else f"dup_chars_{n}"] > 0 and not found["kept"] and not found["base_failed"]
+    assert all(found[f"dup_chars_{m}"] == 0 for m in range(max(5, n + 1), 11))
+
+
+def test_a_footer_equal_to_the_header_stays():
+    line = "all rights reserved by the makers of this page"
+    body = " ".join(f"v{k * k}" for k in range(300))
+    assert repetition.measure(pa.array([f"{line}\n{body}\n{line}"]))["kept"][0]

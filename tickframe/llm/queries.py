@@ -17,7 +17,7 @@ from tickframe.llm.langid import identify
 from tickframe.llm.mixing import mix_words
 from tickframe.llm.neardup import near_duplicates
 from tickframe.llm.packing import text_shards
-from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, repetition
+from tickframe.llm.repetition import GRAM_LIMITS, LINE_CHAR_LIMIT, LINE_LIMIT, TOP_LIMITS, repetition
 from tickframe.llm.rulefit import quality
 from tickframe.llm.secrets import find_secrets
 from tickframe.llm.secrets import fit as fit_secrets
@@ -48,17 +48,30 @@ def query(name: str, sql: str | None = None, registry: dict[str, Callable[[Spark
 
 def repetition_sql(source: str = "documents") -> str:
     """The measures and verdict of ``repetition`` for every row of a table."""
+    lengths = [*TOP_LIMITS, *GRAM_LIMITS]
     windows = "\n".join(
         f"""windows_{n} as (select r, p, list_aggregate(words[p:p + {n - 1}], 'string_agg', ' ') as g
           from places where p + {n - 1} <= len(words)),
-        inside_{n} as (select r, sum(length(words[q])) as chars, count(*) as n from (
-          select distinct w.r, t.words, unnest(range(w.p, w.p + {n})) as q
-          from windows_{n} w join (select r, g from windows_{n} group by r, g having count(*) > 1) using (r, g)
-          join texts t on t.r = w.r) group by r),"""
+        twice_{n} as (select r, g, count(*) as n, min(p) as first from windows_{n} group by r, g having count(*) > 1),"""
+        for n in lengths
+    )
+    tops = "\n".join(
+        f"""top_{n} as (select r, max((n - 1) * length(replace(g, ' ', ''))) as chars from twice_{n} group by r),"""
+        for n in TOP_LIMITS
+    )
+    insides = "\n".join(
+        f"""inside_{n} as (select r, sum(length(words[q])) filter (later) as chars, count(*) as n from (
+          select r, any_value(words) as words, q, bool_or(p > first) as later from (
+            select w.r, t.words, w.p, w.first, unnest(range(w.p, w.p + {n})) as q
+            from (select * from windows_{n} join twice_{n} using (r, g)) w join texts t on t.r = w.r)
+          group by r, q) group by r),"""
         for n in GRAM_LIMITS
     )
-    joins = " ".join(f"left join inside_{n} on inside_{n}.r = t.r" for n in GRAM_LIMITS)
-    shares = " ".join(f"or 100 * dup_chars_{n} > {limit} * word_chars" for n, limit in GRAM_LIMITS.items())
+    joins = " ".join([*(f"left join top_{n} on top_{n}.r = t.r" for n in TOP_LIMITS),
+                      *(f"left join inside_{n} on inside_{n}.r = t.r" for n in GRAM_LIMITS)])
+    limits = {f"top_chars_{n}": x for n, x in TOP_LIMITS.items()} | {f"dup_chars_{n}": x for n, x in GRAM_LIMITS.items()}
+    shares = " ".join(f"or 100 * {name} > {limit} * word_chars" for name, limit in limits.items())
+    sums = [f"coalesce({name.replace('top_chars', 'top').replace('dup_chars', 'inside')}.chars, 0) as {name}" for name in limits]
     return rf"""
     with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as text,
           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from {source}),
@@ -68,12 +81,14 @@ def repetition_sql(source: str = "documents") -> str:
         line_sums as (select r, sum(n) as n_lines, sum(n - 1) as n_dup_lines, sum((n - 1) * length(line)) as dup_line_chars
           from lines group by r),
         {windows}
+        {tops}
+        {insides}
         measured as (select t.doc_id, len(words) as n_words,
           length(array_to_string(words, '')) as word_chars,
           len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(l.n_dup_lines, 0) as n_dup_lines,
           coalesce(inside_8.n, 0) as n_repeat_words, coalesce(l.n_lines, 0) as n_lines,
           coalesce(l.dup_line_chars, 0) as dup_line_chars,
-          {", ".join(f"coalesce(inside_{n}.chars, 0) as dup_chars_{n}" for n in GRAM_LIMITS)}
+          {", ".join(sums)}
           from texts t left join line_sums l on l.r = t.r {joins}),
         judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from measured)
     select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
@@ -82,7 +97,7 @@ def repetition_sql(source: str = "documents") -> str:
       not (base_failed or 100 * n_dup_lines > {LINE_LIMIT} * n_lines
         or 100 * dup_line_chars > {LINE_CHAR_LIMIT} * word_chars {shares}) as kept,
       cast(n_lines as bigint) as n_lines, cast(dup_line_chars as bigint) as dup_line_chars,
-      {", ".join(f"cast(dup_chars_{n} as bigint) as dup_chars_{n}" for n in GRAM_LIMITS)}
+      {", ".join(f"cast({name} as bigint) as {name}" for name in limits)}
     from judged"""
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 from tickframe.llm import words as W
 
-#: Lengths of n-grams, in words, and the share of a text's word characters, in hundredths,
-#: that may lie inside n-grams occurring twice or more (first occurrence included). A header
-#: that comes back once as a footer stays below in all but the shortest texts.
-GRAM_LIMITS = {5: 30, 6: 30, 7: 30, 8: 30, 9: 30, 10: 30}
+#: Fixed published limits, in hundredths of a text's word characters. For short n-grams: what the
+#: repeats of the single most repetitive one may make up. For long ones: what may lie inside n-grams
+#: seen before. First occurrences never count, so a header that comes back once as a footer stays
+#: below in all but the shortest texts; the limits fall with the length, so that each can decide.
+TOP_LIMITS = {2: 20, 3: 18, 4: 16}
+GRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Likewise for lines equal to an earlier one: share of lines, share of characters.
 LINE_LIMIT, LINE_CHAR_LIMIT = 50, 30
 #: The base rule: fewest words, window, share of words in repeated windows.
@@ -31,6 +33,7 @@ MEASURES = {
     "kept": "boolean",
     "n_lines": "long",
     "dup_line_chars": "long",
+    **{f"top_chars_{n}": "long" for n in TOP_LIMITS},
     **{f"dup_chars_{n}": "long" for n in GRAM_LIMITS},
 }
 
@@ -77,7 +80,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
             return W.row_sums(inside if weight is None else np.where(inside, weight, 0), words.first)
 
         # a repeated window of n + 1 words begins with a repeated window of n words
-        least = min(GRAM_LIMITS)
+        least = min(TOP_LIMITS)
+        before = np.concatenate(([0], np.cumsum(size)))
         starts, rolling = W.grams(words, least)
         for n in range(least, max(GRAM_LIMITS) + 1):
             if n > least:
@@ -86,15 +90,25 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
                 fits = words.row[starts] == words.row[starts + n - 1]
                 starts, rolling = starts[fits], rolling[fits]
                 rolling = rolling * W.GRAM + words.hash[starts + n - 1]
-            twice = W.repeated(W.mix(rolling + words.row[starts].astype(W.U64) * W.GRAM))
+            keys = W.mix(rolling + words.row[starts].astype(W.U64) * W.GRAM)
+            twice, later = W.occurrences(keys)
+            if n in TOP_LIMITS:
+                _, first, count = np.unique(keys[twice], return_index=True, return_counts=True)
+                first = starts[twice][first]
+                out[f"top_chars_{n}"] = np.zeros(rows, np.int64)
+                again = (count - 1) * (before[first + n] - before[first])
+                np.maximum.at(out[f"top_chars_{n}"], words.row[first], again)
+            else:
+                out[f"dup_chars_{n}"] = covered(starts[later], n, size)
             starts, rolling = starts[twice], rolling[twice]
-            out[f"dup_chars_{n}"] = covered(starts, n, size)
             if n == BASE_WINDOW:
                 out["n_repeat_words"] = covered(starts, n, None)
         n_words, chars_in = out["n_words"], out["word_chars"]
         out["base_failed"] = (n_words < LEAST_WORDS) | (100 * out["n_repeat_words"] > BASE_LIMIT * n_words)
         rejected = out["base_failed"] | (100 * out["n_dup_lines"] > LINE_LIMIT * out["n_lines"])
         rejected |= 100 * out["dup_line_chars"] > LINE_CHAR_LIMIT * chars_in
+        for n, limit in TOP_LIMITS.items():
+            rejected |= 100 * out[f"top_chars_{n}"] > limit * chars_in
         for n, limit in GRAM_LIMITS.items():
             rejected |= 100 * out[f"dup_chars_{n}"] > limit * chars_in
         out["kept"] = ~rejected
@@ -124,7 +138,10 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_repetitive(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, whose text passes; decided row by row, so no key is needed."""
+    """The rows, all columns, whose text passes; decided row by row, so no key is needed.
+
+    Null, empty and short texts fail the base rule and go; repeated rows stay or go together.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

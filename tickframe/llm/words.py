@@ -130,15 +130,14 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at])
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more (all occurrences)."""
-    s = np.sort(keys)
-    twice = s[1:][s[1:] == s[:-1]]
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    twice = twice[np.concatenate(([True], twice[1:] != twice[:-1]))]
-    place = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-    return twice[place] == keys
+def occurrences(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys occur twice or more (all occurrences), and which have occurred before."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    later, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[order[1:]] = same
+    twice[order[:-1]] = same
+    return twice | later, later
 
 
 def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
