@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import regex
 from tokenizers import Tokenizer
 
 from tickframe.llm import kneser_ney
@@ -125,7 +127,9 @@ def tiles(item, text, least):
 
 
 def tokens(text):
-    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (text or "").lower())
+    plain = re.sub("[\u00ad\u200c\u200d\u2060\ufeff]", "", unicodedata.normalize("NFKC", text or "")).lower()
+    single = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+    return regex.findall(rf"{single}|(?:(?!{single})[\p{{L}}\p{{M}}\p{{N}}])+", plain)
 
 
 def contamination(texts, items):

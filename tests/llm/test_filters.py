@@ -138,6 +138,33 @@ def test_links_between_classes_of_a_bucket_are_found(spark):
     assert all(half[a] != half[b] for a, b in across) and len(inside) < size
 
 
+def test_tokens_of_any_script_equal_brute_force():
+    texts = [
+        "“Smart” quotes—long dashes… and\u00a0no-break\u202fspaces", "don’t don't", "x²½ Ⅳ ﬁne ＦＵＬＬ", "soft\u00adhyphen", None, "",
+        "他说：「人工智能是未来」。ok", "カード を 使う", "ภาษาไทย abc", "cafe\u0301 caf\u00e9", "日本2024年 и Привет", "plain, ascii_text 12", "a\u200bb",
+    ]
+    found = []
+    for lo, hi, words in tiling.tokens(pa.array(texts)):
+        found += [words.hash[words.first[k] : words.first[k + 1]].tolist() for k in range(hi - lo)]
+    names = {}
+    for text, hashes in zip(texts, found, strict=True):
+        want = brute.tokens(text)
+        assert len(want) == len(hashes), text
+        assert all(names.setdefault(w, h) == h for w, h in zip(want, hashes, strict=True))
+    assert len(set(names.values())) == len(names)
+
+
+def test_quoted_passages_are_found_in_any_typography(spark):
+    own = "the quick brown fox jumps over a lazy dog while seven wizards mix some strange potions".split()
+    chinese = "人工智能正在改变我们的生活方式"
+    texts = [" ".join(own), "“" + "” “".join(own) + "”", "—".join(own), "\u00a0".join(own), f"他说过{chinese}这样的话", "别的句子"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(own)), (1, chinese)], "item_id long, text string")
+    for most in (tiling.BROADCAST_BYTES, 0):
+        found = {tuple(r) for r in tiling.contaminated(docs, bench, broadcast_bytes=most).collect()}
+        assert found == {(k, 0, 16, 16, 1) for k in range(4)} | {(4, 1, 15, 15, 1)}
+
+
 def test_tiles_equal_brute_force():
     rng = random.Random(6)
     for _ in range(400):

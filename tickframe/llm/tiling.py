@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased runs of letters and digits. A text that shares a seed (a run of a
+Texts are lower-cased runs of letters and digits of any script, in compatibility form (NFKC);
+scripts written without blanks count by character. A text that shares a seed (a run of a
 few tokens) with a benchmark item is tiled against it: the longest run both still hold
 unmarked, found by Karp-Rabin hashes, is marked again and again until no run of the least
 length is left. The marked share of the item decides, so passages in another order count.
@@ -8,6 +9,7 @@ length is left. The marked share of the item decides, so passages in another ord
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,9 +33,27 @@ BROADCAST_BYTES = 16 << 20
 COLUMNS = ["item_id", "item_tokens", "covered_tokens", "n_tiles"]
 
 
+#: Characters that only steer line breaks and joining, and scripts written without blanks.
+_UNSEEN = r"[\x{AD}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+
+
+def _plain(column: pa.Array) -> pa.Array:
+    """Lower-cased texts in which blanks and ASCII signs alone separate tokens; nulls stay."""
+    other = pc.invert(pc.fill_null(pc.string_is_ascii(column), True))
+    if pc.any(other).as_py():
+        # not Arrow's own normalisation, which leaves letters and their marks apart
+        texts = pa.array([unicodedata.normalize("NFKC", t) for t in column.filter(other).to_pylist()], column.type)
+        texts = pc.replace_substring_regex(texts, _UNSEEN, "")
+        texts = pc.replace_substring_regex(texts, r"[^\x00-\x7F\p{L}\p{M}\p{N}]+", " ")
+        texts = pc.replace_substring_regex(texts, _UNSPACED, r" \0 ")
+        column = pc.replace_with_mask(column, other, texts)
+    return pc.utf8_lower(column)
+
+
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, W.Words]]:
     """Words of each chunk of texts, as runs of letters and digits without case."""
-    for lo, hi, raw, at in W.chunks(pc.utf8_lower(column)):
+    for lo, hi, raw, at in W.chunks(_plain(column)):
         yield lo, hi, W.split(raw, at, W.NOT_ALNUM)
 
 
