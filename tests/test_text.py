@@ -85,6 +85,18 @@ def test_lemma_table_and_rules(spark, texts):
     assert tokens_of(T.preprocess(texts), "clean")[5] == "bad bad good good price box"
 
 
+def test_a_vocabulary_decides_between_the_forms(spark):
+    forms = ["news", "lens", "chaos", "boxes", "axes", "wolves", "gloves", "women", "men", "stories", "movies", "glass", "us", "s", "zzzs", "data"]
+    df = spark.createDataFrame([(1, [*forms, None, "boxes"]), (2, []), (3, None)], "mention_id int, tokens array<string>")
+    listed = ["news", "lens", "chaos", "box", "ax", "axe", "wolf", "glove", "woman", "men", "man", "story", "movie", "glass", "u", None, "box"]
+    vocabulary = spark.createDataFrame([(w, 1) for w in listed], "word string, form int")
+    exceptions = spark.createDataFrame([("data", "datum"), ("unused", "x")], "form string, lemma string")
+    want = ["news", "lens", "chaos", "box", "ax", "wolf", "glove", "woman", "men", "story", "movie", "glass", "u", "s", "zzzs"]
+    assert tokens_of(T.lemmatize(df, vocabulary=vocabulary)) == {1: [*want, "data", "box"], 2: [], 3: []}
+    assert tokens_of(T.lemmatize(df, exceptions, vocabulary=vocabulary)) == {1: [*want, "datum", "box"], 2: [], 3: []}
+    assert tokens_of(T.lemmatize(df, vocabulary=vocabulary.where("false")))[1] == [*forms, "boxes"]
+
+
 def test_scores(texts, lexicon):
     scores = {r.mention_id: r for r in T.lexicon_sentiment(T.lemmatize(T.text_tokens(texts)), lexicon).collect()}
     assert len(scores) == len(TEXTS)

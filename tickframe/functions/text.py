@@ -122,6 +122,15 @@ def singular(word: Column) -> Column:
     return out.otherwise(word)
 
 
+def singular_candidates(word: Column) -> Column:
+    """The word and what every fitting plural ending makes of it, in the order of the endings."""
+    made = [word]
+    for end, to in PLURAL_ENDINGS:
+        stem = word.substr(F.lit(1), F.length(word) - len(end))
+        made.append(F.when(word.endswith(end) & (F.length(word) > len(end)), F.concat(stem, F.lit(to))))
+    return F.array_compact(F.array(*made))
+
+
 def join_tokens(tokens: Column | str) -> Column:
     return F.array_join(_col(tokens), " ")
 

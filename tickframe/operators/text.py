@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.functions.text import clean_tokens, join_tokens, sentiment_label, singular
+from tickframe.functions.text import clean_tokens, join_tokens, sentiment_label, singular, singular_candidates
 from tickframe.session import broadcast_if_small
 
 # Fixed values of the published lexicon-and-rule sentiment model.
@@ -20,26 +20,54 @@ def text_tokens(df: DataFrame, *, text: str = "text", stopwords=None, out: str =
     return df.withColumn(out, clean_tokens(F.coalesce(F.col(text), F.lit("")), stopwords))
 
 
+def vocabulary_lemmas(words: DataFrame, vocabulary: DataFrame, *, form: str = "form", word: str = "word") -> DataFrame:
+    """``(form, lemma)`` of every distinct form that the vocabulary helps to reduce.
+
+    The plural endings propose singulars; those that the vocabulary lists count, and so does
+    the form itself if it is listed. The shortest wins, among equally short ones the form, then
+    the earlier ending. Forms without a listed candidate have no row. Nulls on either side match nothing.
+    """
+    forms = words.select(F.col(form).alias("form")).where("form is not null").distinct()
+    known = broadcast_if_small(vocabulary.select(F.col(word).alias("_candidate")).distinct())
+    proposed = forms.select("form", F.posexplode(singular_candidates(F.col("form"))).alias("_at", "_candidate"))
+    held = proposed.join(known, "_candidate", "left_semi")
+    best = F.min(F.struct(F.length("_candidate").alias("size"), "_at", F.col("_candidate").alias("lemma")))
+    return held.groupBy("form").agg(best.alias("_best")).select("form", F.col("_best.lemma").alias("lemma"))
+
+
 def lemmatize(
     df: DataFrame,
     lemmas: DataFrame | None = None,
     *,
+    vocabulary: DataFrame | None = None,
     tokens: str = "tokens",
     key: str = "mention_id",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Replace each token by its lemma: from the table ``(form, lemma)``, else by the plural rule.
+    """Replace each token by its lemma.
+
+    ``lemmas`` is a table of exceptions ``(form, lemma)`` that come first. For other tokens a
+    ``vocabulary`` (a table with the column ``word``) decides between the forms the plural endings
+    propose, see ``vocabulary_lemmas``; a token it does not help with stays. Without a vocabulary
+    the endings alone decide.
 
-    Without a table this is one expression. With one, tokens become rows, join the
-    table, and are put back in order per text; only ``key`` and ``keep`` survive.
+    Without tables this is one expression. With one, tokens become rows, join one table of distinct
+    forms, and are put back in order per text; only ``key`` and ``keep`` survive.
     """
-    if lemmas is None:
+    if lemmas is None and vocabulary is None:
         return df.withColumn(tokens, F.transform(tokens, singular))
     ids = [key, *keep]
     rows = df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "form"))
-    known = broadcast_if_small(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")))
+    listed = None if lemmas is None else lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    if vocabulary is not None:
+        ruled = vocabulary_lemmas(rows, vocabulary)
+        if listed is not None:
+            ruled = ruled.join(broadcast_if_small(listed), "form", "left_anti").unionByName(listed)
+        known = broadcast_if_small(ruled.where("form != lemma"), keep=True)
+    else:
+        known = broadcast_if_small(listed)
     matched = rows.join(known, "form", "left")
-    word = F.coalesce(F.col("lemma"), singular(F.col("form")))
+    word = F.coalesce(F.col("lemma"), F.col("form") if vocabulary is not None else singular(F.col("form")))
     placed = F.collect_list(F.when(F.col("form").isNotNull(), F.struct("_pos", word.alias("w"))))
     back = matched.groupBy(*ids).agg(F.sort_array(placed).alias("_placed"))
     return back.select(*ids, F.transform("_placed", lambda p: p["w"]).alias(tokens))

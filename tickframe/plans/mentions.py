@@ -131,6 +131,39 @@ def lemmatize(spark, sf):
     return T.lemmatize(_clean(spark, sf), table).select("mention_id", *_joined(F.col("tokens")))
 
 
+def _proposed(word: str) -> str:
+    made = [
+        f"case when ends_with({word}, '{end}') and length({word}) > {len(end)} then {word}[:-{len(end) + 1}] || '{to}' end"
+        for end, to in X.PLURAL_ENDINGS
+    ]
+    return f"[{word}, {', '.join(made)}]"
+
+
+#: Words seen this often make up the vocabulary of the query.
+_FREQUENT = 3
+
+
+@query(
+    "lemmatize_vocabulary",
+    f"""with {_BASE}, lemmas(form, lemma) as (values {', '.join(f"('{f}', '{to}')" for f, to in _LEMMAS)}),
+    p as (select mention_id, unnest(tokens) as form, generate_subscripts(tokens, 1) as pos from t),
+    vocabulary as (select form as word from p group by form having count(*) >= {_FREQUENT}),
+    forms as (select distinct form from p),
+    proposed as (select form, unnest({_proposed('form')}) as word, generate_subscripts({_proposed('form')}, 1) as nth from forms),
+    best as (select form, first(word order by length(word), nth) as lemma from proposed semi join vocabulary using (word) group by form),
+    w as (select mention_id, list(coalesce(l.lemma, b.lemma, form) order by pos) as tokens
+        from p left join lemmas l using (form) left join best b using (form) group by mention_id)
+    select mention_id, cast(coalesce(len(w.tokens), 0) as bigint) as n, coalesce(array_to_string(w.tokens, ' '), '') as joined
+    from t left join w using (mention_id)""",
+)
+def lemmatize_vocabulary(spark, sf):
+    """Endings propose, the words that the texts often hold decide, exceptions come first."""
+    words = _clean(spark, sf)
+    frequent = words.select(F.explode("tokens").alias("word")).groupBy("word").count().where(F.col("count") >= _FREQUENT)
+    table = spark.createDataFrame(_LEMMAS, "form string, lemma string")
+    return T.lemmatize(words, table, vocabulary=frequent).select("mention_id", *_joined(F.col("tokens")))
+
+
 @query(
     "join_tokens",
     f"""with {_BASE} select mention_id, array_to_string(list_transform(tokens, lambda w: {_singular('w')}), ' ')
