@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import regex
 from tokenizers import Tokenizer
 
-from tickframe.llm import kneser_ney
+from tickframe.llm import kneser_ney, rulefit
 from tickframe.llm.queries import TOKENIZER
 
 DATA = "/root/testdata/sf0.001"
@@ -196,6 +196,57 @@ def kneser_ney_scorer(texts, order):
     return score
 
 
+def statistics(text):
+    """The statistics of the rule ensemble, counted one by one."""
+    text = text or ""
+    own, lines = words(text), text.split("\n")
+    share = lambda n, of: n / of if of else 0.0
+    found = [sum(c in kinds for c in text) for kinds in ("#*$%&|<>", "|", "!?", ".,;:", "0123456789")]
+    capitals = sum(unicodedata.category(c) == "Lu" for c in text)
+    return [
+        len(own), share(sum(map(len, own)), len(own)), *(share(n, len(text)) for n in (*found, capitals)),
+        len(text) / len(lines), len(set(lines)) / len(lines), share(len(set(own)), len(own)),
+    ]
+
+
+def rule_score(ensemble, text):
+    """Logistic function of the weights of the rules that hold."""
+    value = dict(zip(rulefit.STATISTICS, statistics(text), strict=True))
+    total = ensemble.intercept
+    for rule, weight in ensemble.weights.items():
+        total += weight * all(low < value[name] <= high for name, low, high in rule.bounds)
+    return 1 / (1 + math.exp(-total))
+
+
+def language_probabilities(net, text):
+    """Mean over the letters of a text of the network's probabilities, byte by byte and window by window; letters."""
+    raw = [b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode()]
+    kept = [b for k, b in enumerate(raw) if b != 32 or (k and raw[k - 1] != 32)]
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    n, total, letters = len(p["cf"]), [0.0] * len(net.languages), 0
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for at in range(0, len(kept), 64):
+        window = kept[at : at + 64] + [0] * (64 - len(kept[at : at + 64]))
+        states = {}
+        for d, order in (("f", range(64)), ("b", range(63, -1, -1))):
+            h = [0.0] * n
+            for t in order:
+                x, u, c = p["x" + d][window[t]], p["u" + d], p["c" + d]
+                reset = [sigmoid(x[k] + sum(h[j] * u[j, k] for j in range(n))) for k in range(n)]
+                update = [sigmoid(x[n + k] + sum(h[j] * u[j, n + k] for j in range(n))) for k in range(n)]
+                fresh = [math.tanh(x[2 * n + k] + reset[k] * sum(h[j] * c[j, k] for j in range(n))) for k in range(n)]
+                h = [h[k] + update[k] * (fresh[k] - h[k]) for k in range(n)]
+                states[d, t] = h
+        for t, b in enumerate(window):
+            if b in (0, 32):
+                continue
+            both = states["f", t] + states["b", t]
+            odds = [math.exp(sum(x * w for x, w in zip(both, p["o"][:, k], strict=True)) + p["bias"][k]) for k in range(len(total))]
+            total = [s + o / sum(odds) for s, o in zip(total, odds, strict=True)]
+            letters += 1
+    return [s / max(letters, 1) for s in total], letters
+
+
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
 

@@ -113,6 +113,40 @@ def test_rules_score_odd_rows(spark, odd, none, documents):
     assert {r.predicted for r in rulefit.quality(odd, labels.where("quality = 0")).collect()} == {0}
 
 
+ODD_TEXTS = [
+    None, "", " ", "\n\n", "Plain words, only; here.", "A|B | C #5 $%&<> !!", "ÀÉ Ünï ß 漢字 Ǆ", "line one\nline one\n\nline two", "9 99 999 x" * 40,
+]
+
+
+def test_compiled_rules_equal_rules_one_by_one(spark):
+    inf = float("inf")
+    bounds = [
+        (("words", -inf, 4.0),), (("words", 4.0, inf), ("pipe_share", 0.01, inf)), (("capital_share", 0.0, 0.2), ("loud_share", -inf, 0.05)),
+        (("line_length", 5.0, 24.0),), (("distinct_lines", -inf, 0.8),), (("distinct_words", 0.5, 0.9), ("digit_share", 0.1, inf)),
+        (("symbol_share", 0.0, inf),), (("stop_share", 0.01, inf), ("word_length", 2.0, 5.0)),
+    ]
+    weights = {rulefit.Rule(b): w for b, w in zip(bounds, (0.7, -1.3, 0.4, 2.1, -0.9, 1.7, -0.2, 0.55), strict=True)}
+    ensemble = rulefit.Ensemble(-0.3, weights)
+    texts = [*ODD_TEXTS, *(t for _, t, *_ in brute.odd_rows())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rulefit.statistics(docs, "text", "doc_id").collect():
+        assert list(r)[1:] == pytest.approx(brute.statistics(texts[r.doc_id])), texts[r.doc_id]
+    found = rulefit.scored(docs, ensemble).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert r.score == pytest.approx(brute.rule_score(ensemble, texts[r.doc_id]))
+
+
+def test_pooled_probabilities_equal_the_network_byte_by_byte():
+    net = langid.Network.fresh(["a", "b", "c"], 4, 5)
+    texts = [*ODD_TEXTS, "x" * 64, "y" * 65, "un año más — " * 12, "-a1b--c"]
+    shares, letters, wins = langid.pooled(net, pa.array(texts), batch=3)
+    for k, text in enumerate(texts):
+        want, count = brute.language_probabilities(net, text)
+        assert letters[k] == count and wins[k].sum() == count, text
+        assert shares[k] == pytest.approx(want, abs=1e-5), text
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     net = langid.Network.fresh(["a", "b", "c"], 4, 1)
