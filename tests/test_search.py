@@ -189,6 +189,24 @@ def test_saved_forest_splits_no_small_node(grown, tmp_path):
         assert r.prediction == pytest.approx(plain_predict(trees, r.x, 8, 60), rel=1e-12)
 
 
+def test_forests_grow_from_few_partitions_however_many_tasks_made_the_rows(table, monkeypatch):
+    data = ml.features(table[-1].dropna(), list("abcd"), "y", keep=["fold"])
+    seen = []
+
+    class Learner(forests.RandomForestRegressor):
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(forests, "RandomForestRegressor", Learner)
+    setting = {"n_estimators": 2, "max_depth": 3}
+    scores = forests.forest_scores(data.repartition(60), [setting])
+    assert seen == [1] * 5 and scores == forests.forest_scores(data.repartition(3), [setting])
+    monkeypatch.setattr(forests, "PART_BYTES", 108 * 100)  # 100 rows of two trees
+    dealt = forests.spread(data.coalesce(1), 2)
+    assert [len(p) <= 110 for p in dealt.rdd.glom().collect()] == [True] * 9
+
+
 def test_unknown_forest_parameter(grown):
     with pytest.raises(ValueError, match="criterion"):
         forests.forest_scores(grown[0], [{"criterion": "mae"}])

@@ -7,6 +7,10 @@ fold grows one forest per ``min_samples_leaf``, with the most trees and the larg
 for, and one pass over the held-out rows scores all other settings.
 
 What a task holds of a forest is bounded by the forest, which MLlib holds on the driver as well.
+
+From every partition MLlib sends the sums of all nodes that grow on a level, and it keeps every
+row with its number of draws for every tree. :func:`spread` therefore deals rows into partitions by
+their number alone: few for small tables, however many tasks made them, and never large ones.
 """
 
 from __future__ import annotations
@@ -15,10 +19,11 @@ import math
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +38,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_DEPTH = 30
 #: Folds a search accepts.
 MOST_FOLDS = 200
+#: Bytes of a partition of training rows with their draws.
+PART_BYTES = 64_000_000
+#: Forests of a search that grow at once, and the draws (rows times trees) all of them may hold.
+PARALLEL, MOST_DRAWS = 8, 20_000_000
 _DEFAULTS = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1}
 
 
@@ -70,6 +79,16 @@ class Tree:
         return out
 
 
+def spread(df: DataFrame, trees: int) -> DataFrame:
+    """Training rows in partitions that hold some 64 MB each once they are drawn for every tree.
+
+    The order within a partition follows from the rows, so a task that is run again draws the same.
+    """
+    rows = max(1, PART_BYTES // (100 + 4 * trees))
+    dealt = df.repartition(max(1, math.ceil(df.count() / rows)))
+    return dealt.sortWithinPartitions(F.xxhash64("features", "label"))
+
+
 def tree_nodes(spark: SparkSession, model: RandomForestRegressionModel) -> DataFrame:
     """The nodes of a forest as rows: the table MLlib saves."""
     path = work_path(spark, "forest")
@@ -143,7 +162,7 @@ def _grown(df: DataFrame, trees: int, depth: int, leaf: int, seed: int) -> Rando
     learner = RandomForestRegressor(
         featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed
     )
-    return learner.fit(df)
+    return learner.fit(spread(df, trees))
 
 
 def forest_scores(
@@ -159,25 +178,34 @@ def forest_scores(
     numbers = sorted(r[0] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
     if len(numbers) > MOST_FOLDS:
         raise ValueError(f"more than {MOST_FOLDS} values of {fold}: these are no folds")
-    out: list[list[float]] = [[] for _ in wanted]
-    for f in numbers:
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        rows = test.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
-        for leaf in sorted({one["min_samples_leaf"] for one in wanted}):
-            places = [i for i, one in enumerate(wanted) if one["min_samples_leaf"] == leaf]
-            sizes = sorted({wanted[i]["n_estimators"] for i in places})
-            limits = sorted({(_depth(wanted[i]), wanted[i]["min_samples_split"]) for i in places})
-            model = _grown(train, sizes[-1], max(d for d, _ in limits), leaf, seed)
-            trees = trees_of(tree_nodes(df.sparkSession, model))
-            parts = rows.mapInArrow(_squares(trees, sizes, limits), "v array<double>")
-            width = 3 + len(sizes) * len(limits)
-            n, s, q, *wrong = parts.agg(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).first()
-            for i in places:
-                limit = limits.index((_depth(wanted[i]), wanted[i]["min_samples_split"]))
-                sse = wrong[sizes.index(wanted[i]["n_estimators"]) * len(limits) + limit]
-                spread = q - s * s / n
-                r2 = 1 - sse / spread if spread > 0 else math.nan
-                out[i].append({"neg_mse": -sse / n, "mse": sse / n, "rmse": math.sqrt(sse / n), "r2": r2}[metric])
+    leaves = sorted({one["min_samples_leaf"] for one in wanted})
+    out = [[0.0] * len(numbers) for _ in wanted]
+
+    def grow(task: tuple[int, int]) -> None:
+        at, leaf = task
+        train, test = df.where(F.col(fold) != numbers[at]), df.where(F.col(fold) == numbers[at])
+        places = [i for i, one in enumerate(wanted) if one["min_samples_leaf"] == leaf]
+        sizes = sorted({wanted[i]["n_estimators"] for i in places})
+        limits = sorted({(_depth(wanted[i]), wanted[i]["min_samples_split"]) for i in places})
+        model = _grown(train, sizes[-1], max(d for d, _ in limits), leaf, seed)
+        trees = trees_of(tree_nodes(df.sparkSession, model))
+        held = spread(test, sizes[-1])
+        rows = held.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
+        parts = rows.mapInArrow(_squares(trees, sizes, limits), "v array<double>")
+        width = 3 + len(sizes) * len(limits)
+        n, s, q, *wrong = parts.agg(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).first()
+        for i in places:
+            limit = limits.index((_depth(wanted[i]), wanted[i]["min_samples_split"]))
+            sse = wrong[sizes.index(wanted[i]["n_estimators"]) * len(limits) + limit]
+            spread_of = q - s * s / n
+            r2 = 1 - sse / spread_of if spread_of > 0 else math.nan
+            out[i][at] = {"neg_mse": -sse / n, "mse": sse / n, "rmse": math.sqrt(sse / n), "r2": r2}[metric]
+
+    # Growing a small forest is many short stages of few tasks, so several grow side by side.
+    draws = df.count() * max(one["n_estimators"] for one in wanted)
+    tasks = [(at, leaf) for leaf in leaves for at in range(len(numbers))]  # small leaves, which take longest, first
+    with ThreadPool(max(1, min(PARALLEL, len(tasks), MOST_DRAWS // max(1, draws)))) as pool:
+        pool.map(inheritable_thread_target(df.sparkSession)(grow), tasks, chunksize=1)
     return out
 
 
