@@ -157,6 +157,21 @@ def test_forest(problem):
     assert metrics.first().r2 > 0.5 and predicted.count() == metrics.first().n
 
 
+def test_no_partition_of_a_forest_grows_with_its_input(problem, monkeypatch):
+    monkeypatch.setattr("tickframe.operators.forests.PART_BYTES", 120 * 100)  # 100 rows of five trees
+    sizes = []
+
+    class Learner(ml.RandomForestRegressor):
+        def fit(self, df):
+            sizes.extend(len(p) for p in df.rdd.glom().collect())
+            return super().fit(df)
+
+    monkeypatch.setattr(ml, "RandomForestRegressor", Learner)
+    one = problem.coalesce(1)
+    _, predicted, _ = ml.random_forest_regression(one.where("fold > 0"), one.where("fold = 0"), numTrees=5, maxDepth=3)
+    assert sum(sizes) + predicted.count() == 1000 and max(sizes) <= 110
+
+
 def test_per_symbol_linear(spark):
     rng = np.random.default_rng(3)
     frames, want = [], {}

@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.operators.forests import MAX_DEPTH, forest_search
+from tickframe.operators.forests import MAX_DEPTH, forest_search, spread
 from tickframe.operators.impute import fill_zero
 from tickframe.operators.indicators import lag_features, row_tail
 from tickframe.operators.search import Space, draw_settings, every_setting
@@ -46,9 +46,15 @@ def forest(**params) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol="features", labelCol="label", **{"seed": 42, **params})
 
 
+def fit_forest(train: DataFrame, **params) -> Model:
+    """A forest grown on prepared features, in partitions of bounded size (see :func:`~tickframe.operators.forests.spread`)."""
+    learner = forest(**params)
+    return learner.fit(spread(train, learner.getNumTrees()))
+
+
 def random_forest_regression(train: DataFrame, test: DataFrame, **params) -> tuple[Model, DataFrame, DataFrame]:
     """``(model, predictions on test, metrics)`` of a forest on prepared features."""
-    model = forest(**params).fit(train)
+    model = fit_forest(train, **params)
     predicted = model.transform(test)
     return model, predicted, regression_metrics(predicted, "label", "prediction")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickframe.functions.prices import parse_ts
 from tickframe.operators import export as X
 from tickframe.operators.bars import ohlc_bars
-from tickframe.operators.ml import features, forest
+from tickframe.operators.ml import features, fit_forest
 from tickframe.plans.adapters import (
     DAILY,
     MARKET,
@@ -227,7 +227,7 @@ def save_model(spark, sf):
 
     path = work_path(spark, "model")
     data = features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    forest(numTrees=50, maxDepth=6).fit(data).write().overwrite().save(path)
+    fit_forest(data, numTrees=50, maxDepth=6).write().overwrite().save(path)
     scored = RandomForestRegressionModel.load(path).transform(data)
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 2).alias("mean_prediction"))
 
