@@ -206,6 +206,25 @@ def test_last_to_arrive_wins_whatever_the_size_of_its_file(spark, tmp_path):
         assert latest == {"a": 2.0, "b": 2.0}
 
 
+def test_log_keeps_no_derived_columns_and_points_are_shuffled_as_changes(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "store")
+    land(landing, "1.json", [record("a"), record("b", "2024-02-01T00:00:00.000Z", 20.0), record("c", price_change_percentage_24h=None)])
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    jobs.stream_upsert(
+        spark, str(landing), root, root + "/checkpoint", points=root + "/points", serve=True, once=True
+    ).awaitTermination()
+    log = spark.read.parquet(root + "/log")
+    assert not {"expected_return", "price_day_1", "price_day_7"} & set(log.columns)
+    for view in (W.read_latest(spark, root), W.read_version(spark, root)):
+        assert view.columns[: len(MARKET)] == MARKET.names
+        got = {r.id: (r.expected_return, r.price_day_7) for r in view.collect()}
+        assert got["b"] == pytest.approx((1.01, 20 * 1.01**7)) and got["c"] == (None, None)
+    points = {(r.measurement, r.field): (r.value, str(r.month)) for r in W.read_points(spark, root + "/points").collect()}
+    assert len(points) == 11 + 11 + 2 and points["a", "price_day_2"] == (pytest.approx(10 * 1.01**2), "2024-01-01")
+    assert points["b", "expected_return"] == (pytest.approx(1.01), "2024-02-01")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+
+
 def test_stream_dedupe_keeps_late_coins_and_bad_times(spark, tmp_path):
     landing, out = tmp_path / "landing", str(tmp_path / "out")
     polls = [

@@ -245,20 +245,17 @@ def _land_updates(spark, sf) -> str:
     order and line. So arrival is by remainder, order, line, and equal times are common.
     """
     path = work_path(spark, "updates")
-    rows = updates(spark, sf).select(
-        "id",
-        "current_price",
-        F.col("volume").alias("circulating_supply"),
-        F.col("discount").alias("price_change_percentage_24h"),
-        F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("last_updated"),
-        "l_orderkey",
-        "l_linenumber",
-        "l_suppkey",
-    )
+    rows = updates(spark, sf)
     order = ("l_orderkey", "l_linenumber", "l_suppkey", "current_price")
     for poll in range(POLLS):
         landed = rows.where(F.col("l_orderkey") % POLLS == poll).repartition(2, "id").sortWithinPartitions(*order)
-        landed.drop("l_orderkey", "l_linenumber", "l_suppkey").write.mode("append").json(path)
+        landed.select(
+            "id",
+            "current_price",
+            F.col("volume").alias("circulating_supply"),
+            F.col("discount").alias("price_change_percentage_24h"),
+            F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("last_updated"),
+        ).write.mode("append").json(path)
     return path
 
 

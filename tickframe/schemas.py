@@ -40,7 +40,8 @@ MARKET = _schema(
     *[(f"price_day_{d}", _D) for d in range(1, PRICE_DAYS + 1)],
 )
 
-_DERIVED = {"expected_return"} | {f"price_day_{d}" for d in range(1, PRICE_DAYS + 1)}
+#: Columns of the coin table that follow from others.
+DERIVED = {"expected_return"} | {f"price_day_{d}" for d in range(1, PRICE_DAYS + 1)}
 _ISO = {"last_updated", "ath_date"}
 
 #: Landed snapshot records: no derived columns yet, times still ISO strings.
@@ -48,7 +49,7 @@ MARKET_RAW = T.StructType(
     [
         T.StructField(f.name, _S if f.name in _ISO else f.dataType, True)
         for f in MARKET.fields
-        if f.name not in _DERIVED
+        if f.name not in DERIVED
     ]
 )
 

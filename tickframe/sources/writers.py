@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.functions.prices import slug
+from tickframe.functions.prices import analyse, slug
 from tickframe.operators.snapshot import upsert_latest
-from tickframe.schemas import conform, contract_errors
+from tickframe.schemas import DERIVED, MARKET, conform, contract_errors
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, *, path: str | None = None) -> DataFrame:
@@ -70,7 +70,8 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 # --- keyed latest view ------------------------------------------------------
 #
-# <root>/log/batch_id=<n>   the changes of batch n; writing it again replaces it
+# <root>/log/batch_id=<n>   the changes of batch n; writing it again replaces it. What follows
+#                           from a row (expected return, price path) is not kept but worked out by readers
 # <root>/base/version=<n>   the latest view after batch n; valid once _SUCCESS is there
 
 
@@ -89,9 +90,27 @@ def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     return sorted(found)
 
 
+_ANALYSED = {"current_price", "price_change_percentage_24h"}
+
+
+def _landed(df: DataFrame) -> DataFrame:
+    """Rows of the coin table without the columns that follow from others; other tables as they are."""
+    return df.drop(*DERIVED) if _ANALYSED <= set(df.columns) else df
+
+
+def analysed(df: DataFrame) -> DataFrame:
+    """Rows of the coin table with all its columns, in its order; other tables as they are."""
+    if not _ANALYSED <= set(df.columns):
+        return df
+    full = analyse(df)
+    first = [c for c in MARKET.names if c in full.columns]
+    return full.select(*first, *[c for c in full.columns if c not in first])
+
+
 def append_changes(df: DataFrame, root: str, batch_id: int) -> None:
     """Add one batch of changes; a retry of the batch replaces what it wrote before."""
-    df.write.mode("overwrite").parquet(f"{root}/log/batch_id={int(batch_id)}")
+    kept = _landed(df).write.mode("overwrite").option("compression", "zstd")
+    kept.parquet(f"{root}/log/batch_id={int(batch_id)}")
 
 
 def committed_version(spark: SparkSession, root: str) -> int | None:
@@ -107,15 +126,15 @@ def read_latest(
     newer = [n for n in _numbers(spark, f"{root}/log", "batch_id") if version is None or n > version]
     parts = []
     if version is not None:
-        parts.append(spark.read.parquet(f"{root}/base/version={version}"))
+        parts.append(_landed(spark.read.parquet(f"{root}/base/version={version}")))
     if newer:
         folders = [f"{root}/log/batch_id={n}" for n in newer]
         changes = spark.read.option("basePath", f"{root}/log").parquet(*folders)
-        parts.append(changes.withColumn("batch_id", F.col("batch_id").cast("long")))
+        parts.append(_landed(changes).withColumn("batch_id", F.col("batch_id").cast("long")))
     if not parts:
         raise FileNotFoundError(f"no committed batch below {root}")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows if not newer else upsert_latest(rows, key=key, order=order)
+    return analysed(rows if not newer else upsert_latest(rows, key=key, order=order))
 
 
 def compact(spark: SparkSession, root: str, **options) -> int:

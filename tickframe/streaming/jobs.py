@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickframe.operators.export import flatten_points
 from tickframe.schemas import MARKET_RAW
 from tickframe.sources.readers import market_rows
-from tickframe.sources.writers import append_changes, compact, write_dated
+from tickframe.sources.writers import analysed, append_changes, compact
 
 POLL = "5 minutes"
 
@@ -40,6 +40,29 @@ def arrival(file: str = "file") -> Column:
     return F.struct(f"{file}.*", F.monotonically_increasing_id().alias("line"))
 
 
+#: Bytes of changes that a task turns into points, which are many times as many.
+POINT_BYTES = "4m"
+
+
+def _write_points(changes: DataFrame, path: str) -> None:
+    """The numbers of changes as points, a folder per month.
+
+    The changes are shuffled by month, not their points; every task makes the points of its rows.
+    """
+    month = lambda ts: F.trunc(F.col(ts).cast("date"), "month")
+    by_month = changes.withColumn("month", month("last_updated")).hint("rebalance", "month").drop("month")
+    stamped = analysed(by_month).withColumnRenamed("last_updated", "time")
+    long = flatten_points(stamped, F.col("id")).where(F.col("value").isNotNull()).drop("text")
+    rows = long.withColumn("month", month("time"))
+    conf, name = changes.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = conf.get(name, None)
+    conf.set(name, POINT_BYTES)
+    try:
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def stream_upsert(
     spark: SparkSession,
     landing: str,
@@ -65,9 +88,7 @@ def stream_upsert(
         append_changes(rows, root, batch_id)
         if points:
             log = batch.sparkSession.read.parquet(f"{root}/log/batch_id={int(batch_id)}")
-            stamped = log.drop("seq").withColumnRenamed("last_updated", "time")
-            long = flatten_points(stamped, F.col("id")).where(F.col("value").isNotNull()).drop("text")
-            write_dated(long, f"{points}/batch_id={int(batch_id)}", ts="time", span="month", mode="overwrite")
+            _write_points(log.drop("seq"), f"{points}/batch_id={int(batch_id)}")
         if serve:
             compact(batch.sparkSession, root)
 
