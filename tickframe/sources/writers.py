@@ -70,9 +70,10 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 # --- keyed latest view ------------------------------------------------------
 #
-# <root>/log/batch_id=<n>   the changes of batch n; writing it again replaces it. What follows
-#                           from a row (expected return, price path) is not kept but worked out by readers
+# <root>/log/batch_id=<n>   the changes of batch n; writing it again replaces it
 # <root>/base/version=<n>   the latest view after batch n; valid once _SUCCESS is there
+#
+# What follows from a row (expected return, price path) is not kept but worked out when it is read.
 
 
 def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
@@ -142,7 +143,8 @@ def compact(spark: SparkSession, root: str, **options) -> int:
     batches = _numbers(spark, f"{root}/log", "batch_id")
     version = batches[-1]
     if committed_version(spark, root) != version:
-        read_latest(spark, root, **options).write.mode("overwrite").parquet(f"{root}/base/version={version}")
+        kept = _landed(read_latest(spark, root, **options)).write.mode("overwrite").option("compression", "zstd")
+        kept.parquet(f"{root}/base/version={version}")
     return version
 
 
@@ -151,4 +153,4 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
     version = committed_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"no committed version below {root}")
-    return spark.read.parquet(f"{root}/base/version={version}")
+    return analysed(spark.read.parquet(f"{root}/base/version={version}"))
