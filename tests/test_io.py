@@ -261,6 +261,23 @@ def test_stream_dedupe_keeps_no_state_and_may_run_a_batch_again(spark, tmp_path)
     assert sorted((r.id, r.last_updated.day) for r in fresh.collect()) == [("a", 4), ("b", 4)]
 
 
+def test_dedupe_writes_few_files_and_sorts_no_history(spark, tmp_path, capsys):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    rows = spark.range(0, 4000, numPartitions=4).selectExpr(
+        "concat('c', id % 800) as id", "date_format(timestamp'2024-01-01' + make_interval(0, id % 5), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as last_updated"
+    )
+    rows.write.mode("append").json(str(landing))
+    jobs.stream_dedupe(spark, str(landing), out, out + "-cp", once=True).awaitTermination()
+    files = list((tmp_path / "out").rglob("part-*.parquet"))
+    written = spark.read.parquet(out)
+    assert written.count() == 800 and len(files) == len({f.parent for f in files})
+    fresh = jobs._new_rows(written.drop("batch_id"), out, 1, ["id", "last_updated"], "month")
+    assert fresh.count() == 0
+    fresh.explain()
+    assert "ShuffledHashJoin" in capsys.readouterr().out
+
+
 def test_dedupe_reads_only_the_days_it_brings(spark, tmp_path, capsys):
     out = str(tmp_path / "out")
     rows = spark.range(300).selectExpr("cast(id as string) as id", "timestamp'2024-01-01' + make_interval(0,0,0,id) as last_updated")

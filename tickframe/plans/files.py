@@ -236,6 +236,8 @@ def save_model(spark, sf):
 
 
 POLLS = 5
+#: Files of the poll that repeats all changes: as many as the others have together.
+AGAIN_FILES = 2 * POLLS
 
 
 def _land_updates(spark, sf) -> str:
@@ -332,7 +334,7 @@ def stream_dedupe(spark, sf):
 
     take()
     again = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_updated")
-    updates(spark, sf).select("id", "current_price", again).write.mode("append").json(landing)
+    updates(spark, sf).select("id", "current_price", again).coalesce(AGAIN_FILES).write.mode("append").json(landing)
     take()
     return spark.read.parquet(out).select("id", F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
 

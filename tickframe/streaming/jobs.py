@@ -130,11 +130,18 @@ def _new_rows(batch: DataFrame, path: str, batch_id: int, ids: Sequence[str], pa
     if before is None:
         return once
     touched = [r[0] for r in once.select(part).distinct().collect()]  # months or hash parts: few by nature
-    near = before.where(F.col(part).isin(touched)).select(part, *ids).alias("b")
-    match = F.col(f"n.{part}") == F.col(f"b.{part}")
-    for c in ids:
-        match = match & F.col(f"n.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return once.alias("n").join(near, match, "left_anti")
+    near = before.where(F.col(part).isin(touched)).select(part, *ids)
+
+    def match(left: str, right: str) -> Column:
+        same = F.col(f"{left}.{part}") == F.col(f"{right}.{part}")
+        for c in ids:
+            same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+        return same
+
+    # What was written streams past the ids of the batch, so only the batch is held in memory, and nothing is sorted.
+    brought = once.select(part, *ids).hint("shuffle_hash")
+    repeated = near.alias("b").join(brought.alias("n"), match("b", "n"), "left_semi")
+    return once.alias("n").join(repeated.alias("b"), match("n", "b"), "left_anti")
 
 
 #: Folders that quarantined records are dealt into by hash.
@@ -182,11 +189,14 @@ def stream_dedupe(
         month = F.trunc(F.col("last_updated").cast("date"), "month")
         good = batch.where("_bad is null").drop("_bad").withColumn("month", month)
         fresh = _new_rows(good, out, batch_id, ["id", "last_updated"], "month")
-        fresh.write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch_id={int(batch_id)}")
+        # gathered by month: batches to come open every file of the months they touch
+        by_month = fresh.hint("rebalance", "month")
+        by_month.write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch_id={int(batch_id)}")
         bad = batch.where("_bad is not null").select("id", F.col("_bad").alias("record"))
         bad = bad.withColumn("part", F.pmod(F.xxhash64("record"), F.lit(ASIDE_PARTS)).cast("int"))
         fresh = _new_rows(bad, aside, batch_id, ["record"], "part")
-        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{aside}/batch_id={int(batch_id)}")
+        by_part = fresh.hint("rebalance", "part")
+        by_part.write.mode("overwrite").partitionBy("part").parquet(f"{aside}/batch_id={int(batch_id)}")
 
     return (
         timed.writeStream.foreachBatch(write)
