@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tickframe.operators import forests, ml, search, stats
+from tickframe.operators import cells, forests, ml, search, stats
 from tickframe.operators.moments import centres, pair_moments
 
 
@@ -210,3 +210,109 @@ def test_forests_grow_from_few_partitions_however_many_tasks_made_the_rows(table
 def test_unknown_forest_parameter(grown):
     with pytest.raises(ValueError, match="criterion"):
         forests.forest_scores(grown[0], [{"criterion": "mae"}])
+
+
+# --- forests from cells -----------------------------------------------------------
+
+
+def plain_tree(bins, sums, leaf, depth, split=0):
+    """The tree that tries all features, by trying every cut; as a function of the bins."""
+    n, s, _ = sums.sum(0)
+    best = (1e-9, None, None)
+    for f in range(bins.shape[1]):
+        for cut in range(bins[:, f].max()):
+            left = sums[bins[:, f] <= cut].sum(0)
+            if left[0] >= leaf and n - left[0] >= leaf:
+                gain = (left[1] ** 2 / left[0] + (s - left[1]) ** 2 / (n - left[0]) - s**2 / n) / n
+                best = max(best, (gain, f, cut), key=lambda x: x[0])
+    if best[1] is None or not depth or n < split:
+        return lambda x: s / n
+    goes_left = bins[:, best[1]] <= best[2]
+    low, high = (plain_tree(bins[own], sums[own], leaf, depth - 1, split) for own in (goes_left, ~goes_left))
+    return lambda x: (low if x[best[1]] <= best[2] else high)(x)
+
+
+@pytest.mark.parametrize(("leaf", "depth", "split"), [(1, 30, 0), (3, 30, 0), (2, 4, 0), (1, 30, 12)])
+def test_tree_over_cells_equals_trying_every_cut(leaf, depth, split):
+    rng = np.random.default_rng(5)
+    bins = np.unique(rng.integers(0, 9, (150, 3)), axis=0)
+    w = rng.poisson(1, len(bins)).astype(float)
+    y = rng.normal(size=len(bins)) + bins[:, 0] - 2 * (bins[:, 1] > 4)
+    sums = np.stack([w, w * y, w * y * y], 1)
+    tree = cells.grow(bins, sums, depth, leaf, 3, rng)
+    (got,) = cells._forest_values(tree, [(depth, split)])
+    drawn = w > 0
+    want = plain_tree(bins[drawn], sums[drawn], leaf, depth, split)
+    assert got[cells._leaves(tree, bins[drawn])] == pytest.approx([want(x) for x in bins[drawn]], abs=1e-9)
+
+
+def test_draws_are_those_of_a_bootstrap():
+    table = np.bincount(cells._poisson()) / 65536
+    assert table[:6] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(6)], abs=2e-5)
+
+
+@pytest.fixture(scope="module")
+def binned(spark):
+    """Features of few values, so that bins are the same whichever folds are looked at."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, [30, 12, 9], (3000, 3))
+    y = x[:, 0] * 3.0 + 20 * (x[:, 1] > 5) + rng.normal(size=3000) + 1e4
+    rows = [(*map(float, r), float(v), int(f)) for r, v, f in zip(x, y, rng.integers(0, 3, 3000), strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, fold int").repartition(3).persist()
+    return ml.features(df, list("abc"), "y", keep=["fold"])
+
+
+def test_forest_from_cells_is_a_model_whose_errors_the_search_finds(spark, binned, monkeypatch):
+    monkeypatch.setattr(forests, "FEW_DRAWS", 100)
+    monkeypatch.setattr(cells, "SCORED", 200)
+    train, held = binned.where("fold <> 0"), binned.where("fold = 0")
+    model = forests._grown(train, 6, 30, 2, 42)
+    assert model.getNumTrees == 6 and model.getMaxDepth() == 30
+    nodes = forests.tree_nodes(spark, model)
+    roots = nodes.where("nodeData.id = 0").select("nodeData.rawCount", "nodeData.impurityStats").collect()
+    drawn = [r.rawCount for r in roots]
+    n = train.count()
+    assert len(set(drawn)) > 3 and np.mean(drawn) == pytest.approx(n, abs=4 * math.sqrt(n / 6))
+    assert all(r.impurityStats[0] == r.rawCount for r in roots)
+    space = {"n_estimators": [2, 6], "max_depth": [None, 3], "min_samples_split": [2, 40], "min_samples_leaf": [2]}
+    settings = search.every_setting(space)
+    got = forests.forest_scores(binned, settings)
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
+    rows = [(r.x, r.label) for r in held.select(vector_to_array("features").alias("x"), "label").collect()]
+    for one, scores in zip(settings, got, strict=True):
+        some = {t: trees[t] for t in range(one["n_estimators"])}
+        errors = [(plain_predict(some, x, one["max_depth"] or 30, one["min_samples_split"]) - y) ** 2 for x, y in rows]
+        assert scores[0] == pytest.approx(-np.mean(errors), rel=1e-7)
+    own = RegressionEvaluator(labelCol="label", metricName="mse").evaluate(model.transform(held))
+    assert got[settings.index({**settings[-1], "max_depth": None, "min_samples_split": 2})][0] == pytest.approx(-own, rel=1e-7)
+    monkeypatch.setattr(cells, "GATHERED", 1)  # sums are sent bit by bit
+    assert np.allclose(forests.forest_scores(binned, settings), got, rtol=1e-9, atol=0)
+
+
+def test_equal_rows_are_drawn_apart(spark, binned):
+    row = binned.first()
+    one = spark.createDataFrame([(row.features, row.label)] * 5000, binned.select("features", "label").schema).coalesce(1)
+    blocks = cells.cell_blocks(one, F.lit(0), [np.zeros(0)] * 3, 0.0, 8, 1).collect()
+    draws = np.concatenate([cells._read(b.body)[1].reshape(-1, 3)[:, 0] for b in sorted(blocks)])
+    assert draws[0] == 5000 and np.all(abs(draws[1:] - 5000) < 5 * math.sqrt(5000)) and len(set(draws[1:])) > 5
+
+
+def test_cells_score_as_mllib_does(binned, monkeypatch):
+    settings = [{"n_estimators": 40, "min_samples_leaf": leaf, "max_depth": depth} for leaf in (1, 4) for depth in (8, None)]
+    monkeypatch.setattr(forests, "FEW_DRAWS", 1 << 30)
+    plain = forests.forest_scores(binned, settings, metric="rmse")
+    monkeypatch.setattr(forests, "FEW_DRAWS", 100)
+    for own, other in zip(forests.forest_scores(binned, settings, metric="rmse"), plain, strict=True):
+        assert np.mean(own) == pytest.approx(np.mean(other), rel=0.1)
+
+
+def test_forests_over_too_many_cells_are_left_to_mllib(binned, monkeypatch):
+    monkeypatch.setattr(forests, "FEW_DRAWS", 100)
+    monkeypatch.setattr(cells, "MOST_CELLS", 50)
+    assert not cells.fits(cells.bin_edges(binned)[0], 3, 3000)
+    assert forests.fit_large(binned, ml.forest(numTrees=5)) is None
+    monkeypatch.setattr(cells, "MOST_CELLS", 1 << 20)
+    assert forests.fit_large(binned, ml.forest(numTrees=5, subsamplingRate=0.5)) is None
+    assert forests.fit_large(binned, ml.forest(numTrees=5, maxDepth=3)).totalNumNodes <= 5 * 15

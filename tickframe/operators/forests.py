@@ -11,6 +11,8 @@ What a task holds of a forest is bounded by the forest, which MLlib holds on the
 From every partition MLlib sends the sums of all nodes that grow on a level, and it keeps every
 row with its number of draws for every tree. :func:`spread` therefore deals rows into partitions by
 their number alone: few for small tables, however many tasks made them, and never large ones.
+
+Beyond :data:`FEW_DRAWS` forests grow from sums by cell (:mod:`tickframe.operators.cells`), unless there are too many cells.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickframe.operators import cells
 from tickframe.operators.search import _best, search_table
 from tickframe.session import work_path
 
@@ -42,6 +45,8 @@ MOST_FOLDS = 200
 PART_BYTES = 64_000_000
 #: Forests of a search that grow at once, and the draws (rows times trees) all of them may hold.
 PARALLEL, MOST_DRAWS = 8, 20_000_000
+#: Draws (rows times trees) of a forest that is left to MLlib.
+FEW_DRAWS = 50_000
 _DEFAULTS = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1}
 
 
@@ -158,11 +163,36 @@ def _depth(one: Mapping) -> int:
     return MAX_DEPTH if one["max_depth"] is None else int(one["max_depth"])
 
 
+def fit_large(df: DataFrame, learner: RandomForestRegressor) -> RandomForestRegressionModel | None:
+    """The forest of many draws, grown from cells; None where it is MLlib's to grow.
+
+    ``learner`` may set trees, depth, bins, rows of a leaf and the seed.
+    """
+    known = {"numTrees", "maxDepth", "maxBins", "minInstancesPerNode", "seed", "featuresCol", "labelCol"}
+    asked = {p.name for p, v in learner._paramMap.items() if v != learner._defaultParamMap.get(p)}
+    trees = learner.getNumTrees()
+    if asked - known or (learner.getFeaturesCol(), learner.getLabelCol()) != ("features", "label"):
+        return None
+    few = FEW_DRAWS // trees
+    if df.limit(few + 1).count() <= few:
+        return None
+    edges, mean, rows = cells.bin_edges(df, learner.getMaxBins())
+    if not cells.fits(edges, 1, rows):
+        return None
+    limits = learner.getMaxDepth(), learner.getMinInstancesPerNode()
+    nodes = cells.grown_nodes(df, edges, mean, trees, *limits, learner.getSeed())
+    # a model of MLlib of as many trees and the same settings, which is then given the grown nodes
+    path = work_path(df.sparkSession, "forest")
+    learner.fit(df.limit(100).coalesce(1)).write().overwrite().save(path)
+    nodes.write.mode("overwrite").parquet(f"{path}/data")
+    return RandomForestRegressionModel.load(path)
+
+
 def _grown(df: DataFrame, trees: int, depth: int, leaf: int, seed: int) -> RandomForestRegressionModel:
     learner = RandomForestRegressor(
         featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed
     )
-    return learner.fit(spread(df, trees))
+    return fit_large(df, learner) or learner.fit(spread(df, trees))
 
 
 def forest_scores(
@@ -180,13 +210,37 @@ def forest_scores(
         raise ValueError(f"more than {MOST_FOLDS} values of {fold}: these are no folds")
     leaves = sorted({one["min_samples_leaf"] for one in wanted})
     out = [[0.0] * len(numbers) for _ in wanted]
+    rows = df.count()
+
+    def shape(leaf: int) -> tuple[list[int], list[tuple[int, int]], list[int]]:
+        """Numbers of trees, limits, and the places of the settings with these rows of a leaf."""
+        places = [i for i, one in enumerate(wanted) if one["min_samples_leaf"] == leaf]
+        sizes = sorted({wanted[i]["n_estimators"] for i in places})
+        return sizes, sorted({(_depth(wanted[i]), wanted[i]["min_samples_split"]) for i in places}), places
+
+    def note(at: int, leaf: int, n: float, s: float, q: float, wrong: Sequence[float]) -> None:
+        """Scores of a fold from its rows, the sums of their labels and squares, and the squared errors by size and limit."""
+        sizes, limits, places = shape(leaf)
+        for i in places:
+            limit = limits.index((_depth(wanted[i]), wanted[i]["min_samples_split"]))
+            sse = wrong[sizes.index(wanted[i]["n_estimators"]) * len(limits) + limit]
+            spread_of = q - s * s / n
+            r2 = 1 - sse / spread_of if spread_of > 0 else math.nan
+            out[i][at] = {"neg_mse": -sse / n, "mse": sse / n, "rmse": math.sqrt(max(sse, 0.0) / n), "r2": r2}[metric]
+
+    if rows * max(one["n_estimators"] for one in wanted) > FEW_DRAWS and len(numbers) > 1:
+        edges, mean, _ = cells.bin_edges(df)
+        if cells.fits(edges, len(numbers), rows):
+            place = F.array_position(F.array(*map(F.lit, numbers)), F.col(fold)) - 1
+            asked = {leaf: shape(leaf)[:2] for leaf in leaves}
+            for (leaf, at), v in cells.held_out_errors(df, place, len(numbers), edges, mean, rows, asked, seed).items():
+                note(at, leaf, *v[:3].tolist(), v[3:].tolist())
+            return out
 
     def grow(task: tuple[int, int]) -> None:
         at, leaf = task
         train, test = df.where(F.col(fold) != numbers[at]), df.where(F.col(fold) == numbers[at])
-        places = [i for i, one in enumerate(wanted) if one["min_samples_leaf"] == leaf]
-        sizes = sorted({wanted[i]["n_estimators"] for i in places})
-        limits = sorted({(_depth(wanted[i]), wanted[i]["min_samples_split"]) for i in places})
+        sizes, limits, _ = shape(leaf)
         model = _grown(train, sizes[-1], max(d for d, _ in limits), leaf, seed)
         trees = trees_of(tree_nodes(df.sparkSession, model))
         held = spread(test, sizes[-1])
@@ -194,15 +248,10 @@ def forest_scores(
         parts = rows.mapInArrow(_squares(trees, sizes, limits), "v array<double>")
         width = 3 + len(sizes) * len(limits)
         n, s, q, *wrong = parts.agg(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).first()
-        for i in places:
-            limit = limits.index((_depth(wanted[i]), wanted[i]["min_samples_split"]))
-            sse = wrong[sizes.index(wanted[i]["n_estimators"]) * len(limits) + limit]
-            spread_of = q - s * s / n
-            r2 = 1 - sse / spread_of if spread_of > 0 else math.nan
-            out[i][at] = {"neg_mse": -sse / n, "mse": sse / n, "rmse": math.sqrt(sse / n), "r2": r2}[metric]
+        note(at, leaf, n, s, q, wrong)
 
     # Growing a small forest is many short stages of few tasks, so several grow side by side.
-    draws = df.count() * max(one["n_estimators"] for one in wanted)
+    draws = rows * max(one["n_estimators"] for one in wanted)
     tasks = [(at, leaf) for leaf in leaves for at in range(len(numbers))]  # small leaves, which take longest, first
     with ThreadPool(max(1, min(PARALLEL, len(tasks), MOST_DRAWS // max(1, draws)))) as pool:
         pool.map(inheritable_thread_target(df.sparkSession)(grow), tasks, chunksize=1)

@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.operators.forests import MAX_DEPTH, forest_search, spread
+from tickframe.operators.forests import MAX_DEPTH, fit_large, forest_search, spread
 from tickframe.operators.impute import fill_zero
 from tickframe.operators.indicators import lag_features, row_tail
 from tickframe.operators.search import Space, draw_settings, every_setting
@@ -47,9 +47,12 @@ def forest(**params) -> RandomForestRegressor:
 
 
 def fit_forest(train: DataFrame, **params) -> Model:
-    """A forest grown on prepared features, in partitions of bounded size (see :func:`~tickframe.operators.forests.spread`)."""
+    """A forest grown on prepared features: a large one from sums by cell, others in partitions of bounded size.
+
+    See :func:`~tickframe.operators.forests.fit_large` and :func:`~tickframe.operators.forests.spread`.
+    """
     learner = forest(**params)
-    return learner.fit(spread(train, learner.getNumTrees()))
+    return fit_large(train, learner) or learner.fit(spread(train, learner.getNumTrees()))
 
 
 def random_forest_regression(train: DataFrame, test: DataFrame, **params) -> tuple[Model, DataFrame, DataFrame]:
