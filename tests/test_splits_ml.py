@@ -207,3 +207,20 @@ def test_apply_per_symbol(series):
         "symbol string, total double",
     )
     assert sorted(tuple(r) for r in out.collect()) == [("a", 3.0), ("b", 5.0)]
+
+
+def test_large_forests_are_fitted_from_cells(problem, monkeypatch):
+    monkeypatch.setattr("tickframe.operators.forests.FEW_DRAWS", 100)
+    sizes = []
+
+    class Learner(ml.RandomForestRegressor):
+        def fit(self, df):
+            sizes.append(df.count())
+            return super().fit(df)
+
+    monkeypatch.setattr(ml, "RandomForestRegressor", Learner)
+    model, predicted, metrics = ml.random_forest_regression(
+        problem.where("fold > 0"), problem.where("fold = 0"), numTrees=20, maxDepth=8
+    )
+    assert max(sizes) <= 100 and model.getNumTrees == 20 and model.numFeatures == len(problem.first()["features"])
+    assert metrics.first().r2 > 0.5 and predicted.count() == metrics.first().n
