@@ -35,6 +35,26 @@ def test_kneser_ney_equals_brute_force(spark, order):
         assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(value, abs=1e-9)
 
 
+def test_trigrams_lie_with_their_contexts_and_models_are_small(spark):
+    texts = [f"of the x{i}" for i in range(400)] + ["of the x1 of the x2"] * 300 + ["a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model = kneser_ney.train(docs, order=3, parts=7)
+    score = brute.kneser_ney_scorer(texts, 3)
+    for r in kneser_ney.score(docs, model).collect():
+        assert r.score == pytest.approx(score(texts[r.doc_id])[-1], abs=1e-9)
+    held = kneser_ney.Arrays(model.path)
+    stored = {p: [held.get(f"{name}.{p:05d}") for name in ("gram3.keys", "context3.keys", "context3.sums")] for p in range(7)}
+    assert sum(len(c) for _, c, _ in stored.values() if c is not None) < sum(len(g) for g, *_ in stored.values() if g is not None)
+    assert all(s is None or s.dtype == np.uint8 for *_, s in stored.values())  # 8 bytes each before
+    words = kneser_ney.W.split(*next(kneser_ney.W.chunks(pa.array(["of the"])))[2:]).hash
+    sums = held.contexts(3, 7, kneser_ney.gram_keys([words[:1], words[1:]]))[0]
+    assert sums.tolist() == [1000, 398, 0, 2]
+    # a task of trigrams passes on no contexts: it has them all
+    kinds = docs.select("text").mapInArrow(kneser_ney._count(3, 7), kneser_ney._BLOCK).repartition(7, "part")
+    passed = kinds.sortWithinPartitions("part", "kind", "level").mapInArrow(kneser_ney._merge(3, 7, model.path), kneser_ney._BLOCK)
+    assert passed.where(f"kind = {kneser_ney.CONTEXTS}").count() == 0 and passed.where(f"kind = {kneser_ney.GRAMS}").count() > 0
+
+
 def test_model_does_not_depend_on_parts(spark, documents):
     docs = spark.createDataFrame(documents[:60], "doc_id long, text string")
     one, many = (kneser_ney.train(docs, order=2, parts=n) for n in (1, 23))

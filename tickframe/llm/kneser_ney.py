@@ -3,7 +3,8 @@
 N-grams are counted in blocks: every task counts its own windows, sends one block to each
 part of the key space, and the task of a part adds the blocks up, writes the part's sorted
 keys and counts into the shared folder, and passes on what the next lower order and the
-contexts need. Scoring tasks memory-map those arrays and look up their texts' n-grams.
+contexts need. N-grams of three words and more lie with their contexts, which needs no
+shuffle of these; bigrams do not, as some words stand before very many others. Scoring tasks memory-map those arrays and look up their texts' n-grams.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ _U = W.U64
 #: Markers before and after a text; other tokens are hashes of words.
 BEGIN, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 #: Windows a counting task gathers before it sends blocks: bounds its memory.
-FLUSH = 1_500_000
+FLUSH = 2_500_000
 GRAMS, CONTEXTS, TOTALS = 0, 1, 2
+#: Words of the n-grams that lie in the part of their context.
+BY_CONTEXT = 3
 _BLOCK = "part int, kind int, level int, body binary"
 
 
@@ -74,7 +77,7 @@ def _added(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[
 
 def _blocks(kind: int, level: int, key: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[tuple]:
     """A block of columns for each part; sorted by the first columns, which packs well."""
-    part = part_of(key, parts)
+    part = part_of(gram_keys(columns[: level - 1]) if kind == GRAMS and level >= BY_CONTEXT else key, parts)
     order = np.lexsort((*reversed(columns[:-2] if kind == GRAMS else columns[:1]), part))
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)).tolist():
@@ -91,22 +94,27 @@ def _packed(columns: list[np.ndarray], hashed: int) -> bytes:
     places = place.reshape(hashed, -1).astype(np.uint32)
     places[0, 1:] = np.diff(places[0].astype(np.int64)).astype(np.uint32)  # the first column ascends
     numbers = np.stack(columns[hashed:]).astype(_U)
-    body = places.view(np.uint8).reshape(-1, 4).T.tobytes() + numbers.tobytes()
+    steps = np.diff(known, prepend=_U(0))  # the list ascends, so steps have fewer bytes
+    body = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + places.view(np.uint8).reshape(-1, 4).T.tobytes() + numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
     head = np.array([len(known), len(columns[0]), hashed, len(columns), len(body)], np.int64)
-    return head.tobytes() + known.tobytes() + bytes(memoryview(_ZSTD.compress(body)))
+    return head.tobytes() + bytes(memoryview(_ZSTD.compress(body)))
 
 
 def _unpacked(body: bytes) -> np.ndarray:
     """The columns of a block, as rows of one array."""
     n, size, hashed, width, length = np.frombuffer(body, np.int64, 5).tolist()
-    known = np.frombuffer(body, _U, n, 40)
-    rest = memoryview(_ZSTD.decompress(body[40 + 8 * n :], length))
-    places = np.frombuffer(rest, np.uint8, 4 * hashed * size).reshape(4, -1).T
-    places = np.ascontiguousarray(places).view(np.uint32).reshape(hashed, size).copy()
+    rest = memoryview(_ZSTD.decompress(body[40:], length))
+
+    def wide(count: int, width: int, at: int) -> np.ndarray:
+        planes = np.frombuffer(rest, np.uint8, width * count, at).reshape(width, -1).T
+        return np.ascontiguousarray(planes).view(f"u{width}").reshape(-1)
+
+    known = np.cumsum(wide(n, 8, 0), dtype=_U)
+    places = wide(hashed * size, 4, 8 * n).reshape(hashed, size).copy()
     places[0] = np.cumsum(places[0], dtype=np.int64)
     out = np.empty((width, size), _U)
     out[:hashed] = known[places]
-    out[hashed:] = np.frombuffer(rest, _U, (width - hashed) * size, 4 * hashed * size).reshape(-1, size)
+    out[hashed:] = wide((width - hashed) * size, 8, 8 * n + 4 * hashed * size).reshape(-1, size)
     return out
 
 
@@ -181,14 +189,22 @@ def _save_counts(path: str, name: str, part: int, key: np.ndarray, count: np.nda
         _save(path, f"{name}.raw.{part:05d}", raw)
 
 
+def _save_contexts(path: str, level: int, part: int, key: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Keys, their four sums of one byte each, and apart from them the rows of which a sum needs more."""
+    whole = np.stack(sums, 1)
+    _save(path, f"context{level}.keys.{part:05d}", key)
+    _save(path, f"context{level}.sums.{part:05d}", np.minimum(whole, _U(255)).astype(np.uint8))
+    large = np.flatnonzero((whole >= 255).any(1))
+    _save(path, f"context{level}.large.{part:05d}", np.column_stack((large.astype(_U), whole[large])))
+
+
 def _merge(order: int, parts: int, path: str):
     """Add up the blocks of each part, write its arrays, and pass the rest on."""
 
     def contexts(part: int, level: int, bodies: list[np.ndarray]) -> None:
         whole = np.concatenate(bodies, 1)
         first, sums = _added(whole[0], list(whole[1:]))
-        _save(path, f"context{level}.keys.{part:05d}", whole[0][first])
-        _save(path, f"context{level}.sums.{part:05d}", np.stack(sums, 1))
+        _save_contexts(path, level, part, whole[0][first], sums)
 
     def grams(part: int, level: int, bodies: list[np.ndarray]) -> Iterator[tuple]:
         whole = np.concatenate(bodies, 1)
@@ -206,7 +222,10 @@ def _merge(order: int, parts: int, path: str):
             return
         context = gram_keys(columns[:-1])
         at, sums = _added(context, [count, ones[0], ones[1], more])
-        yield from _blocks(CONTEXTS, level, context[at], [context[at], *sums], parts)
+        if level >= BY_CONTEXT:  # all n-grams of the context are here
+            _save_contexts(path, level, part, context[at], sums)
+        else:
+            yield from _blocks(CONTEXTS, level, context[at], [context[at], *sums], parts)
         rest = gram_keys(columns[1:])
         at, sums = _added(rest, [np.ones(len(rest), _U), raw])
         yield from _blocks(GRAMS, level - 1, rest[at], [*(c[at] for c in columns[1:]), *sums], parts)
@@ -332,22 +351,29 @@ class Arrays:
                 self.open[name] = np.load(path, mmap_mode=None if small else "r")
         return self.open[name]
 
-    def find(self, name: str, parts: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per part: its number, which of the ascending ``keys`` it holds, and where."""
-        edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+    def find(
+        self, name: str, parts: int, keys: np.ndarray, context: np.ndarray | None = None
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per part: its number, which of the ascending ``keys`` it holds, and where. Keys may lie by their ``context``."""
+        part = part_of(keys if context is None else context, parts)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
         for part in np.flatnonzero(np.diff(edges)).tolist():
             own = self.get(f"{name}.keys.{part:05d}")
             if own is None or not len(own):
                 continue
-            asked = keys[edges[part] : edges[part + 1]]
+            which = order[edges[part] : edges[part + 1]]
+            asked = keys[which]
             place = np.minimum(np.searchsorted(own, asked), len(own) - 1)
             hit = np.flatnonzero(own[place] == asked)
-            yield part, hit + edges[part], place[hit]
+            yield part, which[hit], place[hit]
 
-    def counts(self, name: str, parts: int, keys: np.ndarray, raw: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def counts(
+        self, name: str, parts: int, keys: np.ndarray, raw: bool = False, context: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Counts (0 if unseen) of ascending keys, and the raw counts if asked for."""
         out, whole = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        for part, which, place in self.find(name, parts, keys):
+        for part, which, place in self.find(name, parts, keys, context):
             got = self.get(f"{name}.count.{part:05d}")[place].astype(np.float64)
             large, values = self.get(f"{name}.large.{part:05d}")
             more = np.flatnonzero(got == 255)
@@ -361,7 +387,11 @@ class Arrays:
         """Total and numbers of continuations of count 1, 2, 3 or more, for ascending keys."""
         out = np.zeros((len(keys), 4))
         for part, which, place in self.find(f"context{level}", parts, keys):
-            out[which] = self.get(f"context{level}.sums.{part:05d}")[place]
+            got = self.get(f"context{level}.sums.{part:05d}")[place].astype(np.float64)
+            large = self.get(f"context{level}.large.{part:05d}")
+            more = np.flatnonzero((got == 255).any(1))
+            got[more] = large[np.searchsorted(large[:, 0], place[more].astype(_U)), 1:]
+            out[which] = got
         return out
 
 
@@ -376,8 +406,9 @@ def token_scores(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, n
     p = raw = None
     for m in range(1, model.order + 1):
         own = columns[model.order - m :]
-        keys, back = np.unique(gram_keys(own), return_inverse=True)
-        count, whole = held.counts(f"gram{m}", model.parts, keys, raw=m == 1)
+        keys, first, back = np.unique(gram_keys(own), return_index=True, return_inverse=True)
+        context = gram_keys([c[first] for c in own[:-1]]) if m >= BY_CONTEXT else None
+        count, whole = held.counts(f"gram{m}", model.parts, keys, raw=m == 1, context=context)
         d = np.array([0.0, *model.discounts[m - 1]])
         kept = np.maximum(count - d[np.minimum(count, 3).astype(np.int64)], 0.0)
         if m == 1:
