@@ -46,6 +46,8 @@ def test_trigrams_lie_with_their_contexts_and_models_are_small(spark):
     stored = {p: [held.get(f"{name}.{p:05d}") for name in ("gram3.keys", "context3.keys", "context3.sums")] for p in range(7)}
     assert sum(len(c) for _, c, _ in stored.values() if c is not None) < sum(len(g) for g, *_ in stored.values() if g is not None)
     assert all(s is None or s.dtype == np.uint8 for *_, s in stored.values())  # 8 bytes each before
+    alone = [held.get(f"gram2.keys.{p:05d}") for p in range(7)]  # bigrams that are no contexts: those before an end
+    assert sum(len(k) for k in alone if k is not None) == len({t.split()[-1] for t in texts})
     words = kneser_ney.W.split(*next(kneser_ney.W.chunks(pa.array(["of the"])))[2:]).hash
     sums = held.contexts(3, 7, kneser_ney.gram_keys([words[:1], words[1:]]))[0]
     assert sums.tolist() == [1000, 398, 0, 2]

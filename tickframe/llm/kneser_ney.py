@@ -51,6 +51,11 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
+def beside(level: int, order: int) -> bool:
+    """Whether n-grams lie in the same parts as the contexts of as many words, and so need no keys of their own."""
+    return 1 < level < order and level < BY_CONTEXT <= level + 1
+
+
 def sentences(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The last ``order`` tokens up to every word and text end, as columns, and the row of each."""
     words = W.split(raw, at, lower=True)
@@ -179,9 +184,20 @@ def _save(path: str, name: str, array: np.ndarray) -> None:
     store.move(trial, f"{at}/{name}.npy")
 
 
-def _save_counts(path: str, name: str, part: int, key: np.ndarray, count: np.ndarray, raw: np.ndarray | None) -> None:
-    """Keys, counts of one byte, and apart from them the counts that need more."""
-    _save(path, f"{name}.keys.{part:05d}", key)
+def _load(path: str, name: str) -> np.ndarray:
+    """An array that an earlier stage has written; empty if it has not."""
+    store, at = fs.FileSystem.from_uri(path)
+    try:
+        with store.open_input_file(f"{at}/{name}.npy") as file:
+            return np.load(io.BytesIO(file.read()))
+    except FileNotFoundError:
+        return np.zeros(0, _U)
+
+
+def _save_counts(path: str, name: str, part: int, key: np.ndarray | None, count: np.ndarray, raw: np.ndarray | None) -> None:
+    """Keys (None: another table has them), counts of one byte, and apart from them the counts that need more."""
+    if key is not None:
+        _save(path, f"{name}.keys.{part:05d}", key)
     _save(path, f"{name}.count.{part:05d}", np.minimum(count, _U(255)).astype(np.uint8))
     large = np.flatnonzero(count >= 255)
     _save(path, f"{name}.large.{part:05d}", np.stack((large.astype(_U), count[large])))
@@ -213,7 +229,17 @@ def _merge(order: int, parts: int, path: str):
         columns, key = [c[first] for c in whole[:level]], key[first]
         if level < order:  # nothing can stand left of a text's beginning
             count = np.where(columns[0] == BEGIN, raw, count)
-        _save_counts(path, f"gram{level}", part, key, count, raw if level == 1 else None)
+        if beside(level, order):  # most bigrams are contexts too, whose keys are stored
+            known = _load(path, f"context{level + 1}.keys.{part:05d}")
+            place = np.searchsorted(known, key)
+            hit = np.append(known, _U(0))[place] == key
+            hit &= place < len(known)
+            shared = np.zeros(len(known), _U)
+            shared[place[hit]] = count[hit]
+            _save_counts(path, f"shared{level}", part, None, shared, None)
+            _save_counts(path, f"gram{level}", part, key[~hit], count[~hit], None)
+        else:
+            _save_counts(path, f"gram{level}", part, key, count, raw if level == 1 else None)
         ones = [(count == k).astype(_U) for k in (1, 2, 3, 4)]
         more = (count >= 3).astype(_U)
         totals = [x.sum() for x in (*ones, more, np.ones(len(key), _U), count, raw)]
@@ -369,18 +395,28 @@ class Arrays:
             yield part, which[hit], place[hit]
 
     def counts(
-        self, name: str, parts: int, keys: np.ndarray, raw: bool = False, context: np.ndarray | None = None
+        self,
+        name: str,
+        parts: int,
+        keys: np.ndarray,
+        raw: bool = False,
+        context: np.ndarray | None = None,
+        shared: tuple[str, str] | None = None,
     ) -> tuple[np.ndarray, np.ndarray]:
         """Counts (0 if unseen) of ascending keys, and the raw counts if asked for."""
         out, whole = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        for part, which, place in self.find(name, parts, keys, context):
-            got = self.get(f"{name}.count.{part:05d}")[place].astype(np.float64)
-            large, values = self.get(f"{name}.large.{part:05d}")
-            more = np.flatnonzero(got == 255)
-            got[more] = values[np.searchsorted(large, place[more].astype(_U))]
-            out[which] = got
-            if raw:
-                whole[which] = self.get(f"{name}.raw.{part:05d}")[place]
+        for keys_of, counts_of in ((name, name), *([shared] if shared else [])):
+            for part, which, place in self.find(keys_of, parts, keys, context):
+                own = self.get(f"{counts_of}.count.{part:05d}")
+                if own is None:
+                    continue
+                got = own[place].astype(np.float64)
+                large, values = self.get(f"{counts_of}.large.{part:05d}")
+                more = np.flatnonzero(got == 255)
+                got[more] = values[np.searchsorted(large, place[more].astype(_U))]
+                out[which] = got
+                if raw:
+                    whole[which] = self.get(f"{name}.raw.{part:05d}")[place]
         return out, whole
 
     def contexts(self, level: int, parts: int, keys: np.ndarray) -> np.ndarray:
@@ -408,7 +444,8 @@ def token_scores(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, n
         own = columns[model.order - m :]
         keys, first, back = np.unique(gram_keys(own), return_index=True, return_inverse=True)
         context = gram_keys([c[first] for c in own[:-1]]) if m >= BY_CONTEXT else None
-        count, whole = held.counts(f"gram{m}", model.parts, keys, raw=m == 1, context=context)
+        shared = (f"context{m + 1}", f"shared{m}") if beside(m, model.order) else None
+        count, whole = held.counts(f"gram{m}", model.parts, keys, raw=m == 1, context=context, shared=shared)
         d = np.array([0.0, *model.discounts[m - 1]])
         kept = np.maximum(count - d[np.minimum(count, 3).astype(np.int64)], 0.0)
         if m == 1:
