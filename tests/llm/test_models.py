@@ -57,6 +57,37 @@ def test_trigrams_lie_with_their_contexts_and_models_are_small(spark):
     assert passed.where(f"kind = {kneser_ney.CONTEXTS}").count() == 0 and passed.where(f"kind = {kneser_ney.GRAMS}").count() > 0
 
 
+def test_blocks_name_frequent_words_by_codes():
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))
+    drawn = [words[np.minimum(rng.zipf(1.3, 60_000), len(words)) - 1] for _ in range(3)]
+    ones = np.ones(60_000, np.uint64)
+    sizes = []
+    for coding in (kneser_ney.UNCODED, kneser_ney._codes(words[:3000])):
+        blocks = list(kneser_ney._blocks(kneser_ney.GRAMS, 3, kneser_ney.gram_keys(drawn), [*drawn, ones, ones + ones], 4, coding))
+        back = kneser_ney._unpacked([b[3] for b in blocks], coding)
+        assert sorted(map(tuple, back.T.tolist())) == sorted(zip(*(c.tolist() for c in (*drawn, ones, ones + ones)), strict=True))
+        sizes.append(sum(len(b[3]) for b in blocks))
+    assert sizes[1] < 0.8 * sizes[0]
+    with pytest.raises(ValueError):  # blocks made with other codes are no blocks of other words
+        kneser_ney._unpacked([blocks[0][3]], kneser_ney.UNCODED)
+
+
+def test_large_tables_keep_less_of_a_key_and_all_sums(tmp_path):
+    rng = np.random.default_rng(6)
+    path, n = tmp_path.as_uri(), kneser_ney.SPLIT + 1000
+    keys = np.unique(np.append(rng.integers(0, 1 << 64, n - 2, np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+    sums = [np.where(rng.random(len(keys)) < 0.9, 1, rng.integers(1, 2000, len(keys))).astype(np.uint64) for _ in range(4)]
+    sums[0][7] = 1 << 40
+    kneser_ney._save_contexts(path, 3, 0, keys, sums)
+    held = kneser_ney.Arrays(path)
+    own = held.get("context3.keys.00000")
+    assert own.nbytes == 6 * len(keys) and (kneser_ney._load_keys(path, "context3", 0) == keys).all()
+    asked = np.unique(np.concatenate((keys[::3], keys[1::7] + np.uint64(1), rng.integers(0, 1 << 64, 5000, np.uint64))))
+    want = dict(zip(keys.tolist(), zip(*(s.tolist() for s in sums), strict=True), strict=True))
+    assert held.contexts(3, 1, asked).tolist() == [list(want.get(k, (0, 0, 0, 0))) for k in asked.tolist()]
+
+
 def test_model_does_not_depend_on_parts(spark, documents):
     docs = spark.createDataFrame(documents[:60], "doc_id long, text string")
     one, many = (kneser_ney.train(docs, order=2, parts=n) for n in (1, 23))

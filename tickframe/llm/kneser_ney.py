@@ -5,6 +5,9 @@ part of the key space, and the task of a part adds the blocks up, writes the par
 keys and counts into the shared folder, and passes on what the next lower order and the
 contexts need. N-grams of three words and more lie with their contexts, which needs no
 shuffle of these; bigrams do not, as some words stand before very many others. Scoring tasks memory-map those arrays and look up their texts' n-grams.
+
+Blocks name the most frequent words by short codes, which a sample of the texts gives, and carry the
+hashes of all others; codes only shorten blocks, every n-gram of every text is counted.
 """
 
 from __future__ import annotations
@@ -36,6 +39,11 @@ GRAMS, CONTEXTS, TOTALS = 0, 1, 2
 #: Words of the n-grams that lie in the part of their context.
 BY_CONTEXT = 3
 _BLOCK = "part int, kind int, level int, body binary"
+#: Words that have codes at most, and the share of texts they are taken from.
+CODED, CODED_FROM = 1 << 20, 1 / 12
+#: Keys from which on an array of them keeps 48 bits of each; the others follow from their place.
+SPLIT = 1 << 17
+_LOW = _U((1 << 48) - 1)
 
 
 def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -73,54 +81,129 @@ def sentences(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndar
 
 
 def _added(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """First place of each distinct key, by key, and the sums of ``values``."""
-    order = np.argsort(key, kind="stable")
+    """A place of each distinct key, by key, and the sums of ``values``."""
+    order = np.argsort(key)
     key = key[order]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return order[start], [np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values]
+    return order[start], [np.add.reduceat(v[order], start, dtype=_U) if len(start) else np.zeros(0, _U) for v in values]
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Frequent words, the most frequent first; their places stand for them in blocks."""
+
+    words: np.ndarray
+    known: np.ndarray  #: the same, ascending
+    rank: np.ndarray  #: and the places of these
+
+    def numbered(self, columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Codes of hashes; those beyond the known words are places in an ascending list of the rest."""
+        out = []
+        for c in columns:
+            if not len(self.known):
+                out.append(np.full(len(c), -1, np.int32))
+                continue
+            at = np.minimum(np.searchsorted(self.known, c), len(self.known) - 1)
+            out.append(np.where(self.known[at] == c, self.rank[at], np.int32(-1)))
+        other = [c[p < 0] for c, p in zip(columns, out, strict=True)]
+        rest = np.unique(np.concatenate(other))
+        for p, c in zip(out, other, strict=True):
+            p[p < 0] = len(self.words) + np.searchsorted(rest, c)
+        return out, rest
 
 
-def _blocks(kind: int, level: int, key: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[tuple]:
-    """A block of columns for each part; sorted by the first columns, which packs well."""
+def _codes(words: np.ndarray) -> Codes:
+    rank = np.argsort(words).astype(np.int32)
+    return Codes(words, words[rank], rank)
+
+
+UNCODED = _codes(np.zeros(0, _U))
+
+
+@lru_cache(maxsize=2)
+def codes(path: str) -> Codes:
+    return _codes(_load(path, "codes"))
+
+
+def _blocks(kind: int, level: int, key: np.ndarray, columns: list[np.ndarray], parts: int, coding: Codes) -> Iterator[tuple]:
+    """A block of columns for each part; sorted by the first columns, which packs well. Takes the columns out of their list."""
+    hashed = level if kind == GRAMS else 1
     part = part_of(gram_keys(columns[: level - 1]) if kind == GRAMS and level >= BY_CONTEXT else key, parts)
-    order = np.lexsort((*reversed(columns[:-2] if kind == GRAMS else columns[:1]), part))
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    places, rest = coding.numbered(columns[:hashed])
+    numbers = columns[hashed:]
+    columns.clear()
+    del key
+    bits, left = (len(coding.words) + len(rest)).bit_length(), 63 - int(parts).bit_length()
+    edges = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+    for p in places[: max(1, left // max(bits, 1))]:
+        part = part << bits | p
+    order = np.argsort(part)
+    del part
     for p in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[p] : edges[p + 1]]
-        yield p, kind, level, _packed([c[own] for c in columns], level if kind == GRAMS else 1)
+        yield p, kind, level, _packed([c[own] for c in places], [c[own] for c in numbers], rest, len(coding.words))
 
 
 _ZSTD = pa.Codec("zstd", 1)
 
 
-def _packed(columns: list[np.ndarray], hashed: int) -> bytes:
-    """Columns of hashes as places in a list of the distinct ones, then numbers; compressed."""
-    known, place = np.unique(np.concatenate(columns[:hashed]), return_inverse=True)
-    places = place.reshape(hashed, -1).astype(np.uint32)
-    places[0, 1:] = np.diff(places[0].astype(np.int64)).astype(np.uint32)  # the first column ascends
-    numbers = np.stack(columns[hashed:]).astype(_U)
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: what repeats lies together."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _packed(places: list[np.ndarray], numbers: list[np.ndarray], rest: np.ndarray, coded: int) -> bytes:
+    """Columns of codes, with a list of the words that have none, then columns of numbers; compressed."""
+    whole = np.stack(places).astype(np.int64)
+    other = whole >= coded
+    listed, at = np.unique(whole[other], return_inverse=True)
+    whole[other] = coded + at
+    whole[0, 1:] = np.diff(whole[0])  # the first column ascends
+    known = rest[listed - coded]
     steps = np.diff(known, prepend=_U(0))  # the list ascends, so steps have fewer bytes
-    body = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + places.view(np.uint8).reshape(-1, 4).T.tobytes() + numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
-    head = np.array([len(known), len(columns[0]), hashed, len(columns), len(body)], np.int64)
+    kind = np.uint32 if all(int(c.max(initial=0)) < 1 << 32 for c in numbers) else _U
+    counts = np.array(numbers, kind).reshape(len(numbers), -1)
+    body = _planes(steps) + b"".join(_planes(c) for c in whole.astype(np.uint32)) + b"".join(_planes(c) for c in counts)
+    head = np.array([len(known), whole.shape[1], len(places), len(numbers), counts.itemsize, coded, len(body)], np.int64)
     return head.tobytes() + bytes(memoryview(_ZSTD.compress(body)))
 
 
-def _unpacked(body: bytes) -> np.ndarray:
-    """The columns of a block, as rows of one array."""
-    n, size, hashed, width, length = np.frombuffer(body, np.int64, 5).tolist()
-    rest = memoryview(_ZSTD.decompress(body[40:], length))
+def _unpacked(bodies: list[bytes], coding: Codes) -> np.ndarray:
+    """The columns of blocks, one after the other, as rows of one array. Takes the blocks out of their list."""
+    heads = [np.frombuffer(b, np.int64, 7).tolist() for b in bodies]
+    if any(h[5] not in (0, len(coding.words)) for h in heads):
+        raise ValueError("the codes of words that blocks were made with are not to be found")
+    out, lo = np.empty((heads[0][2] + heads[0][3], sum(h[1] for h in heads)), _U), 0
+    bodies.reverse()
+    for head in heads:
+        _unpack(head, bodies.pop(), coding, out[:, lo : lo + head[1]])
+        lo += head[1]
+    return out
+
 
-    def wide(count: int, width: int, at: int) -> np.ndarray:
-        planes = np.frombuffer(rest, np.uint8, width * count, at).reshape(width, -1).T
-        return np.ascontiguousarray(planes).view(f"u{width}").reshape(-1)
+def _unpack(head: list[int], body: bytes, coding: Codes, out: np.ndarray) -> None:
+    n, size, hashed, numbers, width, coded, length = head
+    rest, at = memoryview(_ZSTD.decompress(memoryview(body)[56:], length)), 0
 
-    known = np.cumsum(wide(n, 8, 0), dtype=_U)
-    places = wide(hashed * size, 4, 8 * n).reshape(hashed, size).copy()
-    places[0] = np.cumsum(places[0], dtype=np.int64)
-    out = np.empty((width, size), _U)
-    out[:hashed] = known[places]
-    out[hashed:] = wide((width - hashed) * size, 8, 8 * n + 4 * hashed * size).reshape(-1, size)
-    return out
+    def column(count: int, wide: int) -> np.ndarray:
+        nonlocal at
+        planes = np.frombuffer(rest, np.uint8, wide * count, at).reshape(wide, -1).T
+        at += wide * count
+        return np.ascontiguousarray(planes).view(f"u{wide}").reshape(-1)
+
+    known = np.cumsum(column(n, 8), dtype=_U)
+    for k in range(hashed):
+        place = column(size, 4).astype(np.int64)
+        if k == 0:
+            place = np.cumsum(place)
+        other = np.flatnonzero(place >= coded)
+        listed = known[place[other] - coded]
+        if coded:
+            place[other] = 0
+            out[k] = coding.words[place]
+        out[k, other] = listed
+    for k in range(hashed, hashed + numbers):
+        out[k] = column(size, width)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -144,14 +227,50 @@ def _emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _batch(held)
 
 
-def _count(order: int, parts: int):
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of some texts with their counts, by task."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    held, n = [], 0
+    for batch in batches:
+        for _, _, raw, at in W.chunks(batch.column(0)):
+            held.append(sentences(raw, at, 1)[0][0])
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield counted(held)
+                held, n = [], 0
+    if held:
+        yield counted(held)
+
+
+def _save_codes(texts: DataFrame, path: str) -> None:
+    """The most frequent words of a sample of the texts, which blocks name by codes, into the shared folder."""
+    words = texts.sample(CODED_FROM, seed=1).mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]
+        _save(path, "codes", np.concatenate(found).view(_U))
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    most = words.orderBy(F.desc("n"), "word").limit(CODED).select("word")
+    most.coalesce(1).mapInArrow(save, "done long").collect()
+
+
+def _count(order: int, parts: int, path: str | None = None):
     def flush(columns: list[list[np.ndarray]]) -> Iterator[tuple]:
-        whole = [np.concatenate(c) for c in columns]
+        whole = []
         for c in columns:
+            whole.append(np.concatenate(c))
             c.clear()
         key = gram_keys(whole)
-        first, (count,) = _added(key, [np.ones(len(key), _U)])
-        yield from _blocks(GRAMS, order, key[first], [*(c[first] for c in whole), count, count], parts)
+        first, (count,) = _added(key, [np.ones(len(key), np.uint8)])
+        key = key[first]
+        whole = [*(c[first] for c in whole), count, count]
+        del first, count
+        yield from _blocks(GRAMS, order, key, whole, parts, codes(path) if path else UNCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -194,10 +313,53 @@ def _load(path: str, name: str) -> np.ndarray:
         return np.zeros(0, _U)
 
 
+def _save_keys(path: str, name: str, part: int, key: np.ndarray) -> None:
+    """Ascending keys: whole, or of many the lower 48 bits of each and where keys of each upper 16 bits begin."""
+    if len(key) >= SPLIT:
+        starts = np.searchsorted(key, np.arange(1 << 16, dtype=_U) << _U(48))
+        _save(path, f"{name}.starts.{part:05d}", np.append(starts, len(key)).astype(np.uint32))
+        key = np.ascontiguousarray(key.view(np.uint16).reshape(-1, 4)[:, :3])
+    _save(path, f"{name}.keys.{part:05d}", key)
+
+
+def _load_keys(path: str, name: str, part: int) -> np.ndarray:
+    key = _load(path, f"{name}.keys.{part:05d}")
+    if key.ndim == 1:
+        return key
+    starts = _load(path, f"{name}.starts.{part:05d}")
+    return np.repeat(np.arange(1 << 16, dtype=_U) << _U(48), np.diff(starts)) | _low_bits(key)
+
+
+def _low_bits(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 4), np.uint16)
+    out[:, :3] = rows
+    return out.view(_U)[:, 0]
+
+
+def _places(own: np.ndarray, starts: np.ndarray | None, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ascending ``asked`` keys there are, and their places."""
+    if own.ndim == 1:
+        place = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+        hit = np.flatnonzero(own[place] == asked)
+        return hit, place[hit]
+    upper, want = (asked >> _U(48)).astype(np.int64), asked & _LOW
+    low, high = starts[upper].astype(np.int64), starts[upper + 1].astype(np.int64)
+    last, open_ = high.copy(), np.flatnonzero(low < high)
+    while len(open_):  # the first key that is not below, by halves
+        middle = (low[open_] + high[open_]) >> 1
+        below = _low_bits(own[middle]) < want[open_]
+        low[open_] = np.where(below, middle + 1, low[open_])
+        high[open_] = np.where(below, high[open_], middle)
+        open_ = open_[low[open_] < high[open_]]
+    hit = np.flatnonzero(low < last)
+    hit = hit[_low_bits(own[low[hit]]) == want[hit]]
+    return hit, low[hit]
+
+
 def _save_counts(path: str, name: str, part: int, key: np.ndarray | None, count: np.ndarray, raw: np.ndarray | None) -> None:
     """Keys (None: another table has them), counts of one byte, and apart from them the counts that need more."""
     if key is not None:
-        _save(path, f"{name}.keys.{part:05d}", key)
+        _save_keys(path, name, part, key)
     _save(path, f"{name}.count.{part:05d}", np.minimum(count, _U(255)).astype(np.uint8))
     large = np.flatnonzero(count >= 255)
     _save(path, f"{name}.large.{part:05d}", np.stack((large.astype(_U), count[large])))
@@ -206,31 +368,42 @@ def _save_counts(path: str, name: str, part: int, key: np.ndarray | None, count:
 
 
 def _save_contexts(path: str, level: int, part: int, key: np.ndarray, sums: list[np.ndarray]) -> None:
-    """Keys, their four sums of one byte each, and apart from them the rows of which a sum needs more."""
+    """Keys, the number of their four sums among the 255 most frequent ones, and apart from them all other sums."""
     whole = np.stack(sums, 1)
-    _save(path, f"context{level}.keys.{part:05d}", key)
-    _save(path, f"context{level}.sums.{part:05d}", np.minimum(whole, _U(255)).astype(np.uint8))
-    large = np.flatnonzero((whole >= 255).any(1))
-    _save(path, f"context{level}.large.{part:05d}", np.column_stack((large.astype(_U), whole[large])))
+    small = (whole < 255).all(1)
+    four = np.where(small, whole.T, _U(255)).astype(np.uint8).T
+    kinds, at, n = np.unique(np.ascontiguousarray(four).view(np.uint32)[:, 0], return_inverse=True, return_counts=True)
+    common = np.argsort(-n, kind="stable")[:256]
+    common = common[kinds[common] != 0xFFFFFFFF][:255]
+    number = np.full(len(kinds), 255, np.uint8)
+    number[common] = np.arange(len(common))
+    table = np.zeros((256, 4), np.uint8)
+    table[: len(common)] = kinds[common].view(np.uint8).reshape(-1, 4)
+    _save_keys(path, f"context{level}", part, key)
+    _save(path, f"context{level}.sums.{part:05d}", number[at])
+    _save(path, f"context{level}.kinds.{part:05d}", table)
+    large = np.flatnonzero(number[at] == 255)
+    rare = np.column_stack((large.astype(_U), whole[large]))
+    _save(path, f"context{level}.large.{part:05d}", rare.astype(np.uint32) if int(rare.max(initial=0)) < 1 << 32 else rare)
 
 
 def _merge(order: int, parts: int, path: str):
     """Add up the blocks of each part, write its arrays, and pass the rest on."""
 
-    def contexts(part: int, level: int, bodies: list[np.ndarray]) -> None:
-        whole = np.concatenate(bodies, 1)
+    def contexts(part: int, level: int, whole: np.ndarray) -> None:
         first, sums = _added(whole[0], list(whole[1:]))
         _save_contexts(path, level, part, whole[0][first], sums)
 
-    def grams(part: int, level: int, bodies: list[np.ndarray]) -> Iterator[tuple]:
-        whole = np.concatenate(bodies, 1)
+    def grams(part: int, level: int, bodies: list[bytes]) -> Iterator[tuple]:
+        whole = _unpacked(bodies, codes(path))
         key = gram_keys(list(whole[:level]))
         first, (count, raw) = _added(key, [whole[-2], whole[-1]])
         columns, key = [c[first] for c in whole[:level]], key[first]
+        del whole, first
         if level < order:  # nothing can stand left of a text's beginning
             count = np.where(columns[0] == BEGIN, raw, count)
         if beside(level, order):  # most bigrams are contexts too, whose keys are stored
-            known = _load(path, f"context{level + 1}.keys.{part:05d}")
+            known = _load_keys(path, f"context{level + 1}", part)
             place = np.searchsorted(known, key)
             hit = np.append(known, _U(0))[place] == key
             hit &= place < len(known)
@@ -240,9 +413,10 @@ def _merge(order: int, parts: int, path: str):
             _save_counts(path, f"gram{level}", part, key[~hit], count[~hit], None)
         else:
             _save_counts(path, f"gram{level}", part, key, count, raw if level == 1 else None)
-        ones = [(count == k).astype(_U) for k in (1, 2, 3, 4)]
-        more = (count >= 3).astype(_U)
-        totals = [x.sum() for x in (*ones, more, np.ones(len(key), _U), count, raw)]
+        ones = [count == k for k in (1, 2, 3, 4)]
+        more = count >= 3
+        totals = [*(x.sum() for x in (*ones, more)), len(key), count.sum(), raw.sum()]
+        del key
         yield -1, TOTALS, level, np.array(totals, _U).tobytes()
         if level == 1:
             return
@@ -251,10 +425,14 @@ def _merge(order: int, parts: int, path: str):
         if level >= BY_CONTEXT:  # all n-grams of the context are here
             _save_contexts(path, level, part, context[at], sums)
         else:
-            yield from _blocks(CONTEXTS, level, context[at], [context[at], *sums], parts)
-        rest = gram_keys(columns[1:])
-        at, sums = _added(rest, [np.ones(len(rest), _U), raw])
-        yield from _blocks(GRAMS, level - 1, rest[at], [*(c[at] for c in columns[1:]), *sums], parts)
+            yield from _blocks(CONTEXTS, level, context[at], [context[at], *sums], parts, UNCODED)
+        del context, at, sums, count, ones, more
+        columns = columns[1:]
+        rest = gram_keys(columns)
+        at, sums = _added(rest, [np.ones(len(rest), np.uint8), raw])
+        rest, columns = rest[at], [*(c[at] for c in columns), *sums]
+        del at, sums, raw
+        yield from _blocks(GRAMS, level - 1, rest, columns, parts, codes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished(name: tuple, bodies: list[bytes]) -> Iterator[tuple]:
@@ -262,11 +440,10 @@ def _merge(order: int, parts: int, path: str):
             if kind == TOTALS:
                 yield from ((part, kind, level, b) for b in bodies)
                 return
-            arrays = [_unpacked(b) for b in bodies]
             if kind == CONTEXTS:
-                contexts(part, level, arrays)
+                contexts(part, level, _unpacked(bodies, codes(path)))
             else:
-                yield from grams(part, level, arrays)
+                yield from grams(part, level, bodies)
 
         def rows():
             now, held = None, []
@@ -327,7 +504,9 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2, parts: int |
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = _made(spark, work_path(spark, "kneser-ney"))
-    blocks = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, parts), _BLOCK)
+    texts = texts.select(F.col(text_col).alias("text"))
+    _save_codes(texts, path)
+    blocks = texts.mapInArrow(_count(order, parts, path), _BLOCK)
     for _ in range(order):
         blocks = blocks.repartition(parts, "part").sortWithinPartitions("part", "kind", "level")
         blocks = blocks.mapInArrow(_merge(order, parts, path), _BLOCK)
@@ -389,10 +568,9 @@ class Arrays:
             if own is None or not len(own):
                 continue
             which = order[edges[part] : edges[part + 1]]
-            asked = keys[which]
-            place = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-            hit = np.flatnonzero(own[place] == asked)
-            yield part, which[hit], place[hit]
+            starts = self.get(f"{name}.starts.{part:05d}") if own.ndim > 1 else None
+            hit, place = _places(own, starts, keys[which])
+            yield part, which[hit], place
 
     def counts(
         self,
@@ -423,10 +601,12 @@ class Arrays:
         """Total and numbers of continuations of count 1, 2, 3 or more, for ascending keys."""
         out = np.zeros((len(keys), 4))
         for part, which, place in self.find(f"context{level}", parts, keys):
-            got = self.get(f"context{level}.sums.{part:05d}")[place].astype(np.float64)
-            large = self.get(f"context{level}.large.{part:05d}")
-            more = np.flatnonzero((got == 255).any(1))
-            got[more] = large[np.searchsorted(large[:, 0], place[more].astype(_U)), 1:]
+            number = self.get(f"context{level}.sums.{part:05d}")[place]
+            got = self.get(f"context{level}.kinds.{part:05d}")[number].astype(np.float64)
+            more = np.flatnonzero(number == 255)
+            if len(more):
+                large = self.get(f"context{level}.large.{part:05d}")
+                got[more] = large[np.searchsorted(large[:, 0], place[more].astype(large.dtype)), 1:]
             out[which] = got
         return out
 
