@@ -41,9 +41,8 @@ BY_CONTEXT = 3
 _BLOCK = "part int, kind int, level int, body binary"
 #: Words that have codes at most, and the share of texts they are taken from.
 CODED, CODED_FROM = 1 << 20, 1 / 12
-#: Keys from which on an array of them keeps 48 bits of each; the others follow from their place.
+#: Keys from which on an array of them keeps 48 bits of each; the others follow from its place.
 SPLIT = 1 << 17
-_LOW = _U((1 << 48) - 1)
 
 
 def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -95,16 +94,23 @@ class Codes:
     words: np.ndarray
     known: np.ndarray  #: the same, ascending
     rank: np.ndarray  #: and the places of these
+    begin: np.ndarray  #: where those of each upper 20 bits begin
 
     def numbered(self, columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Codes of hashes; those beyond the known words are places in an ascending list of the rest."""
         out = []
         for c in columns:
-            if not len(self.known):
-                out.append(np.full(len(c), -1, np.int32))
-                continue
-            at = np.minimum(np.searchsorted(self.known, c), len(self.known) - 1)
-            out.append(np.where(self.known[at] == c, self.rank[at], np.int32(-1)))
+            found = np.full(len(c), -1, np.int32)
+            out.append(found)
+            upper = (c >> _U(44)).astype(np.int32)
+            at, end = self.begin[upper], self.begin[upper + 1]
+            open_ = np.flatnonzero(at < end)
+            at, end = at[open_], end[open_]
+            while len(open_):  # few words share their upper bits
+                hit = self.known[at] == c[open_]
+                found[open_[hit]] = self.rank[at[hit]]
+                more = np.flatnonzero(~hit & (at + 1 < end))
+                open_, at, end = open_[more], at[more] + 1, end[more]
         other = [c[p < 0] for c, p in zip(columns, out, strict=True)]
         rest = np.unique(np.concatenate(other))
         for p, c in zip(out, other, strict=True):
@@ -114,7 +120,8 @@ class Codes:
 
 def _codes(words: np.ndarray) -> Codes:
     rank = np.argsort(words).astype(np.int32)
-    return Codes(words, words[rank], rank)
+    begin = np.searchsorted(words[rank], np.arange(1 << 20, dtype=_U) << _U(44))
+    return Codes(words, words[rank], rank, np.append(begin, len(words)).astype(np.int32))
 
 
 UNCODED = _codes(np.zeros(0, _U))
@@ -314,20 +321,31 @@ def _load(path: str, name: str) -> np.ndarray:
 
 
 def _save_keys(path: str, name: str, part: int, key: np.ndarray) -> None:
-    """Ascending keys: whole, or of many the lower 48 bits of each and where keys of each upper 16 bits begin."""
+    """Ascending keys: whole, or of many 48 bits of each and where the keys of each of 65,536 ranges begin."""
     if len(key) >= SPLIT:
-        starts = np.searchsorted(key, np.arange(1 << 16, dtype=_U) << _U(48))
-        _save(path, f"{name}.starts.{part:05d}", np.append(starts, len(key)).astype(np.uint32))
-        key = np.ascontiguousarray(key.view(np.uint16).reshape(-1, 4)[:, :3])
+        first = int(key[0])
+        shift = max(0, (int(key[-1]) - first).bit_length() - 16)
+        key = key - _U(first)
+        starts = np.searchsorted(key >> _U(shift), np.arange(1 << 16, dtype=_U))
+        starts = [*starts, len(key), first & 0xFFFFFFFF, first >> 32, shift]
+        _save(path, f"{name}.starts.{part:05d}", np.array(starts, np.uint32))
+        key = np.ascontiguousarray((key & _U((1 << shift) - 1)).view(np.uint16).reshape(-1, 4)[:, :3])
     _save(path, f"{name}.keys.{part:05d}", key)
 
 
+def _ranges(starts: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Where ranges begin, the first key, and the bits a key has within its range."""
+    low, high, shift = starts[-3:].tolist()
+    return starts[:-3], high << 32 | low, shift
+
+
 def _load_keys(path: str, name: str, part: int) -> np.ndarray:
     key = _load(path, f"{name}.keys.{part:05d}")
     if key.ndim == 1:
         return key
-    starts = _load(path, f"{name}.starts.{part:05d}")
-    return np.repeat(np.arange(1 << 16, dtype=_U) << _U(48), np.diff(starts)) | _low_bits(key)
+    starts, first, shift = _ranges(_load(path, f"{name}.starts.{part:05d}"))
+    upper = np.repeat(np.arange(1 << 16, dtype=_U) << _U(shift), np.diff(starts.astype(np.int64)))
+    return (upper | _low_bits(key)) + _U(first)
 
 
 def _low_bits(rows: np.ndarray) -> np.ndarray:
@@ -342,18 +360,34 @@ def _places(own: np.ndarray, starts: np.ndarray | None, asked: np.ndarray) -> tu
         place = np.minimum(np.searchsorted(own, asked), len(own) - 1)
         hit = np.flatnonzero(own[place] == asked)
         return hit, place[hit]
-    upper, want = (asked >> _U(48)).astype(np.int64), asked & _LOW
+    starts, first, shift = _ranges(starts)
+    since = asked - _U(first)  # keys before the first one wrap around to beyond the last
+    upper = since >> _U(shift)
+    known = np.flatnonzero(upper < _U(1 << 16))
+    upper, want = upper[known].astype(np.int64), since[known] & _U((1 << shift) - 1)
     low, high = starts[upper].astype(np.int64), starts[upper + 1].astype(np.int64)
-    last, open_ = high.copy(), np.flatnonzero(low < high)
+    last, open_ = high, np.flatnonzero(low < high)
+    at, end, own_want = low[open_], high[open_], want[open_]
     while len(open_):  # the first key that is not below, by halves
-        middle = (low[open_] + high[open_]) >> 1
-        below = _low_bits(own[middle]) < want[open_]
-        low[open_] = np.where(below, middle + 1, low[open_])
-        high[open_] = np.where(below, high[open_], middle)
-        open_ = open_[low[open_] < high[open_]]
+        middle = (at + end) >> 1
+        below = _low_bits(own.take(middle, 0)) < own_want
+        at, end = np.where(below, middle + 1, at), np.where(below, end, middle)
+        low[open_] = at
+        more = np.flatnonzero(at < end)
+        open_, at, end, own_want = open_[more], at[more], end[more], own_want[more]
     hit = np.flatnonzero(low < last)
-    hit = hit[_low_bits(own[low[hit]]) == want[hit]]
-    return hit, low[hit]
+    hit = hit[_low_bits(own.take(low[hit], 0)) == want[hit]]
+    return known[hit], low[hit]
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the number of each row's key among them."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(key)]
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
 
 
 def _save_counts(path: str, name: str, part: int, key: np.ndarray | None, count: np.ndarray, raw: np.ndarray | None) -> None:
@@ -553,7 +587,7 @@ class Arrays:
                 self.open[name] = None  # a part without keys
             else:
                 small = os.path.getsize(path) < 4096
-                self.open[name] = np.load(path, mmap_mode=None if small else "r")
+                self.open[name] = np.load(path, mmap_mode=None if small else "r").view(np.ndarray)
         return self.open[name]
 
     def find(
@@ -561,8 +595,8 @@ class Arrays:
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per part: its number, which of the ascending ``keys`` it holds, and where. Keys may lie by their ``context``."""
         part = part_of(keys if context is None else context, parts)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        edges = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
         for part in np.flatnonzero(np.diff(edges)).tolist():
             own = self.get(f"{name}.keys.{part:05d}")
             if own is None or not len(own):
@@ -622,7 +656,7 @@ def token_scores(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, n
     p = raw = None
     for m in range(1, model.order + 1):
         own = columns[model.order - m :]
-        keys, first, back = np.unique(gram_keys(own), return_index=True, return_inverse=True)
+        keys, first, back = _distinct(gram_keys(own))
         context = gram_keys([c[first] for c in own[:-1]]) if m >= BY_CONTEXT else None
         shared = (f"context{m + 1}", f"shared{m}") if beside(m, model.order) else None
         count, whole = held.counts(f"gram{m}", model.parts, keys, raw=m == 1, context=context, shared=shared)
@@ -635,7 +669,7 @@ def token_scores(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, n
             rest = float(np.dot(model.ones, d[1:])) / model.total / (model.vocabulary + 1)
             p = (kept / model.total + rest)[back]
             continue
-        keys, place = np.unique(gram_keys(own[:-1]), return_inverse=True)
+        keys, _, place = _distinct(gram_keys(own[:-1]))
         sums = held.contexts(m, model.parts, keys)
         total = np.where(sums[:, 0] > 0, sums[:, 0], 1.0)
         share = np.where(sums[:, 0] > 0, sums[:, 1:] @ d[1:] / total, 1.0)
